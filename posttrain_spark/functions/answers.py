@@ -9,7 +9,7 @@ from posttrain_spark.functions.text import find_all, last_of, let, strip
 NUMBER = r"[-+]?\p{Nd}*\.\p{Nd}+|\p{Nd}+"
 GROUPED_DIGITS = r"(\p{Nd}),(\p{Nd})"
 CODE_BLOCK = r"(?s)```(?:python)?(.*?)```"
-FINAL_PHRASE = r"(?m)Final Answer: The final answer is(.*?). I hope it is correct."
+FINAL_PHRASE = r"(?d)Final Answer: The final answer is(.*?). I hope it is correct."
 CLOSING_PHRASE = "I hope it is correct."
 
 # Replacements and removals of the published answer normaliser, in order.
@@ -91,7 +91,7 @@ def normalize_answer(text: Column) -> Column:
     for word in ANSWER_REMOVALS:
         out = F.replace(out, F.lit(word), F.lit(""))
     for pattern, replacement in ANSWER_PATTERNS:
-        out = F.regexp_replace(out, pattern, replacement)
+        out = F.regexp_replace(out, "(?d)" + pattern, replacement)
     out = F.replace(out, F.lit("$"), F.lit(""))
 
     def join_digits(x: Column) -> Column:

@@ -50,7 +50,7 @@ def count_matches(text: Column, pattern: str | Column) -> Column:
 
 
 def ignoring_case(pattern: Column) -> Column:
-    return F.concat(F.lit("(?iu)"), pattern)
+    return F.concat(F.lit("(?iud)"), pattern)
 
 
 def words(text: Column) -> Column:

@@ -104,6 +104,37 @@ def _tool_result(content: Column, opens: Column, closes: Column) -> Column:
     )
 
 
+def message_segments(
+    m: Column,
+    is_first: Column,
+    is_last: Column,
+    after_query: Column,
+    tool_before: Column,
+    tool_after: Column,
+    template: str = "thinking",
+    header_newline: bool = True,
+    system_first: bool = False,
+) -> Column:
+    """Segments of one message from its place in the conversation.
+
+    A leading system message belongs to the head of the text; ``system_first`` prints it here.
+    Roles that the format does not know print nothing.
+    """
+    thinking = template == "thinking"
+    content = F.coalesce(m["content"], F.lit(""))
+    inline = m["role"] == "system" if system_first else (m["role"] == "system") & ~is_first
+    plain = F.when((m["role"] == "user") | inline, _turn(m["role"], content)).when(
+        m["role"] == "tool",
+        _tool_result(content, is_first | ~tool_before, is_last | ~tool_after),
+    )
+    spoken = _assistant(m, after_query, is_last, thinking, header_newline and thinking)
+    return (
+        F.when(m["role"] == "assistant", spoken)
+        .when(plain.isNotNull(), F.array(_segment(plain)))
+        .otherwise(F.array().cast(SEGMENTS))
+    )
+
+
 def chat_segments(
     messages: str = "messages",
     tools: str | None = None,
@@ -131,17 +162,15 @@ def chat_segments(
         return F.coalesce(F.get(msgs, i)["role"], F.lit(""))
 
     def render(m: Column, i: Column) -> Column:
-        content = F.coalesce(m["content"], F.lit(""))
-        is_last = i == count - 1
-        opens = (i == 0) | (role_at(i - 1) != "tool")
-        closes = is_last | (role_at(i + 1) != "tool")
-        plain = F.when((m["role"] == "user") | ((m["role"] == "system") & (i > 0)), _turn(m["role"], content)).when(
-            m["role"] == "tool", _tool_result(content, opens, closes)
-        )
-        return (
-            F.when(m["role"] == "assistant", _assistant(m, i > last_query, is_last, thinking, newline))
-            .when(plain.isNotNull(), F.array(_segment(plain)))
-            .otherwise(F.array().cast(SEGMENTS))
+        return message_segments(
+            m,
+            is_first=i == 0,
+            is_last=i == count - 1,
+            after_query=i > last_query,
+            tool_before=role_at(i - 1) == "tool",
+            tool_after=role_at(i + 1) == "tool",
+            template=template,
+            header_newline=header_newline,
         )
 
     first = F.get(msgs, F.lit(0))

@@ -39,10 +39,14 @@ Verdict = Callable[[Column, "Args"], Column]
 # Fixed values.
 CHOICES = ("My answer is yes.", "My answer is no.", "My answer is maybe.")
 FENCE_OPENINGS = ("```json", "```Json", "```JSON", "```")
-DIVIDER = r"\s?\*\*\*\s?"
+DIVIDER = SPACE_CLASS + r"?\*\*\*" + SPACE_CLASS + "?"
 OLD_DIVIDER = "* * *"
 RESPONSE_DIVIDER = "******"
 EDGE_PUNCTUATION = ".,?!'\""
+# Edge of a word of letters, digits and underscore; the JVM's own \b is ASCII.
+WORD_EDGE = (
+    r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
+)
 
 
 @dataclass(frozen=True)
@@ -179,15 +183,8 @@ def _letter_frequency(text, args):
 @register_check("keywords:forbidden_words")
 def _forbidden_words(text, args):
     def used(w: Column) -> Column:
-        # Boundaries of letters, digits and underscore, as in Python, not the JVM's \b.
-        return F.rlike(
-            text,
-            F.concat(
-                F.lit(r"(?iu)(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"),
-                w,
-                F.lit(r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"),
-            ),
-        )
+        bounded = F.concat(F.lit(WORD_EDGE), w, F.lit(WORD_EDGE))
+        return F.rlike(text, ignoring_case(bounded))
 
     return ~F.exists(args.items("forbidden_words"), used)
 
@@ -247,7 +244,10 @@ def _title(text, args):
 
 @register_check("detectable_format:multiple_sections")
 def _multiple_sections(text, args):
-    heading = F.concat(F.lit(r"\s?"), strip(args.text("section_spliter")), F.lit(r"\s?\p{Nd}+\s?"))
+    gap = SPACE_CLASS + "?"
+    heading = F.concat(
+        F.lit(gap), strip(args.text("section_spliter")), F.lit(gap + r"\p{Nd}+" + gap)
+    )
     return count_matches(text, heading) >= args.number("num_sections")
 
 
@@ -265,8 +265,8 @@ def _highlights(text, args):
 
 @register_check("detectable_format:number_bullet_lists")
 def _bullets(text, args):
-    stars = count_matches(text, r"(?dm)^\s*\*[^\*].*$")
-    dashes = count_matches(text, r"(?dm)^\s*-.*$")
+    stars = count_matches(text, r"(?dm)^" + SPACE_CLASS + r"*\*[^\*].*$")
+    dashes = count_matches(text, r"(?dm)^" + SPACE_CLASS + r"*-.*$")
     return (stars + dashes).cast("double") == args.number("num_bullets")
 
 
@@ -308,7 +308,7 @@ def _square_brackets(text, args):
 
 @register_check("detectable_content:number_placeholders")
 def _placeholders(text, args):
-    return count_matches(text, r"\[.*?\]") >= args.number("num_placeholders")
+    return count_matches(text, r"(?d)\[.*?\]") >= args.number("num_placeholders")
 
 
 @register_check("detectable_content:postscript")
@@ -392,10 +392,10 @@ def _copies(text, args):
 def _repeat_phrase(text, args):
     def holds(wanted: Column) -> Column:
         inner = F.slice(wanted, F.lit(2), F.greatest(F.size(wanted) - 2, F.lit(0)))
-        edge = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
         pattern = F.concat(
-            F.lit(edge + r"\Q"), first_of(wanted), F.lit(r"\E" + edge + "(.*?)" + edge + r"\Q"),
-            last_of(wanted), F.lit(r"\E" + edge),
+            F.lit("(?d)" + WORD_EDGE + r"\Q"), first_of(wanted),
+            F.lit(r"\E" + WORD_EDGE + "(.*?)" + WORD_EDGE + r"\Q"), last_of(wanted),
+            F.lit(r"\E" + WORD_EDGE),
         )
         found = find_all(text, pattern, 1)
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from posttrain_spark.functions.text import find_all
 
-MESSAGES = (
-    "array<struct<role:string,content:string,reasoning_content:string,"
-    "tool_calls:array<struct<name:string,arguments:string>>>>"
+MESSAGE = (
+    "struct<role:string,content:string,reasoning_content:string,"
+    "tool_calls:array<struct<name:string,arguments:string>>>"
 )
+MESSAGES = f"array<{MESSAGE}>"
 _CALL = "name:{t},arguments:{t}"
 _MESSAGE_FILE = (
     "array<struct<role:string,content:{t},reasoning_content:{t},"
@@ -68,6 +69,16 @@ def messages_from_json(text: Column) -> Column:
     return F.transform(pairs, message).cast(MESSAGES)
 
 
+def message_of(turns: DataFrame, content: str = "text") -> Column:
+    """The message struct of a turn row; reasoning and tool calls are optional columns."""
+    names = {"role": "role", "content": content}
+    names |= {n: n for n in ("reasoning_content", "tool_calls")}
+    fields = [
+        (F.col(c) if c in turns.columns else F.lit(None)).alias(n) for n, c in names.items()
+    ]
+    return F.struct(*fields).cast(MESSAGE)
+
+
 def turns_to_conversations(
     turns: DataFrame, key: str = "conv_id", turn: str = "turn", content: str = "text"
 ) -> DataFrame:
@@ -77,21 +88,9 @@ def turns_to_conversations(
     bounded by what a record may hold.  Reports that only need counts per conversation should use
     :func:`posttrain_spark.operators.turns.turn_stats`, which does not gather the texts.
     """
-    message = F.struct(
-        F.col(turn).alias("turn"), F.col("role"), F.col(content).alias("content")
-    )
+    message = F.struct(F.col(turn).alias("turn"), message_of(turns, content).alias("message"))
     ordered = F.array_sort(F.collect_list(message))
-    return turns.groupBy(key).agg(
-        F.transform(
-            ordered,
-            lambda m: F.struct(
-                m["role"].alias("role"),
-                m["content"].alias("content"),
-                F.lit(None).cast("string").alias("reasoning_content"),
-                F.lit(None).cast("array<struct<name:string,arguments:string>>").alias("tool_calls"),
-            ),
-        ).alias("messages")
-    )
+    return turns.groupBy(key).agg(F.transform(ordered, lambda m: m["message"]).alias("messages"))
 
 
 def read_conversations(spark: SparkSession, path: str, key: str = "conv_id") -> DataFrame:
