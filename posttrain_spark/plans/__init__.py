@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("checks",)
+MODULES = ("checks", "rewards")
 
 
 def load_all() -> None:
