@@ -7,6 +7,9 @@ expressions work on a stream.  The exploded form is kept for reports per constra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from posttrain_spark.functions.text import is_blank, strip_thinking
@@ -39,10 +42,39 @@ def join_labels(rollouts: DataFrame, labels: DataFrame, key: str = "prompt_id")
     return rollouts.join(labels, key, "left")
 
 
-def verdict_array(constraints: Column, answer: Column, checks=None) -> Column:
-    return F.transform(
-        constraints, lambda c: dispatch(c["instruction_id"], answer, Args(c["kwargs"]), checks)
-    )
+# Built verdict expressions.  A Column is an unresolved expression over column names, so the same
+# one serves any frame; building all checks anew takes seconds of driver time.
+_BUILT: dict[tuple, Column] = {}
+
+
+def _built(key: tuple, checks: dict[str, Verdict], build: Callable[[], Column]) -> Column:
+    full_key = (id(SparkContext._active_spark_context), *key, tuple(checks.items()))
+    if full_key not in _BUILT:
+        _BUILT[full_key] = build()
+    return _BUILT[full_key]
+
+
+def verdict_array(constraints: str, answer: str, checks: dict[str, Verdict] | None = None) -> Column:
+    """Verdict per constraint of the array column ``constraints``, in order."""
+    checks = NEW_CHECKS if checks is None else checks
+
+    def build() -> Column:
+        return F.transform(
+            constraints,
+            lambda c: dispatch(c["instruction_id"], F.col(answer), Args(c["kwargs"]), checks),
+        )
+
+    return _built((constraints, answer), checks, build)
+
+
+def dispatch_old(answer: str, args: str, checks: dict[str, Verdict]) -> Column:
+    """Verdict of the one check an old label names."""
+
+    def build() -> Column:
+        values = Args(F.col(args))
+        return dispatch(values.text("func_name"), F.col(answer), values, checks)
+
+    return _built((answer, args), checks, build)
 
 
 def score_multi(
@@ -57,10 +89,10 @@ def score_multi(
     The score is satisfied / total.  It is 0 for a blank completion or answer, an unreadable label,
     an empty constraint list, or when any constraint could not be checked.
     """
-    verdicts = F.col("verdicts")
     staged = samples.withColumn("_answer", strip_thinking(F.col(completion))).withColumn(
-        "verdicts", verdict_array(F.col(constraints), F.col("_answer"), checks)
+        "verdicts", verdict_array(constraints, "_answer", checks)
     )
+    verdicts = F.col("verdicts")
     blank = F.coalesce(is_blank(F.col(completion)) | is_blank(F.col("_answer")), F.lit(True))
     error = (
         F.when(blank, "blank")
@@ -69,13 +101,9 @@ def score_multi(
         .when(F.exists(verdicts, lambda v: v.isNull()), "raised")
     )
     passed = F.size(F.filter(verdicts, lambda v: v))
-    return (
-        staged.withColumn("error", error)
-        .withColumn(
-            "score",
-            F.when(F.col("error").isNull(), passed / F.size(verdicts) * scale).otherwise(0.0),
-        )
-        .drop("_answer")
+    score = F.when(error.isNull(), passed / F.size(verdicts) * scale).otherwise(0.0)
+    return staged.select(
+        *samples.columns, "verdicts", error.alias("error"), score.alias("score")
     )
 
 
@@ -89,23 +117,17 @@ def score_old(
     """Add ``score`` and ``error`` for single-constraint labels with ``func_name``."""
     checks = checks or OLD_CHECKS
     named = {**checks, **{a: checks[n] for a, n in OLD_ALIASES.items() if n in checks}}
-    args = Args(F.col("_args"))
-    name = args.text("func_name")
-    staged = (
-        samples.withColumn("_answer", strip_thinking(F.col(completion)))
-        .withColumn("_args", parse_old_label(F.col(label)))
-        .withColumn("verdict", dispatch(name, F.col("_answer"), args, named))
-    )
+    staged = samples.withColumns(
+        {"_answer": strip_thinking(F.col(completion)), "_args": parse_old_label(F.col(label))}
+    ).withColumn("_verdict", dispatch_old("_answer", "_args", named))
+    name, verdict = Args(F.col("_args")).text("func_name"), F.col("_verdict")
     error = (
         F.when(F.col("_args").isNull(), "bad_label")
         .when(~F.coalesce(name.isin(*named), F.lit(False)), "unknown_check")
-        .when(F.col("verdict").isNull(), "raised")
-    )
-    return (
-        staged.withColumn("error", error)
-        .withColumn("score", F.coalesce(F.col("verdict").cast("double") * scale, F.lit(0.0)))
-        .drop("_answer", "_args", "verdict")
+        .when(verdict.isNull(), "raised")
     )
+    score = F.coalesce(verdict.cast("double") * scale, F.lit(0.0))
+    return staged.select(*samples.columns, error.alias("error"), score.alias("score"))
 
 
 def score_unified(samples: DataFrame, scale: float = 10.0, label: str = "ground_truth") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("checks", "rewards")
+MODULES = ("checks", "rewards", "chat", "datasets")
 
 
 def load_all() -> None:
