@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from posttrain_spark.functions.text import find_all, last_of, let, strip
+from posttrain_spark.functions.text import find_all, first_of, last_of, let, strip
 
 NUMBER = r"[-+]?\p{Nd}*\.\p{Nd}+|\p{Nd}+"
 GROUPED_DIGITS = r"(\p{Nd}),(\p{Nd})"
@@ -129,16 +129,14 @@ def same_answer(answer: Column, label: Column) -> Column:
 
 def final_phrase(text: Column) -> Column:
     """Answer between the two fixed closing phrases, trimmed and normalised, else NULL."""
-    found = last_of(
-        F.slice(find_all(F.concat(text, F.lit(CLOSING_PHRASE)), FINAL_PHRASE, 1), 1, 1)
-    )
+    found = first_of(find_all(F.concat(text, F.lit(CLOSING_PHRASE)), FINAL_PHRASE, 1))
     return normalize_answer(strip(found))
 
 
 def between_last_dollars(text: Column) -> Column:
     """Text between the last two dollar signs, else NULL."""
     pieces = F.split(text, r"\$")
-    return F.when(F.size(pieces) > 2, F.try_element_at(pieces, F.lit(-2)))
+    return F.when(F.size(pieces) > 2, F.get(pieces, F.size(pieces) - 2))
 
 
 def math_candidates(prediction: Column) -> Column:

@@ -78,11 +78,12 @@ def split_literal(text: Column, sep: str) -> Column:
 
 
 def first_of(items: Column) -> Column:
-    return F.try_element_at(items, F.lit(1))
+    return F.get(items, F.lit(0))
 
 
 def last_of(items: Column) -> Column:
-    return F.try_element_at(items, F.lit(-1))
+    # Reversed first, so that ``items`` is evaluated once.
+    return F.get(F.reverse(items), F.lit(0))
 
 
 def drop_prefix(text: Column, prefix: str) -> Column:
@@ -118,3 +119,8 @@ def is_json(text: Column) -> Column:
     return (
         F.try_parse_json(in_list).isNotNull() & F.try_parse_json(in_object).isNotNull()
     )
+
+
+def parent_name(path: Column) -> Column:
+    """Name of the directory a file lies in."""
+    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)

@@ -38,7 +38,7 @@ def select_columns(df: DataFrame, columns: Sequence[str] = ("prompt", "ground_tr
 
 def filter_long_prompts(df: DataFrame, max_tokens: int = 4096, counter: Counter = "regex") -> DataFrame:
     """Keep rows whose last prompt message has at most ``max_tokens`` tokens."""
-    content = F.try_element_at(F.col("prompt"), F.lit(-1))["content"]
+    content = F.get(F.col("prompt"), F.size("prompt") - 1)["content"]
     return df.filter(token_count(content, counter) <= max_tokens)
 
 

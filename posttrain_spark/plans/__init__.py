@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("checks", "rewards", "chat", "datasets")
+MODULES = ("checks", "rewards", "chat", "datasets", "answers", "evaluation", "streams")
 
 
 def load_all() -> None:

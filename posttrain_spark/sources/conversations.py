@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from posttrain_spark.functions.text import find_all
+from posttrain_spark.functions.text import find_all, parent_name
 
 MESSAGE = (
     "struct<role:string,content:string,reasoning_content:string,"
@@ -123,5 +123,4 @@ def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 def read_benchmark(spark: SparkSession, root: str, name: str = "*", schema: str = "item_id long, text string") -> DataFrame:
     """Items of ``<root>/<benchmark>/*.jsonl`` with the benchmark's name."""
     items = spark.read.schema(schema).json(f"{root}/{name}/*.jsonl")
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    return items.withColumn("benchmark", F.try_element_at(parts, F.lit(-2)))
+    return items.withColumn("benchmark", parent_name(F.col("_metadata.file_path")))

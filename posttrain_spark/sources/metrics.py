@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from posttrain_spark.functions.text import parent_name
 from posttrain_spark.operators.evals import by_checkpoint, checkpoint_step
 from posttrain_spark.session import scratch_path
 from posttrain_spark.sources.files import is_directory, list_names, move, part_files
 
 VERDICT_FILES = "*eval_results_{loose,strict}.jsonl"
+# A file that every finished checkpoint holds.
+MARKER = "trainer_state.json"
 VERDICT_SCHEMA = (
     "sample_id long, follow_all_instructions boolean, follow_instruction_list array<boolean>"
 )
 
 
 def _parent_name():
-    return F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
+    return parent_name(F.col("_metadata.file_path"))
 
 
 def scan_metrics(spark: SparkSession, root: str, model: str | None = None) -> DataFrame:
@@ -52,7 +55,7 @@ def scan_verdicts(spark: SparkSession, root: str, schema: str = VERDICT_SCHEMA)
     ).filter(F.col("variant") != "")
 
 
-def list_checkpoints(spark: SparkSession, root: str, marker: str = "_DONE") -> DataFrame:
+def list_checkpoints(spark: SparkSession, root: str, marker: str = MARKER) -> DataFrame:
     """Checkpoint directories in numeric order.
 
     One marker file per checkpoint is looked up; its content is never read.

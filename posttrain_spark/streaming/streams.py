@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from posttrain_spark.functions.text import parent_name
 from posttrain_spark.operators.evals import (
     by_checkpoint,
     checkpoint_step,
@@ -19,6 +20,7 @@ from posttrain_spark.operators.evals import (
     metric_rows,
 )
 from posttrain_spark.operators.reward import join_labels, score_multi
+from posttrain_spark.sources.metrics import MARKER
 
 POLL_INTERVAL = "1800 seconds"
 
@@ -28,7 +30,7 @@ def _trigger(writer, once: bool):
 
 
 def stream_checkpoints(
-    spark: SparkSession, root: str, skip: Sequence[str] = (), marker: str = "_DONE"
+    spark: SparkSession, root: str, skip: Sequence[str] = (), marker: str = MARKER
 ) -> DataFrame:
     """Checkpoints as they appear, each once, without those in ``skip``."""
     found = (
@@ -36,7 +38,7 @@ def stream_checkpoints(
         .schema("path string, modificationTime timestamp, length long, content binary")
         .load(f"{root}/checkpoint-*/{marker}")
     )
-    model = F.try_element_at(F.split("path", "/"), F.lit(-2))
+    model = parent_name(F.col("path"))
     named = found.select(model.alias("model")).withColumn("step", checkpoint_step(F.col("model")))
     return named.filter(~F.col("model").isin(*skip)).dropDuplicates(["model"])
 
@@ -64,15 +66,16 @@ def stream_comparison(
 ) -> StreamingQuery:
     """Keep the long comparison table up to date as metrics files land.
 
-    Cells are appended with their batch number; :func:`latest_cells` keeps the newest per cell.
-    A repeated batch writes the same rows again and changes nothing.
+    Cells are written per batch; :func:`latest_cells` reads them back.  A batch that is repeated
+    after a failure overwrites its own folder and changes nothing.  A metrics file counts once: a
+    file rewritten in place is not read again.
     """
     files = (
         spark.readStream.format("text")
         .option("wholetext", "true")
         .load(f"{root}/*/metrics.json")
         .select(
-            F.try_element_at(F.split("_metadata.file_path", "/"), F.lit(-2)).alias("model"),
+            parent_name(F.col("_metadata.file_path")).alias("model"),
             F.col("_metadata.file_modification_time").alias("written"),
             "value",
         )
