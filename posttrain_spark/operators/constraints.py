@@ -583,24 +583,36 @@ LANGUAGE_SCRIPTS = {
 
 
 def language_scores(text: Column) -> Column:
-    """``array<struct<hits, language>>``: profile words and script letters found per language."""
-    pieces = F.transform(words(text), F.lower)
+    """``array<struct<hits, language>>``: profile words and script letters found per language.
+
+    The text is scanned twice, for profile words and for letters of the listed scripts; the counts
+    per language are taken from what these scans leave.
+    """
+    all_words = sorted({w for profile in LANGUAGE_PROFILES.values() for w in profile})
+    all_scripts = "".join(p.strip("[]") for p in LANGUAGE_SCRIPTS.values())
+    lowered = F.transform(words(text), F.lower)
+    scanned = F.struct(
+        F.filter(lowered, lambda w: w.isin(*all_words)).alias("words"),
+        F.regexp_replace(text, f"[^{all_scripts}]+", "").alias("letters"),
+    )
 
     def known(found: Column, profile: tuple[str, ...]) -> Column:
         return F.size(F.filter(found, lambda w: w.isin(*profile)))
 
     def score(found: Column) -> Column:
         by_word = [
-            F.struct(known(found, profile).alias("hits"), F.lit(code).alias("language"))
+            F.struct(known(found["words"], profile).alias("hits"), F.lit(code).alias("language"))
             for code, profile in LANGUAGE_PROFILES.items()
         ]
         by_script = [
-            F.struct(count_matches(text, script).alias("hits"), F.lit(code).alias("language"))
+            F.struct(
+                count_matches(found["letters"], script).alias("hits"), F.lit(code).alias("language")
+            )
             for code, script in LANGUAGE_SCRIPTS.items()
         ]
         return F.array(*by_word, *by_script)
 
-    return let(pieces, score)
+    return let(scanned, score)
 
 
 def detect_language(text: Column) -> Column:

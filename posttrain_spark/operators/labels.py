@@ -147,11 +147,16 @@ def parse_multi_labels(
     first = F.get(F.from_json(wrapped, "v array<string>", SINGLE_QUOTED_JSON)["v"], F.lit(0))
     quick = _constraints(F.from_json(F.col("_first"), ELEMENT))
     slow = _constraints(F.from_json(F.col("_python"), ELEMENT))
+    checked = F.when(~_uses_patterns(F.col("_quick")), F.col("_quick"))
+    columns = prompts.columns
     return (
-        prompts.withColumn("_first", F.when(_is_plain_literal(F.col(label)), first))
-        .withColumn("_quick", quick)
-        .withColumn("_quick", F.when(~_uses_patterns(F.col("_quick")), F.col("_quick")))
-        .withColumn("_python", _read_literals(F.when(F.col("_quick").isNull(), F.col(label))))
-        .withColumn(output, F.coalesce(F.col("_quick"), slow))
-        .drop("_first", "_quick", "_python")
+        prompts.select(*columns, F.when(_is_plain_literal(F.col(label)), first).alias("_first"))
+        .select(*columns, quick.alias("_quick"))
+        .select(*columns, checked.alias("_quick"))
+        .select(
+            *columns,
+            "_quick",
+            _read_literals(F.when(F.col("_quick").isNull(), F.col(label))).alias("_python"),
+        )
+        .select(*columns, F.coalesce(F.col("_quick"), slow).alias(output))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from posttrain_spark.functions import answers as A
 from posttrain_spark.operators.reward import code_pass_rate
 from posttrain_spark.plans import sql as S
-from posttrain_spark.plans.registry import query, table
+from posttrain_spark.plans.registry import query, table, work_table
 
 K = "o_orderkey"
 CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
@@ -40,7 +40,7 @@ NUMBER_LABEL = f"""CASE {K} % 6
       SELECT {K}, e AS extracted, (lower(e) = lower(l))::INT::DOUBLE AS score FROM x""",
 )
 def gsm8k(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").selectExpr(K, f"{NUMBER_TEXT} AS p", f"{NUMBER_LABEL} AS l")
+    d = work_table(spark, sf_dir, "orders").selectExpr(K, f"{NUMBER_TEXT} AS p", f"{NUMBER_LABEL} AS l")
     return d.select(
         K, A.last_number(F.col("p")).alias("extracted"),
         A.check_gsm8k(F.col("p"), F.col("l")).alias("score"),
@@ -70,7 +70,7 @@ MATH_LABEL = f"""CASE {K} % 8
 
 
 def _math(spark, sf_dir):
-    return table(spark, sf_dir, "orders").selectExpr(K, f"{MATH_TEXT} AS p", f"{MATH_LABEL} AS l")
+    return work_table(spark, sf_dir, "orders").selectExpr(K, f"{MATH_TEXT} AS p", f"{MATH_LABEL} AS l")
 
 
 @query(
@@ -143,7 +143,7 @@ CODE_TEXT = """CASE doc_id % 4
       SELECT doc_id, md5(coalesce({S.strip('c')}, t)) AS code_md5 FROM x""",
 )
 def code_block(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{CODE_TEXT} AS t")
+    d = work_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{CODE_TEXT} AS t")
     return d.select("doc_id", F.md5(A.last_code_block(F.col("t"))).alias("code_md5"))
 
 

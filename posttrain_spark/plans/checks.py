@@ -19,7 +19,7 @@ from posttrain_spark.operators.constraints import (
     Args,
 )
 from posttrain_spark.plans import sql as S
-from posttrain_spark.plans.registry import query, table
+from posttrain_spark.plans.registry import query, work_table
 
 
 @dataclass(frozen=True)
@@ -452,7 +452,7 @@ def _build(case: Case):
     checks = NEW_CHECKS if case.family == "new" else OLD_CHECKS
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        answers = table(spark, sf_dir, "documents").selectExpr(
+        answers = work_table(spark, sf_dir, "documents").selectExpr(
             "doc_id", f"{case.answer} AS t", *[f"CAST({e} AS STRING) AS a_{n}" for n, e in case.args.items()]
         )
         pairs = [x for n in case.args for x in (F.lit(n), F.col(f"a_{n}"))]

@@ -9,7 +9,7 @@ from posttrain_spark.operators import dataset as D
 from posttrain_spark.operators import turns as T
 from posttrain_spark.operators.ordering import number_rows
 from posttrain_spark.plans import sql as S
-from posttrain_spark.plans.registry import query, table
+from posttrain_spark.plans.registry import query, table, work_table
 from posttrain_spark.session import scratch_path
 from posttrain_spark.sources.conversations import (
     read_benchmark,
@@ -27,7 +27,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return work_table(spark, sf_dir, "documents").select(
         "doc_id", token_count(F.col("text")).alias("n_tokens")
     )
 
@@ -93,7 +93,7 @@ def limit_samples(spark, sf_dir):
 def truncate(spark, sf_dir):
     from posttrain_spark.functions.tokens import tokens
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    docs = work_table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
     cut = D.truncate(docs, 64, ["tokens"])
     return cut.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"),

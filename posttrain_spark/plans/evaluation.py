@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from posttrain_spark.operators import evals as H
 from posttrain_spark.operators.constraints import NEW_CHECKS, Args
 from posttrain_spark.plans import sql as S
-from posttrain_spark.plans.registry import query, table
+from posttrain_spark.plans.registry import query, table, work_table
 from posttrain_spark.plans.rewards import reward_log_frame, REWARD_LOG
 from posttrain_spark.session import scratch_path
 from posttrain_spark.sources import metrics as M
@@ -91,7 +91,7 @@ LOOSE_TEXT = (
 def loose(spark, sf_dir):
     check = NEW_CHECKS["startend:quotation"]
     none = Args(F.lit(None).cast("map<string,string>"))
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{LOOSE_TEXT} AS t")
+    d = work_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{LOOSE_TEXT} AS t")
     return d.select(
         "doc_id", check(F.col("t"), none).alias("strict"),
         H.loose_verdict(F.col("t"), lambda v: check(v, none)).alias("loose"),

@@ -13,7 +13,7 @@ from posttrain_spark.operators import labels as L
 from posttrain_spark.operators import reward as R
 from posttrain_spark.operators import rollouts as G
 from posttrain_spark.plans import sql as S
-from posttrain_spark.plans.registry import query, table
+from posttrain_spark.plans.registry import query, table, work_table
 
 # Label text of a conversation, in SQL that both engines read.  chr(39) is the single quote.
 Q = "chr(39)"
@@ -80,7 +80,7 @@ COMPLETION = (
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    turns = work_table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     return turns.selectExpr("conv_id AS prompt_id", "turn", f"{COMPLETION} AS completion")
 
 
@@ -278,7 +278,7 @@ DIFF_TEXT = "CASE WHEN doc_id % 18 = 0 THEN concat(text, ' * * * ', text) WHEN d
       count(*) FILTER (w IS NULL) AS new_raised, count(*) FILTER (o IS DISTINCT FROM w) AS differ FROM v GROUP BY 1""",
 )
 def verifier_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").selectExpr(
+    docs = work_table(spark, sf_dir, "documents").selectExpr(
         f"{DIFF_TEXT} AS completion", f"{DIFF_NAME} AS func_name", f"{DIFF_QUANTIFIER} AS quantifier",
         "CAST(1 + doc_id % 9 AS STRING) AS n", "CAST(20 * (1 + doc_id % 9) AS STRING) AS bound",
     )
@@ -347,7 +347,7 @@ def advantage_scale_check(spark, sf_dir):
 def clipped_ratio(spark, sf_dir):
     from posttrain_spark.functions.tokens import token_count
 
-    docs = table(spark, sf_dir, "documents").select("source", token_count(F.col("text")).alias("n_tokens"))
+    docs = work_table(spark, sf_dir, "documents").select("source", token_count(F.col("text")).alias("n_tokens"))
     return G.clipped_ratio(docs, 256, by="source").select("source", F.round("clipped_ratio", 6).alias("clipped_ratio"))
 
 
@@ -360,7 +360,7 @@ def clipped_ratio(spark, sf_dir):
 def mask_after_eos(spark, sf_dir):
     from posttrain_spark.functions.tokens import tokens
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    docs = work_table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
     kept = G.mask_after_eos(F.col("tokens"), ".")
     return docs.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_kept")
