@@ -580,6 +580,8 @@ LANGUAGE_SCRIPTS = {
     "hi": r"[\x{0900}-\x{097F}]",
     "th": r"[\x{0E00}-\x{0E7F}]",
 }
+# One range around all of them, cheap to test first.
+ANY_SCRIPT = r"[\x{0400}-\x{D7AF}]"
 
 
 def language_scores(text: Column) -> Column:
@@ -593,7 +595,9 @@ def language_scores(text: Column) -> Column:
     lowered = F.transform(words(text), F.lower)
     scanned = F.struct(
         F.filter(lowered, lambda w: w.isin(*all_words)).alias("words"),
-        F.regexp_replace(text, f"[^{all_scripts}]+", "").alias("letters"),
+        F.when(text.rlike(ANY_SCRIPT), F.regexp_replace(text, f"[^{all_scripts}]+", ""))
+        .otherwise("")
+        .alias("letters"),
     )
 
     def known(found: Column, profile: tuple[str, ...]) -> Column:
