@@ -90,7 +90,12 @@ def train_eval_split(
     alone; neither side needs a join.  ``key`` must be unique.
     """
     place = F.struct(shuffle_key(F.col(key), seed).alias("digest"), F.col(key).alias("key"))
-    first = df.select(place.alias("place")).orderBy("place").limit(n)
+    if n <= SMALL_LIMIT:
+        first = df.select(place.alias("place")).orderBy("place").limit(n)
+    else:
+        keys = durable(df.select(key), "split-keys")
+        held = number_rows(keys, key, seed=seed).filter(F.col("ordinal") < n)
+        first = held.select(place.alias("place"))
     last = first.agg(F.max("place")).scalar()
     return (
         df.filter(F.coalesce(place > last, F.lit(True))),

@@ -7,6 +7,7 @@ every bucket its starting position, and a window inside each bucket does the res
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,7 +25,7 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, 4 * shuffles))
 
 
-def hash_bucket(digest: Column, buckets: int) -> Column:
+def hash_bucket(digest: Column, buckets: int | Column) -> Column:
     """Bucket of a hex digest; digests are uniform, so the buckets are even and in digest order."""
     high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     return F.floor(high / float(2**32) * buckets).cast("long")
@@ -38,7 +39,7 @@ def with_value_bucket(df: DataFrame, key: str, tie: str | None, buckets: int) ->
     """
     steps = [i / buckets for i in range(1, buckets)]
     bounds = df.approxQuantile(key, steps, 1 / (4 * buckets))
-    heavy = sorted({b for a, b in zip(bounds, bounds[1:]) if a == b})
+    heavy = {value: n for value, n in Counter(bounds).items() if n > 1}
     cuts = sorted(set(bounds) | {math.nextafter(h, math.inf) for h in heavy})
     splits = [-math.inf, *cuts, math.inf]
     placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_coarse").transform(
@@ -46,7 +47,9 @@ def with_value_bucket(df: DataFrame, key: str, tie: str | None, buckets: int) ->
     )
     fine = F.lit(0).cast("long")
     if heavy and tie:
-        spread = hash_bucket(shuffle_key(F.col(tie)), buckets)
+        # As many pieces as the value fills quantiles, so the buckets stay about 2 * buckets.
+        pieces = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
+        spread = hash_bucket(shuffle_key(F.col(tie)), F.try_element_at(pieces, F.col("_key")))
         fine = F.when(F.col("_key").isin(*heavy), spread).otherwise(fine)
     return placed.withColumn(
         "_bucket", F.col("_coarse").cast("long") * (buckets + 1) + fine
@@ -95,6 +98,7 @@ def number_rows(
     numbered = (
         placed.withColumn("_at", F.row_number().over(inside) - 1)
         .withColumn("_run", F.sum(amount).over(so_far) - amount)
+        # At most about 2 * MAX_BUCKETS rows.
         .join(F.broadcast(starts), "_bucket")
         .withColumn("ordinal", F.col("_first") + F.col("_at"))
     )

@@ -7,7 +7,7 @@ expressions work on a stream.  The exploded form is kept for reports per constra
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,6 +22,7 @@ from posttrain_spark.operators.constraints import (
     dispatch,
 )
 from posttrain_spark.operators.labels import label_kind, parse_multi_labels, parse_old_label
+from posttrain_spark.operators.skew import skew_join
 
 # Old spellings of check names found in published data.
 OLD_ALIASES = {
@@ -33,13 +34,22 @@ OLD_ALIASES = {
 }
 
 
-def join_labels(rollouts: DataFrame, labels: DataFrame, key: str = "prompt_id") -> DataFrame:
+def join_labels(
+    rollouts: DataFrame,
+    labels: DataFrame,
+    key: str = "prompt_id",
+    spread_by: Sequence[str] | None = None,
+) -> DataFrame:
     """Bring each completion together with its prompt's parsed label.
 
-    A plain equi-join: Spark broadcasts the label side when its measured size allows, and adaptive
-    execution splits a prompt that holds a large share of the completions.
+    A prompt with a large share of all completions is split by the columns ``spread_by`` (by
+    default all but the key), so its completions are scored by many tasks.  A stream is joined as
+    it is: a micro-batch is bounded, and the static side is broadcast when its size allows.
     """
-    return rollouts.join(labels, key, "left")
+    if rollouts.isStreaming:
+        return rollouts.join(labels, key, "left")
+    spread_by = [c for c in rollouts.columns if c != key] if spread_by is None else spread_by
+    return skew_join(rollouts, labels, key, spread_by, "left")
 
 
 # Built verdict expressions.  A Column is an unresolved expression over column names, so the same

@@ -1,9 +1,9 @@
 """Chat rendering at turn level: the same texts and counts without gathering a conversation.
 
 Every turn is rendered on its own row.  What it must know about its conversation is one narrow
-aggregate (first, last and query turn), and about its neighbours whether they are tool results;
-both come by joins that adaptive execution can split, so a conversation of any length is spread
-over tasks.
+aggregate (first, last and query turn), and about its neighbours whether they are tool results.
+Neighbours are joined by conversation and turn, the aggregate by a join that splits hot
+conversations, so a conversation of any length is spread over tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from posttrain_spark.functions.tokens import Counter, token_count
 from posttrain_spark.operators.chat import message_segments
+from posttrain_spark.operators.skew import skew_join
 from posttrain_spark.sources.conversations import message_of
 
 
@@ -29,6 +30,7 @@ def turn_segments(
     )
     query = (F.col("role") == "user") & F.col(content).isNotNull() & ~wrapped
     shape = turns.groupBy(key).agg(
+        F.count("*").alias("_rows"),
         F.min(turn).alias("_first"),
         F.max(turn).alias("_last"),
         F.max(F.when(query, F.col(turn))).alias("_query"),
@@ -36,8 +38,9 @@ def turn_segments(
     results = turns.filter(F.col("role") == "tool")
     before = results.select(key, (F.col(turn) + 1).alias(turn), F.lit(True).alias("_tool_before"))
     after = results.select(key, (F.col(turn) - 1).alias(turn), F.lit(True).alias("_tool_after"))
-    placed = (
-        turns.join(before, [key, turn], "left").join(after, [key, turn], "left").join(shape, key)
+    near = turns.join(before, [key, turn], "left").join(after, [key, turn], "left")
+    placed = skew_join(
+        near, shape.drop("_rows"), key, [turn], counts=shape.select(key, "_rows")
     )
     segments = message_segments(
         message_of(turns, content),

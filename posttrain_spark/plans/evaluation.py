@@ -289,17 +289,22 @@ def list_checkpoints(spark, sf_dir):
     return M.list_checkpoints(spark, root)
 
 
+# The checkpoint a document was produced by: a bounded set of names, some without a number.
+RUN = (
+    "CASE WHEN doc_id % 5 = 0 THEN concat('run-', doc_id % 15) "
+    "ELSE concat('x/Checkpoint-', 25 * (doc_id % 64), '-hf') END"
+)
+
+
 @query(
     "checkpoint_order",
-    """WITH m AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN concat('run-', doc_id) ELSE concat('x/Checkpoint-', doc_id, '-hf') END AS model FROM documents)
+    f"""WITH m AS (SELECT DISTINCT {RUN} AS model FROM documents)
        SELECT model, row_number() OVER (ORDER BY nullif(regexp_extract(lower(model), 'checkpoint-(\\d+)', 1), '')::BIGINT NULLS LAST, model) AS place FROM m""",
 )
 def checkpoint_order(spark, sf_dir):
     from pyspark.sql import Window
 
-    names = table(spark, sf_dir, "documents").selectExpr(
-        "CASE WHEN doc_id % 5 = 0 THEN concat('run-', doc_id) ELSE concat('x/Checkpoint-', doc_id, '-hf') END AS model"
-    ).distinct()
+    names = table(spark, sf_dir, "documents").selectExpr(f"{RUN} AS model").distinct()
     # One row per model: the list of models is short by nature.
     order = Window.orderBy(H.checkpoint_step(F.col("model")).asc_nulls_last(), "model")
     return names.select("model", F.row_number().over(order).cast("long").alias("place"))

@@ -14,6 +14,7 @@ from posttrain_spark.operators import reward as R
 from posttrain_spark.operators import rollouts as G
 from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, table, work_table
+from posttrain_spark.session import durable
 
 # Label text of a conversation, in SQL that both engines read.  chr(39) is the single quote.
 Q = "chr(39)"
@@ -92,7 +93,9 @@ def prompts(spark: SparkSession, sf_dir: str, label: str = MULTI_LABEL) -> DataF
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = L.parse_multi_labels(prompts(spark, sf_dir)).drop("ground_truth")
-    return R.score_multi(R.join_labels(rollouts(spark, sf_dir), labels), scale=10.0)
+    return R.score_multi(
+        R.join_labels(rollouts(spark, sf_dir), labels, spread_by=["turn"]), scale=10.0
+    )
 
 
 ANSWERS = f"""answers AS (
@@ -215,7 +218,7 @@ def label_kind(spark, sf_dir):
     f"WITH {ANSWERS} SELECT conv_id AS prompt_id, turn, {OLD_SCORE} AS score FROM answers",
 )
 def score_old(spark, sf_dir):
-    samples = R.join_labels(rollouts(spark, sf_dir), prompts(spark, sf_dir, OLD_LABEL))
+    samples = R.join_labels(rollouts(spark, sf_dir), prompts(spark, sf_dir, OLD_LABEL), spread_by=["turn"])
     return R.score_old(samples).select("prompt_id", "turn", "score")
 
 
@@ -226,7 +229,7 @@ def score_old(spark, sf_dir):
           WHEN conv_id % 2 = 0 THEN 0.0 ELSE {MULTI_SCORE} END, 6) AS score FROM answers""",
 )
 def score_unified(spark, sf_dir):
-    samples = R.join_labels(rollouts(spark, sf_dir), prompts(spark, sf_dir, ANY_LABEL))
+    samples = R.join_labels(rollouts(spark, sf_dir), prompts(spark, sf_dir, ANY_LABEL), spread_by=["turn"])
     return R.score_unified(samples).select("prompt_id", "turn", F.round("score", 6).alias("score"))
 
 
@@ -308,6 +311,12 @@ def filter_incompatible(spark, sf_dir):
 
 # --- group statistics -------------------------------------------------------------------------
 
+def stored_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewards written once: completions are scored one time, the two passes read the numbers."""
+    rewards = scored(spark, sf_dir).select("prompt_id", "turn", F.col("score").alias("reward"))
+    return durable(rewards, "rewards")
+
+
 GROUPED = f"""{SCORES}, g AS (SELECT prompt_id, avg(reward) AS m, coalesce(stddev_samp(reward), 0) AS s
     FROM scores GROUP BY 1)"""
 
@@ -318,8 +327,8 @@ GROUPED = f"""{SCORES}, g AS (SELECT prompt_id, avg(reward) AS m, coalesce(stdde
         round((reward - m) / (s + 1e-4), 6) + 0.0 AS advantage FROM scores JOIN g USING (prompt_id)""",
 )
 def advantages(spark, sf_dir):
-    rewards = scored(spark, sf_dir).select("prompt_id", "turn", F.col("score").alias("reward"))
-    return G.advantages(rewards).select(
+    rewards = stored_rewards(spark, sf_dir)
+    return G.advantages(rewards, spread_by=["turn"]).select(
         "prompt_id", "turn", F.round("reward", 6).alias("reward"),
         (F.round("advantage", 6) + 0.0).alias("advantage"),
     )
@@ -332,8 +341,8 @@ def advantages(spark, sf_dir):
         FROM scores JOIN g USING (prompt_id)""",
 )
 def advantage_scale_check(spark, sf_dir):
-    rewards = scored(spark, sf_dir).select("prompt_id", "turn", F.col("score").alias("reward"))
-    return G.scale_check(rewards).select(
+    rewards = stored_rewards(spark, sf_dir)
+    return G.scale_check(rewards, spread_by=["turn"]).select(
         "prompt_id", "turn", (F.round("advantage", 6) + 0.0).alias("advantage"),
         (F.round("scaled_advantage", 6) + 0.0).alias("scaled_advantage"),
     )

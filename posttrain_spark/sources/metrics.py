@@ -143,19 +143,24 @@ def write_metrics(rows: DataFrame, root: str) -> None:
 
 
 def write_verdicts(rows: DataFrame, root: str, stem: str = "") -> None:
-    """Write verdict rows as ``<root>/<model>/[<stem>-]eval_results_<variant>.jsonl``."""
+    """Write verdict rows as ``<root>/<model>/[<stem>-]eval_results_<variant>.jsonl``.
+
+    Rebalancing gathers a small group in one file and cuts a large one into several; further files
+    of a group carry a number in the stem.
+    """
     spark = rows.sparkSession
     folder = scratch_path(spark, "verdicts")
     keys = ["model", "variant"]
-    rows.repartition(*keys).write.partitionBy(*keys).json(folder)
+    rows.hint("rebalance", *keys).write.partitionBy(*keys).json(folder)
     for model in list_names(spark, folder):
         if not model.startswith("model="):
             continue
         for variant in list_names(spark, f"{folder}/{model}"):
-            source = part_files(spark, f"{folder}/{model}/{variant}")[0]
-            prefix = f"{stem}-" if stem else ""
-            name = f"{prefix}eval_results_{variant.removeprefix('variant=')}.jsonl"
-            move(spark, source, f"{root}/{model.removeprefix('model=')}/{name}")
+            name = f"eval_results_{variant.removeprefix('variant=')}.jsonl"
+            for i, part in enumerate(part_files(spark, f"{folder}/{model}/{variant}")):
+                prefix = (stem or "part" if i else stem) + (str(i) if i else "")
+                target = f"{prefix}-{name}" if prefix else name
+                move(spark, part, f"{root}/{model.removeprefix('model=')}/{target}")
 
 
 def write_reward_log(log: DataFrame, path: str, every: int = 1, step: str = "step") -> None:

@@ -141,3 +141,22 @@ def test_mix_keeps_duplicates(spark):
     b = spark.createDataFrame([("y", 1)], "other string, p int")
     got = sorted(tuple(r) for r in D.mix({"a": a, "b": b}, ["p"]).collect())
     assert got == [(1, "a"), (1, "a"), (1, "b")]
+
+
+def test_skew_join_with_a_hot_key(spark):
+    from posttrain_spark.operators.skew import hot_keys, key_counts, skew_join
+
+    large = spark.range(6000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("row"))
+    small = spark.range(450).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert [r.k for r in hot_keys(key_counts(large, "k"), "k").collect()] == [7]
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, skew_join(large, small, "k", ["row"], how).select("k", "row", "v").collect()), key=str)
+        assert got == sorted(map(tuple, large.join(small, "k", how).select("k", "row", "v").collect()), key=str)
+
+
+def test_large_hold_out_takes_the_same_rows(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    want = {r.k for r in D.train_eval_split(df, "k", 700)[1].collect()}
+    monkeypatch.setattr(D, "SMALL_LIMIT", 10)
+    train, held = D.train_eval_split(df, "k", 700)
+    assert {r.k for r in held.collect()} == want and train.count() == 2300
