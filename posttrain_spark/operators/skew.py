@@ -22,10 +22,11 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_rows"))
 
 
-def hot_keys(counts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys with more than ``share`` of all rows: fewer than ``1 / share`` of them whatever the data."""
+def hot_keys(counts: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys with more than ``share`` of all rows: fewer than ``1 / share`` whatever the data."""
     total = counts.agg(F.sum("_rows")).scalar()
-    return counts.filter(F.col("_rows") > F.greatest(total * share, F.lit(PIECES))).select(key)
+    hot = counts.filter(F.col("_rows") > F.greatest(total * share, F.lit(PIECES)))
+    return [row[0] for row in hot.select(key).collect()]
 
 
 def skew_join(
@@ -38,22 +39,17 @@ def skew_join(
 ) -> DataFrame:
     """Join on ``key`` with the rows of hot keys spread over many tasks.
 
-    Rows of a hot key in ``large`` are cut into pieces by the hash of ``spread_by`` (columns that
-    tell its rows apart); the matching rows of ``small`` are repeated once per piece.  All other
+    One pass over the keys alone finds the hot ones.  Without any this is the plain join.  Else the
+    rows of a hot key in ``large`` are cut into pieces by the hash of ``spread_by`` (columns that
+    tell its rows apart) and the matching rows of ``small`` are repeated once per piece; all other
     keys are joined as they are.  ``counts`` may be given when rows per key are known already.
     """
     hot = hot_keys(key_counts(large, key) if counts is None else counts, key)
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    if not hot:
+        return large.join(small, key, how)
     piece = F.pmod(F.xxhash64(*spread_by), F.lit(PIECES)).cast("int")
-    last_piece = F.when(F.col("_hot"), PIECES - 1).otherwise(0)
-    left = (
-        large.join(marked, key, "left")
-        .withColumn("_piece", F.when(F.col("_hot"), piece).otherwise(0))
-        .drop("_hot")
-    )
-    right = (
-        small.join(marked, key, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), last_piece)))
-        .drop("_hot")
-    )
+    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
+    left = large.withColumn("_piece", F.when(is_hot, piece).otherwise(0))
+    last_piece = F.when(is_hot, PIECES - 1).otherwise(0)
+    right = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), last_piece)))
     return left.join(right, [key, "_piece"], how).drop("_piece")
