@@ -17,6 +17,7 @@ from pyspark.sql import Column, functions as F
 
 from posttrain_spark.functions.text import (
     SPACE_CLASS,
+    WHITESPACE,
     chunks,
     count_matches,
     drop_prefix,
@@ -126,6 +127,11 @@ def filled_parts(parts: Column) -> Column:
     return let(trimmed, pick)
 
 
+def divided(text: Column) -> Column:
+    """Paragraphs between ``***`` dividers; most texts have none and are not searched by pattern."""
+    return F.when(F.contains(text, F.lit("***")), F.split(text, DIVIDER)).otherwise(F.array(text))
+
+
 def count_is(parts: Column, n: Column) -> Column:
     return F.when(n.isNotNull(), F.coalesce(F.size(parts).cast("double") == n, F.lit(False)))
 
@@ -204,7 +210,7 @@ def _number_sentences(text, args):
 
 @register_check("length_constraints:number_paragraphs")
 def _number_paragraphs(text, args):
-    return count_is(filled_parts(F.split(text, DIVIDER)), args.number("num_paragraphs"))
+    return count_is(filled_parts(divided(text)), args.number("num_paragraphs"))
 
 
 @register_check("length_constraints:nth_paragraph_first_word")
@@ -448,7 +454,7 @@ def _composition(text, args):
         )
 
     held = let(
-        filled_parts(F.split(text, DIVIDER)),
+        filled_parts(divided(text)),
         lambda parts: (F.size(parts) == 3) & F.forall(parts, paragraph_ok),
     )
     return F.when(n_sentences.isNotNull() & n_words.isNotNull(), F.coalesce(held, F.lit(False)))
@@ -475,7 +481,7 @@ def _letters_of_one(text, args):
 
 @register_check("paragraphs:paragraphs")
 def _two_divided(text, args):
-    return F.size(F.split(text, DIVIDER)) == 2
+    return F.size(divided(text)) == 2
 
 
 @register_check("paragraphs:paragraphs2")
@@ -659,7 +665,8 @@ def _old_letter(text, args):
 @register_check("word_constraint", "old")
 def _old_words(text, args):
     n = args.number("N")
-    return compare_loosely(F.size(chunks(text)), args.text("quantifier"), n, n * 0.1)
+    count = count_matches(text, f"[^{WHITESPACE}]+")
+    return compare_loosely(count, args.text("quantifier"), n, n * 0.1)
 
 
 @register_check("sentence_constraint", "old")

@@ -117,7 +117,8 @@ def pack_wrapped(
     inside its example.  Only key and length are moved, never the texts.
     """
     columns = [key, n_tokens] + ([tie] if tie else [])
-    lengths = durable(df.select(*columns).filter(F.col(n_tokens) > 0), "pack-lengths")
+    # Filtered after it is stored, else lengths would be computed for the filter and once more.
+    lengths = durable(df.select(*columns), "pack-lengths").filter(F.col(n_tokens) > 0)
     placed = number_rows(lengths, key, weight=n_tokens, tie=tie)
     begin, end = F.col("offset"), F.col("offset") + F.col(n_tokens)
     size = F.lit(max_length).cast("long")
@@ -173,9 +174,8 @@ def pack_bfd(
     Result: the key, ``shard``, ``pack`` (number inside the shard) and the packed length.
     """
     used = F.least(F.col(n_tokens), F.lit(max_length)).cast("int")
-    lengths = durable(
-        df.select(key, used.alias("packed_tokens")).filter(F.col("packed_tokens") > 0),
-        "pack-lengths",
+    lengths = durable(df.select(key, used.alias("packed_tokens")), "pack-lengths").filter(
+        F.col("packed_tokens") > 0
     )
     if shards is None:
         shards = max(1, -(-lengths.count() // rows_per_shard))
