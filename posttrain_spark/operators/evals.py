@@ -185,11 +185,14 @@ def comparison_cells(rows: DataFrame) -> DataFrame:
 def comparison(cells: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per model, the union of the columns in sorted order (H6).
 
-    Without ``columns`` their names are read first; they are as few as a table is wide.
+    Without ``columns`` their names are read first; they are as few as a table is wide.  Having
+    none at all is an error.
     """
     if columns is None:
         names = cells.select("column").distinct().orderBy("column").collect()
         columns = [r["column"] for r in names]
+    if not columns:
+        raise ValueError("no valid metrics found")
     return cells.groupBy("model").pivot("column", sorted(columns)).agg(F.first("value"))
 
 

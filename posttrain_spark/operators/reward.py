@@ -229,3 +229,17 @@ def code_pass_rate(results: DataFrame, sample: str = "sample_id", threshold: flo
             F.when(F.col("pass_rate") < threshold, 0.0).otherwise(F.col("pass_rate")),
         )
     )
+
+
+def combine_rewards(
+    df: DataFrame, rewards: dict[str, Column], weights: dict[str, float] | None = None
+) -> DataFrame:
+    """Add one column per named reward and their (weighted) sum as ``reward``.
+
+    A reward is any double Column over the frame, from the builders here or from a pandas UDF; a
+    NULL reward counts as 0.
+    """
+    weights = weights or {}
+    named = df.withColumns({n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in rewards.items()})
+    total = sum((F.col(n) * weights.get(n, 1.0) for n in rewards), F.lit(0.0))
+    return named.withColumn("reward", total)

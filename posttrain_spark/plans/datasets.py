@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posttrain_spark.functions.tokens import token_count
+from posttrain_spark.functions.tokens import token_count, tokens
 from posttrain_spark.operators import dataset as D
 from posttrain_spark.operators import turns as T
 from posttrain_spark.operators.ordering import number_rows
@@ -91,8 +91,6 @@ def limit_samples(spark, sf_dir):
         SELECT doc_id, least(len(k), 64) AS n_tokens, md5(array_to_string(k[1:64], ' ')) AS tokens_md5 FROM k""",
 )
 def truncate(spark, sf_dir):
-    from posttrain_spark.functions.tokens import tokens
-
     docs = work_table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
     cut = D.truncate(docs, 64, ["tokens"])
     return cut.select(

@@ -6,7 +6,7 @@ checkpoint and a benchmark by its id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from posttrain_spark.operators import evals as H
 from posttrain_spark.operators.constraints import NEW_CHECKS, Args
@@ -15,6 +15,7 @@ from posttrain_spark.plans.registry import query, table, work_table
 from posttrain_spark.plans.rewards import reward_log_frame, REWARD_LOG
 from posttrain_spark.session import scratch_path
 from posttrain_spark.sources import metrics as M
+from posttrain_spark.sources.files import list_names, move, part_files
 
 MODEL = "CASE WHEN doc_id % 9 = 8 THEN 'base' ELSE concat('checkpoint-', 500 * (1 + doc_id % 9)) END"
 BENCHMARK = (
@@ -264,8 +265,6 @@ def scan_verdicts(spark, sf_dir):
 
 def write_markers(models: DataFrame, root: str) -> None:
     """Write the marker file of each model's directory."""
-    from posttrain_spark.sources.files import list_names, move, part_files
-
     spark = models.sparkSession
     folder = scratch_path(spark, "markers")
     models.select("model", F.lit("done").alias("value")).repartition("model").write.partitionBy("model").text(folder)
@@ -302,8 +301,6 @@ RUN = (
        SELECT model, row_number() OVER (ORDER BY nullif(regexp_extract(lower(model), 'checkpoint-(\\d+)', 1), '')::BIGINT NULLS LAST, model) AS place FROM m""",
 )
 def checkpoint_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     names = table(spark, sf_dir, "documents").selectExpr(f"{RUN} AS model").distinct()
     # One row per model: the list of models is short by nature.
     order = Window.orderBy(H.checkpoint_step(F.col("model")).asc_nulls_last(), "model")

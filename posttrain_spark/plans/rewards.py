@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from posttrain_spark.functions.tokens import token_count, tokens
 from posttrain_spark.operators import labels as L
 from posttrain_spark.operators import reward as R
 from posttrain_spark.operators import rollouts as G
@@ -246,6 +247,21 @@ def strip_thinking(spark, sf_dir):
     )
 
 
+@query(
+    "combine_rewards",
+    f"""SELECT doc_id, (strpos(text, ',') = 0)::INT::DOUBLE AS no_comma, least({S.token_count('text')}, 512) / 512.0::DOUBLE AS length,
+        round((strpos(text, ',') = 0)::INT + 0.5 * least({S.token_count('text')}, 512) / 512.0::DOUBLE, 6) AS reward FROM documents""",
+)
+def combine_rewards(spark, sf_dir):
+    text = F.col("text")
+    rewards = {
+        "no_comma": ~F.contains(text, F.lit(",")),
+        "length": F.least(token_count(text), F.lit(512)) / 512,
+    }
+    df = R.combine_rewards(work_table(spark, sf_dir, "documents"), rewards, {"length": 0.5})
+    return df.select("doc_id", "no_comma", "length", F.round("reward", 6).alias("reward"))
+
+
 # --- comparison of the two families -----------------------------------------------------------
 
 DIFF_NAME = (
@@ -354,8 +370,6 @@ def advantage_scale_check(spark, sf_dir):
         FROM documents GROUP BY 1""",
 )
 def clipped_ratio(spark, sf_dir):
-    from posttrain_spark.functions.tokens import token_count
-
     docs = work_table(spark, sf_dir, "documents").select("source", token_count(F.col("text")).alias("n_tokens"))
     return G.clipped_ratio(docs, 256, by="source").select("source", F.round("clipped_ratio", 6).alias("clipped_ratio"))
 
@@ -367,8 +381,6 @@ def clipped_ratio(spark, sf_dir):
         ELSE len(k) END::BIGINT AS n_kept FROM d""",
 )
 def mask_after_eos(spark, sf_dir):
-    from posttrain_spark.functions.tokens import tokens
-
     docs = work_table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
     kept = G.mask_after_eos(F.col("tokens"), ".")
     return docs.select(

@@ -59,6 +59,14 @@ def test_bad_and_deep_files(spark, results):
     assert [r.model for r in H.bad_metrics(files).collect()] == ["checkpoint-1500"]
 
 
+def test_no_valid_file_is_an_error(spark, tmp_path):
+    put(tmp_path, "checkpoint-1", "{broken")
+    with pytest.raises(ValueError, match="no valid metrics"):
+        H.comparison(cells(spark, str(tmp_path)))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        M.scan_metrics(spark, str(tmp_path / "nowhere")).count()
+
+
 def test_csv_output(spark, results, tmp_path):
     wide = H.comparison(cells(spark, results))
     target = M.write_comparison(wide, str(tmp_path / "out" / "table"))
