@@ -208,23 +208,37 @@ def render_chat(df: DataFrame, messages: str = "messages", **options) -> DataFra
     )
 
 
-def generation_spans(df: DataFrame) -> DataFrame:
-    """Add ``spans``: character ranges of the rendered text that the model generates."""
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
-    )
+def generation_spans(df: DataFrame, block: int = 256) -> DataFrame:
+    """Add ``spans``: character ranges of the rendered text that the model generates.
+
+    Segments are walked in blocks, so the growing list is copied once per block and not once per
+    segment; long conversations stay cheap.
+    """
+
+    def empty(at: Column) -> Column:
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        return F.struct(at.alias("at"), none.alias("spans"))
 
     def step(state: Column, s: Column) -> Column:
         end = state["at"] + F.length(s["text"])
         span = F.struct(state["at"].alias("start"), end.alias("end"))
-        return F.struct(
-            end.alias("at"),
-            F.when(s["gen"], F.array_append(state["spans"], span))
-            .otherwise(state["spans"])
-            .alias("spans"),
+        found = F.when(s["gen"], F.array_append(state["spans"], span)).otherwise(state["spans"])
+        return F.struct(end.alias("at"), found.alias("spans"))
+
+    def walk(state: Column, part: Column) -> Column:
+        # The list inside a block starts empty and is joined to the rest at its end.
+        return F.aggregate(
+            part,
+            empty(state["at"]),
+            step,
+            lambda done: F.struct(
+                done["at"].alias("at"), F.concat(state["spans"], done["spans"]).alias("spans")
+            ),
         )
 
-    return df.withColumn("spans", F.aggregate("segments", start, step, lambda s: s["spans"]))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("segments"), F.lit(1)), F.lit(block))
+    blocks = F.transform(starts, lambda i: F.slice("segments", i, F.lit(block)))
+    return df.withColumn("spans", F.aggregate(blocks, empty(F.lit(0)), walk, lambda s: s["spans"]))
 
 
 def loss_mask(df: DataFrame) -> DataFrame:

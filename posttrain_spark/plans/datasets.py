@@ -12,9 +12,9 @@ from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, table, work_table
 from posttrain_spark.session import scratch_path
 from posttrain_spark.sources.conversations import (
+    first_messages,
     read_benchmark,
     read_split,
-    turns_to_conversations,
     write_dataset,
 )
 from posttrain_spark.sources.files import move, part_files
@@ -22,8 +22,8 @@ from posttrain_spark.sources.files import move, part_files
 DIGEST = "md5(concat('42:', {}))"
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns_to_conversations(table(spark, sf_dir, "conversations"))
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.make_prompt(first_messages(table(spark, sf_dir, "conversations")))
 
 
 def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ FIRST = "first AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTI
 )
 def make_prompt(spark, sf_dir):
     prompt = F.col("prompt")
-    return D.select_columns(D.make_prompt(conversations(spark, sf_dir)), ["conv_id", "prompt"]).select(
+    return D.select_columns(prompts(spark, sf_dir), ["conv_id", "prompt"]).select(
         "conv_id", F.array_join(prompt["role"], ",").alias("roles"),
         prompt[0]["content"].alias("system_text"), prompt[1]["content"].alias("user_text"),
     )
@@ -53,7 +53,7 @@ def make_prompt(spark, sf_dir):
     f"""WITH {FIRST} SELECT md5(concat({S.quoted(D.SYSTEM_PROMPT)}, '|', text)) AS prompt_md5, 'label ' || conv_id AS ground_truth FROM first""",
 )
 def select_columns(spark, sf_dir):
-    df = D.make_prompt(conversations(spark, sf_dir)).withColumn(
+    df = prompts(spark, sf_dir).withColumn(
         "ground_truth", F.concat(F.lit("label "), F.col("conv_id"))
     )
     return D.select_columns(df).select(
@@ -66,7 +66,7 @@ def select_columns(spark, sf_dir):
     f"WITH {FIRST} SELECT conv_id FROM first WHERE {S.token_count('text')} <= 40",
 )
 def filter_long_prompts(spark, sf_dir):
-    return D.filter_long_prompts(D.make_prompt(conversations(spark, sf_dir)), 40).select("conv_id")
+    return D.filter_long_prompts(prompts(spark, sf_dir), 40).select("conv_id")
 
 
 @query("token_count", f"WITH {LENGTHS} SELECT doc_id, n AS n_tokens FROM lengths")

@@ -20,7 +20,7 @@ from posttrain_spark.plans.evaluation import (
 )
 from posttrain_spark.plans.registry import ORACLES, query, table
 from posttrain_spark.plans.rewards import COMPLETION, prompts
-from posttrain_spark.session import scratch_path
+from posttrain_spark.session import durable, scratch_path
 from posttrain_spark.sources import metrics as M
 from posttrain_spark.streaming import streams as T
 
@@ -47,7 +47,8 @@ def finish(query) -> None:
 
 @query("stream_score", ORACLES["score_multi"])
 def stream_score(spark, sf_dir):
-    labels = L.parse_multi_labels(prompts(spark, sf_dir)).drop("ground_truth")
+    # Stored once: a stream reads its static side again in every batch.
+    labels = durable(L.parse_multi_labels(prompts(spark, sf_dir)).drop("ground_truth"), "labels")
     scored = T.stream_score(rollout_stream(spark, sf_dir), labels).select(
         "prompt_id", "turn", F.round("score", 6).alias("score"),
         F.coalesce("error", F.lit("none")).alias("error"),
@@ -59,28 +60,29 @@ def stream_score(spark, sf_dir):
 
 @query(
     "stream_advantages",
-    """WITH r AS (SELECT doc_id, g AS sample_idx, ((doc_id * 7 + g * g) % 11)::DOUBLE AS reward
-                  FROM documents, unnest(generate_series(0, 7)) AS x(g) WHERE NOT (doc_id % 10 = 3 AND g > 4)),
+    """WITH e AS (SELECT doc_id, unnest(generate_series(0, least(7, n_chars // 100)::BIGINT)) AS g FROM documents),
+       r AS (SELECT doc_id, g AS sample_idx, ((doc_id * 7 + g * g) % 11)::DOUBLE AS reward FROM e),
        s AS (SELECT doc_id, avg(reward) AS m, stddev_samp(reward) AS d, count(*) AS n FROM r GROUP BY 1)
        SELECT doc_id AS prompt_id, sample_idx, reward, round((reward - m) / (d + 1e-4), 6) + 0.0 AS advantage
        FROM r JOIN s USING (doc_id) WHERE n = 8""",
 )
 def stream_advantages(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id")
+    """Short documents have fewer than eight samples; their groups must be withheld."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     stream = (
         spark.readStream.schema(documents.schema)
         .option("pathGlobFilter", "documents.parquet")
         .parquet(sf_dir)
     )
     rewards = stream.selectExpr(
-        "doc_id AS prompt_id", "explode(sequence(0, 7)) AS sample_idx", "doc_id"
+        "doc_id AS prompt_id",
+        "explode(sequence(0, CAST(least(7, n_chars div 100) AS INT))) AS sample_idx",
+        "doc_id",
     ).selectExpr(
         "prompt_id", "sample_idx", "CAST((doc_id * 7 + sample_idx * sample_idx) % 11 AS DOUBLE) AS reward"
     )
-    # Some groups never get all of their samples and must be withheld.
-    complete = rewards.filter("NOT (prompt_id % 10 = 3 AND sample_idx > 4)")
     path, state = scratch_path(spark, "advantages"), scratch_path(spark, "state")
-    result = T.stream_advantages(complete)
+    result = T.stream_advantages(rewards)
     finish(T.write_scores(result, path, state))
     return spark.read.schema(result.schema).parquet(path).select(
         "prompt_id", F.col("sample_idx").cast("long").alias("sample_idx"), "reward",

@@ -93,6 +93,18 @@ def turns_to_conversations(
     return turns.groupBy(key).agg(F.transform(ordered, lambda m: m["message"]).alias("messages"))
 
 
+def first_messages(
+    turns: DataFrame, key: str = "conv_id", turn: str = "turn", content: str = "text"
+) -> DataFrame:
+    """One row per conversation with a message list of its first message only.
+
+    Prompts need no more than that, so the other turns are dropped before the shuffle and no
+    conversation is gathered.
+    """
+    first = F.min_by(message_of(turns, content), F.col(turn))
+    return turns.groupBy(key).agg(F.array(first).alias("messages"))
+
+
 def read_conversations(spark: SparkSession, path: str, key: str = "conv_id") -> DataFrame:
     """Conversations from Parquet (nested, or one row per turn) or from JSON lines.
 

@@ -96,7 +96,10 @@ def latest_cells(spark: SparkSession, table: str) -> DataFrame:
 
 
 def stream_score(rollouts: DataFrame, labels: DataFrame, scale: float = 10.0, **options) -> DataFrame:
-    """Score completions as they arrive (S5): a stream-static join and row-wise scoring, no state."""
+    """Score completions as they arrive (S5): a stream-static join and row-wise scoring, no state.
+
+    ``labels`` is read again in every batch, so it should be a stored table of parsed labels.
+    """
     return score_multi(join_labels(rollouts, labels), scale, **options)
 
 

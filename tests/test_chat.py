@@ -117,3 +117,13 @@ def test_turn_level_equals_conversation_level(spark):
     )
     stats = turn_stats(turn_segments(turns))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, stats.collect()))
+
+
+def test_spans_over_many_blocks(spark):
+    messages = [m("user" if i % 2 else "assistant", f"w{i}") for i in range(1500)]
+    df = spark.createDataFrame([(1, messages), (2, []), (3, messages[:1])], SCHEMA)
+    rendered = C.generation_spans(C.render_chat(df), block=64)
+    rows = {r.conv_id: r for r in rendered.collect()}
+    for key, msgs in ((1, messages), (2, []), (3, messages[:1])):
+        cut = [rows[key].text[s.start : s.end] for s in rows[key].spans]
+        assert cut == [x[1] for x in msgs if x[0] == "assistant"]
