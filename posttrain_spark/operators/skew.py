@@ -1,4 +1,4 @@
-"""Equi-joins whose large side may have a hot key.
+"""Equi-joins whose large side may have hot keys.
 
 Adaptive execution can split a skewed join only when both sides come straight from an exchange, not
 when one side is an aggregate or when the join's partitioning is used again further on.  The joins
@@ -9,12 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1 / 1000
-# Pieces a hot key is cut into.
-PIECES = 64
+# Keys with fewer rows are never split: one task handles them with ease.
+MIN_ROWS = 10_000
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -22,11 +20,34 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_rows"))
 
 
-def hot_keys(counts: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Keys with more than ``share`` of all rows: fewer than ``1 / share`` whatever the data."""
-    total = counts.agg(F.sum("_rows")).scalar()
-    hot = counts.filter(F.col("_rows") > F.greatest(total * share, F.lit(PIECES)))
-    return [row[0] for row in hot.select(key).collect()]
+def join_partitions(df: DataFrame) -> int:
+    """Partitions a shuffle of this session is cut into."""
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, spark.sparkContext.defaultParallelism)
+
+
+def hot_keys(counts: DataFrame, key: str, partitions: int) -> dict[int, list]:
+    """Keys that hold more rows than an even partition, by the number of pieces they need.
+
+    There are fewer than ``partitions`` of them whatever the data.  A piece is at most half an even
+    partition; piece counts are powers of two, so the result has few entries.
+    """
+    even = counts.agg(F.sum("_rows")).scalar() / partitions
+    hot = counts.filter(F.col("_rows") > F.greatest(even, F.lit(MIN_ROWS)))
+    needed = F.pow(F.lit(2), F.ceil(F.log2(2 * F.col("_rows") / even))).cast("int")
+    pieces: dict[int, list] = {}
+    for row in hot.select(key, F.greatest(needed, F.lit(2)).alias("_n")).collect():
+        pieces.setdefault(row["_n"], []).append(row[key])
+    return pieces
+
+
+def _pieces_of(key: str, hot: dict[int, list]) -> Column:
+    """Number of pieces of a row's key; 1 for a key that is not hot."""
+    chain = F
+    for n, keys in sorted(hot.items()):
+        chain = chain.when(F.col(key).isin(*keys), n)
+    return chain.otherwise(1)
 
 
 def skew_join(
@@ -44,12 +65,13 @@ def skew_join(
     tell its rows apart) and the matching rows of ``small`` are repeated once per piece; all other
     keys are joined as they are.  ``counts`` may be given when rows per key are known already.
     """
-    hot = hot_keys(key_counts(large, key) if counts is None else counts, key)
+    counts = key_counts(large, key) if counts is None else counts
+    hot = hot_keys(counts, key, join_partitions(large))
     if not hot:
         return large.join(small, key, how)
-    piece = F.pmod(F.xxhash64(*spread_by), F.lit(PIECES)).cast("int")
-    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
-    left = large.withColumn("_piece", F.when(is_hot, piece).otherwise(0))
-    last_piece = F.when(is_hot, PIECES - 1).otherwise(0)
-    right = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), last_piece)))
+    pieces = _pieces_of(key, hot)
+    left = large.withColumn(
+        "_piece", F.when(pieces > 1, F.pmod(F.xxhash64(*spread_by), pieces)).otherwise(0).cast("int")
+    )
+    right = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return left.join(right, [key, "_piece"], how).drop("_piece")

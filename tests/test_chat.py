@@ -106,8 +106,11 @@ def test_json_lines(spark, tmp_path):
     assert [tuple(c) for c in got.tool_calls] == [("f", json.dumps({"b": 1, "a": "x,y: z"})), ("g", '{"q":1}')]
 
 
-def test_turn_level_equals_conversation_level(spark):
+def test_turn_level_equals_conversation_level(spark, monkeypatch):
     """Also for a conversation that holds most of the rows."""
+    from posttrain_spark.operators import skew
+
+    monkeypatch.setattr(skew, "MIN_ROWS", 100)
     roles = ["system", "user", "assistant", "tool", "tool", "assistant", "user", "assistant"]
     rows = [(c, t, roles[(t + c) % len(roles)], f"<think>r</think>w{t} x" if t % 3 else f"t{t}")
             for c, n in ((1, 400), (2, 7), (3, 1), (4, 8)) for t in range(n)]

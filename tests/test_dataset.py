@@ -143,16 +143,32 @@ def test_mix_keeps_duplicates(spark):
     assert got == [(1, "a"), (1, "a"), (1, "b")]
 
 
-def test_skew_join_with_a_hot_key(spark):
-    from posttrain_spark.operators.skew import hot_keys, key_counts, skew_join
+def test_skew_join_with_hot_keys(spark, monkeypatch):
+    from posttrain_spark.operators import skew
 
-    large = spark.range(6000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("row"))
+    monkeypatch.setattr(skew, "MIN_ROWS", 100)
+    key = F.when(F.col("id") < 4000, 7).when(F.col("id") < 5000, 9).otherwise(F.col("id") % 500)
+    large = spark.range(6000).select(key.alias("k"), F.col("id").alias("row"))
     small = spark.range(450).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert 7 in hot_keys(key_counts(large, "k"), "k", share=0.1)
-    assert hot_keys(key_counts(small, "k"), "k") == []
+    assert skew.hot_keys(skew.key_counts(large, "k"), "k", 8) == {16: [7], 4: [9]}
+    assert skew.hot_keys(skew.key_counts(small, "k"), "k", 8) == {}
     for how in ("inner", "left"):
-        got = sorted(map(tuple, skew_join(large, small, "k", ["row"], how).select("k", "row", "v").collect()), key=str)
-        assert got == sorted(map(tuple, large.join(small, "k", how).select("k", "row", "v").collect()), key=str)
+        joined = skew.skew_join(large, small, "k", ["row"], how).select("k", "row", "v")
+        plain = large.join(small, "k", how).select("k", "row", "v")
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_advantages_with_a_hot_group(spark, monkeypatch):
+    from posttrain_spark.operators import rollouts, skew
+
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("prompt_id"),
+        F.col("id").alias("sample_idx"), (F.col("id") % 5).cast("double").alias("reward"),
+    )
+    plain = rollouts.advantages(df).collect()
+    monkeypatch.setattr(skew, "MIN_ROWS", 100)
+    split = rollouts.advantages(df, spread_by=["sample_idx"]).collect()
+    assert sorted(map(tuple, split)) == sorted(map(tuple, plain)) and len(split) == 3000
 
 
 def test_large_hold_out_takes_the_same_rows(spark, monkeypatch):
