@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from posttrain_spark.functions.text import find_all, first_of, last_of, let, strip
 
+# Patterns and phrases that decide what an answer is.
 NUMBER = r"[-+]?\p{Nd}*\.\p{Nd}+|\p{Nd}+"
 GROUPED_DIGITS = r"(\p{Nd}),(\p{Nd})"
 CODE_BLOCK = r"(?s)```(?:python)?(.*?)```"

@@ -32,12 +32,15 @@ def test_chunks_is_python_split(spark, texts):
 
 
 def test_strip_thinking(spark):
-    def expected(text):
-        text = text.replace("<|assistant|>", "").strip().split("</think>")[-1]
-        return text.replace("<answer>", "").replace("</answer>", "").strip()
-
-    texts = ["<think>a</think> b", "x", "<think>a</think>", " <|assistant|> <answer>q</answer>\n", "a</think>b</think>c", ""]
-    assert values(spark, texts, X.strip_thinking(F.col("t"))) == [expected(t) for t in texts]
+    cases = {
+        "<think>a</think> b": "b",
+        "x": "x",
+        "<think>a</think>": "",
+        " <|assistant|> <answer>q</answer>\n": "q",
+        "a</think>b</think>c": "c",
+        "": "",
+    }
+    assert values(spark, list(cases), X.strip_thinking(F.col("t"))) == list(cases.values())
 
 
 def test_is_json_agrees_with_the_json_module(spark):
@@ -62,14 +65,17 @@ def test_words_and_sentences(spark):
 
 
 def test_last_number_rule(spark):
-    texts = ["1,2,3", "-5", "x=.5", "1,234 and 5,678", "none", "a -3.5", "12. 7"]
-
-    def expected(text):
-        response = re.sub(r"(\d),(\d)", r"\1\2", text)
-        found = re.findall(r"[-+]?\d*\.\d+|\d+", response)
-        return found[-1] if found else response
-
-    assert values(spark, texts, A.last_number(F.col("t"))) == [expected(t) for t in texts]
+    cases = {
+        "1,2,3": "3",
+        "-5": "5",
+        "x=.5": ".5",
+        "1,234 and 5,678": "5678",
+        "none": "none",
+        "a -3.5": "-3.5",
+        "12. 7": "7",
+        "٣ apples": "٣",
+    }
+    assert values(spark, list(cases), A.last_number(F.col("t"))) == list(cases.values())
 
 
 def test_last_boxed_any_depth(spark):
@@ -95,7 +101,10 @@ def test_math_scores(spark):
 
 
 def test_last_code_block(spark):
-    texts = ["```python\na\n``` mid ```\nb\n```", "no fence", "```open", "```py\nx```"]
-    found = [re.findall(r"```(?:python)?(.*?)```", t, re.DOTALL) for t in texts]
-    want = [f[-1].strip() if f else t for f, t in zip(found, texts)]
-    assert values(spark, texts, A.last_code_block(F.col("t"))) == want
+    cases = {
+        "```python\na\n``` mid ```\nb\n```": "b",
+        "no fence": "no fence",
+        "```open": "```open",
+        "```py\nx```": "py\nx",
+    }
+    assert values(spark, list(cases), A.last_code_block(F.col("t"))) == list(cases.values())
