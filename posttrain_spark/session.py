@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,22 +28,35 @@ def build_session(name: str, master: str | None = None, **extra: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Where it is unset, a local session gets a temporary folder; on a cluster that would lose data
-    with the machine, so it is refused.
+    Where it is unset, as in tests, a folder in the session's warehouse is taken: executors reach the
+    warehouse in any set-up in which they can write tables.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="posttrain-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+_RUN_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """A folder of this run below the shared folder; it is removed when the driver ends."""
+    place = (spark.sparkContext.applicationId, shared_dir(spark))
+    if place not in _RUN_FOLDERS:
+        folder = f"{place[1]}/run-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _RUN_FOLDERS[place] = folder
+    return _RUN_FOLDERS[place]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one run below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df, name: str):
