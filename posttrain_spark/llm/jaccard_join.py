@@ -10,12 +10,15 @@ shingles first), it is enough that each text shows its first ``d + 1`` words.  T
 equal word of an equal band are candidates:
 
 1. equal sets become one node (128 documents or a third of the corpus: one node each);
-2. each bucket of nodes that show an equal word is compared with one centre and verified exactly;
-3. buckets whose nodes are not yet in one component are compared in full, in blocks of bounded
-   size: bit sketches exclude most pairs, the rest are verified on the sets, and only edges between
-   parts not yet joined leave the task.
+2. each bucket of nodes that show an equal word is compared with one centre, exactly, on the texts;
+3. buckets whose nodes are not yet in one component are compared in full, in blocks of bounded size,
+   by parity sketches of single bits, whose Hamming distance excludes nearly all pairs that do not
+   link.  Of the rest, those that would join parts not yet joined are verified exactly;
+4. the same once more for what is then still apart, now with every pair the sketches allow.
 
-No pair is lost at any step, and nothing is capped.  Pairs of one group are never emitted.
+After step 4 every pair that shows an equal word is in one component, excluded by its sketches or
+verified, so no link between components is lost, nothing is capped, and the pairs within a
+component are not listed.
 
 Sizes are cut into bands of four-fold width, each overlapping the next by the factor 1.25 that a
 linked pair may differ in.  Small sets (below ``SMALL``) and the rare larger ones whose sketch has
@@ -152,98 +155,106 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([len(s) > 0 and node_of(s) == n for n, s in zip(nodes, sets, strict=True)], pa.bool_()))
 
 
-def _sized_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_bits(n: int) -> int:
+    """Bits of the parity sketch of ``n`` shingles: a power of two, at least four per shingle."""
+    return 1 << max(8, (4 * n - 1).bit_length())
+
+
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1), WIDTH))
+        sizes, sketches = [], []
+        for s in shingle_sets(batch.column(1), WIDTH):
+            bits = _sketch_bits(len(s))
+            flips = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+            sizes.append(len(s))
+            sketches.append(np.packbits((flips & 1).astype(np.uint8)).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ],
-            names=["node", "n", "shingles"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
+            names=["node", "n", "sketch"],
         )
 
 
-def _bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity bits of each set, at least four per shingle of the largest."""
-    bits = 1 << max(8, int(4 * max(map(len, sets))).bit_length())
-    rows = np.zeros((len(sets), bits // 8), np.uint8)
-    for row, s in zip(rows, sets, strict=True):
-        odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        row[:] = np.packbits(odd.astype(np.uint8))
-    return rows.view(np.uint64)
+def _folded(sketches: np.ndarray) -> np.ndarray:
+    """The same parities in half as many bits."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
 
+def _near_pairs(sizes: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Places ``i`` and the places whose sketches allow a link with it, nearest first, each pair once.
 
-def _join_block(block: pa.Table) -> pa.Table:
-    """Edges that join parts of one block: sets of one bucket, from one or two of its pieces."""
+    Linked sets differ in size by a quarter at most, so their sketches have equal widths or one is
+    twice as wide as the other.
+    """
+    width = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    rows = {
+        w: np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(width == w)), np.uint64).reshape(-1, w // 8)
+        for w in np.unique(width)
+    }
+    for w in rows:
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        at = np.concatenate([own, wider])
+        bits = np.concatenate([rows[w], _folded(rows[2 * w])]) if len(wider) else rows[w]
+        for k in range(len(own)):
+            distance = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            js = at[k + 1 :]
+            near = distance <= max_difference(sizes[js], sizes[own[k]])
+            yield own[k], js[near][np.argsort(distance[near], kind="stable")]
+
+
+def _block_pairs(block: pa.Table, spanning: bool) -> pa.Table:
+    """Pairs of one block (sets of one bucket, from one or two of its pieces) to be verified.
+
+    Only sets of different parts are paired.  ``spanning``: only pairs that join parts not joined by
+    the pairs before, so there are fewer pairs than sets.
+    """
     nodes = block.column("node").to_numpy()
-    side = block.column("piece").to_numpy()
-    two = len(block) > 0 and block.column("low")[0].as_py() != block.column("high")[0].as_py()
-    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in block.column("shingles")]
+    piece = block.column("piece").to_numpy()
+    two = block.column("low")[0].as_py() != block.column("high")[0].as_py()
     _, part = np.unique(block.column("part").to_numpy(), return_inverse=True)
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    sketches = _bit_sketches(sets)
-    edges = []
-    for i in range(len(sets) - 1):
-        other = part[i + 1 :] != part[i]
-        if two:
-            other &= side[i + 1 :] != side[i]
-        js = np.flatnonzero(other) + i + 1
-        if not len(js):
-            continue
-        distance = np.bitwise_count(sketches[js] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-        near = distance <= max_difference(sizes[js], sizes[i])
-        js, distance = js[near], distance[near]
-        for j in js[np.argsort(distance, kind="stable")]:
-            if part[j] != part[i] and linked(sets[i], sets[j]):
-                edges.append((nodes[i], nodes[j]))
-                part[part == part[j]] = part[i]
-    a, b = zip(*edges, strict=True) if edges else ((), ())
+    a, b = [], []
+    for i, js in _near_pairs(block.column("n").to_numpy(), block.column("sketch").to_pylist()):
+        for j in js[(part[js] != part[i]) & ((piece[js] != piece[i]) | (not two))]:
+            if part[j] != part[i]:
+                a.append(min(nodes[i], nodes[j]))
+                b.append(max(nodes[i], nodes[j]))
+                if spanning:
+                    part[part == part[j]] = part[i]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _links_to_centres(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    pairs = durable(
-        shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
-        "pairs",
-    )
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_verify_rows, "a long, b long")
 
 
-def _links_in_buckets(shared: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between nodes of a bucket that are in different components so far."""
-    part = shared.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+def _open_pairs(shared: DataFrame, roots: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs of nodes that show an equal word, are in different components so far and whose sketches
+    allow a link; ``spanning`` as in ``_block_pairs``."""
+    part = shared.select("key", "node").join(roots, "node", "left")
+    part = part.withColumn("part", F.coalesce("root", "node"))
     open_buckets = part.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b"))
     members = durable(
-        part.join(open_buckets.filter("_a <> _b"), "key", "left_semi").select("key", "node", "part"),
+        part.join(open_buckets.filter("_a <> _b"), "key", "left_semi")
+        .join(sketches.select("node", "n"), "node")
+        .select("key", "node", "part", "n"),
         "members",
     )
-    open_nodes = members.select("node").distinct()
-    sets = durable(
-        texts.join(open_nodes, "node", "left_semi")
-        .select("node", "text")
-        .mapInArrow(_sized_sets, "node long, n long, shingles binary"),
-        "sets",
+    # Buckets that hold the same nodes are compared once, under the smallest of their keys.
+    load = members.groupBy("key").agg(
+        F.count("*").alias("_sets"),
+        F.sum("n").alias("_size"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_x"),
+        F.sum(F.xxhash64("node", F.lit(7)).cast("decimal(20,0)")).alias("_y"),
     )
-    sized = members.join(sets.select("node", "n"), "node")
-    load = sized.groupBy("key").agg(F.count("*").alias("_sets"), F.sum("n").alias("_size"))
-    # One bucket whose nodes show the same set of words is compared once, under its smallest key.
-    same = load.join(
-        members.groupBy("key").agg(
-            F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_x"),
-            F.sum(F.xxhash64("node", F.lit(7)).cast("decimal(20,0)")).alias("_y"),
-        ),
-        "key",
-    )
-    chosen = same.groupBy("_sets", "_size", "_x", "_y").agg(F.min("key").alias("key"))
+    chosen = load.groupBy("_sets", "_size", "_x", "_y").agg(F.min("key").alias("key"))
     pieces = F.greatest(
         F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_size") / BLOCK_SHINGLES)
     ).cast("int")
-    placed = durable(
+    placed = (
         members.join(chosen.select("key", pieces.alias("_pieces")), "key")
         .withColumn("piece", F.pmod(F.xxhash64("node"), "_pieces").cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
@@ -251,13 +262,13 @@ def _links_in_buckets(shared: DataFrame, roots: DataFrame, texts: DataFrame) ->
             "key", "node", "part", "piece",
             F.least("piece", "_other").cast("int").alias("low"),
             F.greatest("piece", "_other").cast("int").alias("high"),
-        ),
-        "placed",
+        )
     )
     return (
-        placed.join(sets.drop("n"), "node")
+        placed.join(sketches, "node")
         .groupBy("key", "low", "high")
-        .applyInArrow(_join_block, "a long, b long")
+        .applyInArrow(lambda block: _block_pairs(block, spanning), "a long, b long")
+        .distinct()
     )
 
 
@@ -300,10 +311,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .dropDuplicates(["node"]),
         "candidate-texts",
     )
-    first = durable(_links_to_centres(shared, texts), "links-1")
-    roots = durable(connected_components(first), "roots-1")
-    second = durable(_links_in_buckets(shared, roots, texts), "links-2")
-    merged = connected_components(first.unionByName(second))
+    sketches = durable(
+        texts.select("node", "text").mapInArrow(_sketch_rows, "node long, n long, sketch binary"), "sketches"
+    )
+    ordered = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    tried = durable(shared.filter("node <> centre").select(*ordered).distinct(), "pairs-1")
+    links = durable(_verified(tried, texts), "links-1")
+    for step, spanning in ((2, True), (3, False)):
+        roots = durable(connected_components(links), f"roots-{step}")
+        pairs = durable(
+            _open_pairs(shared, roots, sketches, spanning).join(tried, ["a", "b"], "left_anti"), f"pairs-{step}"
+        )
+        links = links.unionByName(durable(_verified(pairs, texts), f"links-{step}"))
+        tried = tried.unionByName(pairs)
+    merged = connected_components(links)
     placed = durable(
         nodes.join(merged, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed"
     )
