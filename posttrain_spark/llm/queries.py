@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("jaccard_join",)
+MODULES = ("jaccard_join", "bpe")
 
 
 def load() -> None:
