@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -172,9 +173,12 @@ class Codec:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def _codec(spec: str) -> Codec:
-    return Codec(spec)
+    """The codec of this Python worker; it outlives the task, with the words it has met."""
+    kept = sys.modules.setdefault("_bpe_codec_of_this_worker", types.ModuleType("kept")).__dict__
+    if kept.get("spec") != spec:
+        kept.update(spec=spec, codec=Codec(spec))
+    return kept["codec"]
 
 
 def _shared_spec(spark: SparkSession, vocabulary: str):

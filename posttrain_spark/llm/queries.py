@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("jaccard_join", "bpe")
+MODULES = ("jaccard_join", "bpe", "mixing", "toxicity")
 
 
 def load() -> None:
