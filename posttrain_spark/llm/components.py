@@ -8,23 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from posttrain_spark.operators.skew import skew_join
 from posttrain_spark.session import durable
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    """Lowest neighbour and number of neighbours of every first node (summed before the shuffle)."""
-    return durable(
-        edges.groupBy("u").agg(F.min("v").alias("_low"), F.count("*").alias("_rows")), "star-low"
-    )
+    """Lowest neighbour of every first node (found before the shuffle, so hot nodes are no matter)."""
+    return durable(edges.groupBy("u").agg(F.min("v").alias("_low")), "star-low")
 
 
 def _star(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """Each edge (u, v) as (v, lowest of u); nodes with very many edges are spread over tasks."""
-    joined = skew_join(
-        edges, low.drop("_rows"), "u", ["v"], counts=low.select("u", "_rows")
-    )
-    return joined.select(F.col("v").alias("u"), F.col("_low").alias("v"))
+    """Each edge (u, v) as (v, lowest of u).
+
+    Both sides are read from written tables, so adaptive execution can split a node with very many
+    edges.
+    """
+    return edges.join(low, "u").select(F.col("v").alias("u"), F.col("_low").alias("v"))
 
 
 def _round(edges: DataFrame) -> DataFrame:
