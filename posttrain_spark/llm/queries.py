@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("jaccard_join", "bpe", "mixing", "toxicity", "line_dedup", "quality", "html_text", "warc")
+MODULES = ("jaccard_join", "bpe", "mixing", "toxicity", "line_dedup", "quality", "html_text", "warc", "secret_scan", "bm25")
 
 
 def load() -> None:
