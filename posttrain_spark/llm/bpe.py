@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,8 +32,8 @@ from posttrain_spark.plans.registry import query, table
 
 WORD_END = "</w>"
 # Bounds of what a Python worker keeps between rows: arcs, and pre-split words with their tokens.
-MOST_ARCS = 2_000_000
-MOST_WORDS = 500_000
+MOST_ARCS = 500_000
+MOST_WORDS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -57,7 +58,7 @@ class Automaton:
             self.spelled[t] = i
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank of its merge
         self.cut: dict[tuple[int, int], int] = {}  # arc of a state: rank at which it was taken away
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         for rank, (a, b) in enumerate(merges):
             self._gadget(vocabulary[a], vocabulary[b], vocabulary[a + b], rank)
 
@@ -87,11 +88,12 @@ class Automaton:
             rank = min(rank, born + 1)
 
     def arc(self, state: int, token: int) -> bool:
-        found = self.table.get((state, token))
+        key = state << 32 | token
+        found = self.table.get(key)
         if found is None:
             if len(self.table) >= MOST_ARCS:
                 self.table.clear()
-            found = self.table[state, token] = self._present(state, token, len(self.ids))
+            found = self.table[key] = self._present(state, token, len(self.ids))
         return found
 
     def encode(self, word: str) -> list[int]:
@@ -156,18 +158,19 @@ class Codec:
         self.symbols = byte_symbols()
         self.words = _Words(self)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids of a whole text."""
+        out: list[Iterable[int]] = []
         for part in self.split_special(text) if "<|" in text else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append((self.special[part],))
                 continue
             split = self.plain_pieces
             if not part.isascii():
                 # Lower case goes by single characters: no final form of sigma.
                 part, split = unicodedata.normalize("NFC", part).replace("Σ", "σ"), self.pieces
-            out.extend(chain.from_iterable(map(self.words.__getitem__, split(part.lower()))))
-        return out
+            out.append(chain.from_iterable(map(self.words.__getitem__, split(part.lower()))))
+        return np.fromiter(chain.from_iterable(out), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
@@ -208,9 +211,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "tok
 
     All other columns are kept; one named like ``out`` is replaced.
     """
-    work = lambda codec, texts: pa.array(
-        [codec.encode(t.as_py() or "") for t in texts], pa.list_(pa.int32())
-    )
+
+    def work(codec: Codec, texts: pa.Array) -> pa.Array:
+        ids = [codec.encode(t.as_py() or "") for t in texts]
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
     return _mapped(docs, text, out, "array<int>", _shared_spec(docs.sparkSession, vocabulary), work)
 
 

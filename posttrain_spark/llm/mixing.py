@@ -121,8 +121,8 @@ def mix_sources(
     """The rows drawn for the mix, with all columns of ``docs`` and ``_epoch``, ``_tokens``, the keys.
 
     A row is returned once per epoch it is drawn in (``_epoch`` from 0).  Tokens are words; a NULL
-    or empty text has none and is drawn where it stands in the order.  NULL keys form leaves of
-    their own.  Order within an epoch: md5 of seed, epoch and id, then id, tokens and a hash of the
+    or empty text has none and is drawn where it stands in the order; a leaf without any tokens is
+    drawn once.  NULL keys form leaves of their own.  Order within an epoch: md5 of seed, epoch and id, then id, tokens and a hash of the
     text, so rows that repeat an id have a place each.  ``docs`` may have any other columns; those
     named like one of the added ones are replaced.  An empty table gives an empty result.
     """
@@ -139,7 +139,7 @@ def mix_sources(
     plan = durable(
         plan.select(
             *LEVELS,
-            F.when(F.col("_tokens") > 0, F.expr("_budget div _tokens")).otherwise(F.lit(0)).alias("_whole"),
+            F.when(F.col("_tokens") > 0, F.expr("_budget div _tokens")).otherwise(F.lit(1)).alias("_whole"),
             F.when(F.col("_tokens") > 0, F.col("_budget") % F.col("_tokens")).otherwise(F.lit(0)).alias("_part"),
         ),
         "plan",
@@ -238,7 +238,7 @@ f2 AS (
 b2 AS (
   SELECT d, l, s, tokens, CASE WHEN f THEN cap ELSE (b - coalesce(sum(cap) FILTER (f) OVER (PARTITION BY d, l), 0))::HUGEINT * w
     // (sum(w) FILTER (NOT f) OVER (PARTITION BY d, l))::HUGEINT END AS b FROM f2),
-plan AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS whole,
+plan AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN b // tokens ELSE 1 END AS whole,
   CASE WHEN tokens > 0 THEN b % tokens ELSE 0 END AS part FROM b2),
 ordered AS (
   SELECT docs.*, whole, part, sum(tokens) OVER (PARTITION BY d, l, s
