@@ -41,7 +41,8 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.sql.files.maxPartitionBytes": "4m",
+            # Each given table is one row group, which Spark cannot split.
+            "posttrain.input.partitions": cpus,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

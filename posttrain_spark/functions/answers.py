@@ -57,7 +57,10 @@ def check_gsm8k(prediction: Column, label: Column) -> Column:
 
 
 def last_boxed(text: Column) -> Column:
-    r"""Content of the last ``\boxed{...}`` with balanced braces of any depth, else NULL."""
+    r"""Content of the last ``\boxed{...}`` with balanced braces of any depth, else NULL.
+
+    ``\boxed 42$`` without braces gives what follows up to the next dollar sign.
+    """
     tail = F.substring_index(text, "\\boxed", -1)
     pieces = find_all(tail, r"[^{}]+|[{}]")
 
@@ -81,7 +84,9 @@ def last_boxed(text: Column) -> Column:
     usable = (
         F.contains(text, F.lit("\\boxed")) & F.startswith(tail, F.lit("{")) & end["closed"]
     )
-    return F.when(usable, F.substr(tail, F.lit(2), end["size"] - 2))
+    plain = F.contains(text, F.lit("\\boxed")) & F.startswith(tail, F.lit(" "))
+    bare = F.substr(F.substring_index(tail, "$", 1), F.lit(2))
+    return F.when(plain, bare).when(usable, F.substr(tail, F.lit(2), end["size"] - 2))
 
 
 def normalize_answer(text: Column) -> Column:

@@ -122,5 +122,6 @@ def is_json(text: Column) -> Column:
 
 
 def parent_name(path: Column) -> Column:
-    """Name of the directory a file lies in."""
-    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    """Name of the directory a file lies in; paths of files come percent-encoded."""
+    name = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))

@@ -1,10 +1,9 @@
-"""Token counting (C4) with a built-in counter and a pluggable vocabulary-backed one."""
+"""Token counting (C4): a built-in counter, and any other by a function from Column to Column."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from posttrain_spark.functions.text import TOKEN, count_matches, find_all
@@ -16,7 +15,7 @@ def token_count(text: Column, counter: Counter = "regex") -> Column:
     """Tokens in ``text``.
 
     ``"regex"`` counts words and single punctuation marks on the JVM.  Any function from Column to
-    Column may be given instead, for example the result of :func:`vocabulary_counter`.
+    Column may be given instead.
     """
     if callable(counter):
         return counter(text)
@@ -27,17 +26,3 @@ def token_count(text: Column, counter: Counter = "regex") -> Column:
 
 def tokens(text: Column) -> Column:
     return find_all(text, TOKEN)
-
-
-def vocabulary_counter(tokenizer_file: str) -> Callable[[Column], Column]:
-    """Counter backed by a tokenizer file readable on every executor; no special tokens are added."""
-
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        batch = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([len(e.ids) for e in batch], dtype="int32")
-
-    return count

@@ -197,14 +197,17 @@ def chat_segments(
 
 
 def render_chat(df: DataFrame, messages: str = "messages", **options) -> DataFrame:
-    """Add ``segments`` and the rendered ``text``; options as in :func:`chat_segments`."""
-    return (
-        df.withColumn("_last_query", last_query_index(F.col(messages)))
-        .withColumn(
-            "segments", chat_segments(messages, last_query=F.col("_last_query"), **options)
-        )
-        .withColumn("text", F.array_join(F.col("segments.text"), ""))
-        .drop("_last_query")
+    """Add ``segments`` and the rendered ``text``; options as in :func:`chat_segments`.
+
+    The last query is bound around the whole list.  As a column of its own it would be folded into
+    the per-message expression and searched for once per message.
+    """
+    segments = let(
+        last_query_index(F.col(messages)),
+        lambda last: chat_segments(messages, last_query=last, **options),
+    )
+    return df.withColumn("segments", segments).withColumn(
+        "text", F.array_join(F.col("segments.text"), "")
     )
 
 

@@ -634,9 +634,11 @@ def detect_language(text: Column) -> Column:
 @register_check("language:response_language")
 def _response_language(text, args):
     wanted = args.text("language")
-    # Text without any evidence passes, as it does when a detector gives up.
+    # Text without any evidence passes, as it does when a detector gives up.  A language without a
+    # profile has no verdict: its texts would be taken for a neighbour's.
     return F.when(
-        wanted.isNotNull(), F.coalesce(detect_language(text) == wanted, F.lit(True))
+        wanted.isin(*LANGUAGE_PROFILES, *LANGUAGE_SCRIPTS),
+        F.coalesce(detect_language(text) == wanted, F.lit(True)),
     )
 
 

@@ -9,15 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posttrain_spark.functions.tokens import Counter, token_count
-from posttrain_spark.operators.ordering import number_rows, shuffle_key
+from posttrain_spark.operators.ordering import cut_after, number_rows, shuffle_key
 from posttrain_spark.session import durable
 
 # Fixed value.
 SYSTEM_PROMPT = "You are a helpful assistant. Follow the user's instructions carefully."
 
-# A limit up to this many rows may be taken by one task.
-SMALL_LIMIT = 10_000
-
 
 def make_prompt(df: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
     """Add ``prompt``: a fixed system message and the first message's content as the user."""
@@ -42,19 +39,12 @@ def filter_long_prompts(df: DataFrame, max_tokens: int = 4096, counter: Counter
     return df.filter(token_count(content, counter) <= max_tokens)
 
 
-def cap_rows(
-    df: DataFrame, n: int = 1_000_000, key: str = "conv_id", small: int = SMALL_LIMIT
-) -> DataFrame:
-    """The first ``min(n, rows)`` rows by a unique numeric ``key``.
+def cap_rows(df: DataFrame, n: int = 1_000_000, key: str = "conv_id") -> DataFrame:
+    """The first ``min(n, rows)`` rows by a numeric ``key``, NULL first; ties are cut by a digest.
 
-    A large cap is a comparison with the key of the n-th row, so no task ever holds the result and
-    the comparison reaches the file scan.
+    The cap is a comparison with the place of the n-th row, so no task ever holds the result.
     """
-    if n <= small:
-        return df.orderBy(key).limit(n)
-    keys = durable(df.select(key), "cap-keys")
-    last = number_rows(keys, key).filter(F.col("ordinal") < n).agg(F.max(key)).scalar()
-    return df.filter(F.col(key) <= last)
+    return cut_after(df, key, n)[0]
 
 
 def limit_samples(df: DataFrame, n: int = 3, key: str = "item_id") -> DataFrame:
@@ -84,23 +74,12 @@ def shuffle(df: DataFrame, key: Column | str, seed: int = 42) -> DataFrame:
 def train_eval_split(
     df: DataFrame, key: str, n: int = 200, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Exact-size hold-out: ``n`` rows to eval, the rest to train.
+    """Exact-size hold-out: train and eval, ``n`` rows (or all there are) to eval.
 
-    Both sides are a comparison with the shuffle position of the n-th row, found from the keys
-    alone; neither side needs a join.  ``key`` must be unique.
+    Both sides are a comparison with the shuffle position of the n-th row; neither needs a join.
     """
-    place = F.struct(shuffle_key(F.col(key), seed).alias("digest"), F.col(key).alias("key"))
-    if n <= SMALL_LIMIT:
-        first = df.select(place.alias("place")).orderBy("place").limit(n)
-    else:
-        keys = durable(df.select(key), "split-keys")
-        held = number_rows(keys, key, seed=seed).filter(F.col("ordinal") < n)
-        first = held.select(place.alias("place"))
-    last = first.agg(F.max("place")).scalar()
-    return (
-        df.filter(F.coalesce(place > last, F.lit(True))),
-        df.filter(F.coalesce(place <= last, F.lit(False))),
-    )
+    held, rest = cut_after(df, key, n, seed=seed)
+    return rest, held
 
 
 def expand_generations(df: DataFrame, n: int = 8) -> DataFrame:

@@ -118,7 +118,8 @@ def metric_rows(files: DataFrame, text: str = "value") -> DataFrame:
     return rows.select(
         "model", "benchmark", "mode", F.col("entry.key").alias("metric"), "position",
         F.regexp_replace(F.schema_of_variant(typed), r"\(.*", "").alias("kind"),
-        F.col("entry.value").alias("value"),
+        # The parser hands numbers that JSON cannot write on in quotes.
+        F.regexp_replace("entry.value", '^"(NaN|-?Infinity)"$', "$1").alias("value"),
     )
 
 
@@ -201,9 +202,10 @@ def checkpoint_step(model: Column) -> Column:
     return F.regexp_extract(model, r"(?i)checkpoint-(\d+)", 1).try_cast("long")
 
 
-def by_checkpoint(df: DataFrame, model: str = "model") -> DataFrame:
-    """Order rows by checkpoint number, unnumbered ones last, then by name."""
-    return df.orderBy(checkpoint_step(F.col(model)).asc_nulls_last(), F.col(model))
+def by_checkpoint(df: DataFrame, model: str = "model", within: bool = False) -> DataFrame:
+    """Order rows by checkpoint number, unnumbered ones last, then by name; ``within`` partitions only."""
+    sort = df.sortWithinPartitions if within else df.orderBy
+    return sort(checkpoint_step(F.col(model)).asc_nulls_last(), F.col(model))
 
 
 def pending(checkpoints: DataFrame, benchmarks: DataFrame, ledger: DataFrame) -> DataFrame:

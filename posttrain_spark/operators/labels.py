@@ -19,7 +19,8 @@ CONSTRAINTS = "array<struct<instruction_id:string,kwargs:map<string,string>>>"
 ELEMENT = "instruction_id array<string>, kwargs array<map<string,string>>"
 
 # A Python literal cut into quoted strings and the text between them.
-LITERAL_PIECES = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+"""
+# Unrolled and possessive: strings of any length are matched without recursion.
+LITERAL_PIECES = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++"""
 # Inside quoted strings: escapes that JSON reads differently or not at all.
 PYTHON_ONLY_ESCAPE = r"""\\[^'"\\/bfnrt]"""
 # Outside quoted strings: words that are JSON but not Python.
@@ -31,7 +32,9 @@ PATTERN_ARGS = (
 )
 PATTERN_CHARACTERS = r"[\\^$*+?{}\[\]|()]"
 # Regular-expression forms that Python has and the JVM lacks or reads differently.
-NOT_PORTABLE = re.compile(r"\(\?P|\(\?\(|\\Z|\[\[|&&|\[\^?\]")
+NOT_PORTABLE = re.compile(r"\(\?P|\(\?\(|\(\?[a-zA-Z-]*[aL]|\\[Z0U]|\[\[|&&|\[\^?\]")
+# An escape, a character class, a quantifier in braces, or a brace that is literal text.
+BRACES = re.compile(r"\\.|\[\^?(?:\\.|[^\]\\])*\]|\{(\d*)(?:(,)(\d*))?\}|[{}]", re.DOTALL)
 
 SINGLE_QUOTED_JSON = {
     "allowSingleQuotes": "true",
@@ -102,6 +105,26 @@ def _uses_patterns(constraints: Column) -> Column:
     )
 
 
+def portable_braces(pattern: str) -> str:
+    """The pattern with braces written so that the JVM reads them as Python does.
+
+    Python takes a brace that begins no quantifier as literal text, and ``{,n}`` as ``{0,n}``.
+    """
+
+    def one(found: re.Match) -> str:
+        text = found[0]
+        if text[0] in "\\[":
+            return text
+        if text in "{}" or text == "{}":
+            return text.replace("{", "\\{").replace("}", "\\}")
+        low, comma, high = found[1], found[2] or "", found[3] or ""
+        if not low and not comma:
+            return text.replace("{", "\\{").replace("}", "\\}")
+        return f"{{{low or 0}{comma}{high}}}"
+
+    return BRACES.sub(one, pattern)
+
+
 def read_literal(label: str | None) -> str | None:
     """JSON text of element 0 of a literal label; None where reading it raises.
 
@@ -122,6 +145,10 @@ def read_literal(label: str | None) -> str | None:
                     if pattern is not None and NOT_PORTABLE.search(str(pattern)):
                         return None
                     re.compile(str(pattern))
+                if isinstance(value, list):
+                    args[name] = [portable_braces(v) if isinstance(v, str) else v for v in value]
+                elif isinstance(value, str):
+                    args[name] = portable_braces(value)
         return json.dumps(
             {"instruction_id": [k for k, _ in pairs], "kwargs": [a for _, a in pairs]}
         )

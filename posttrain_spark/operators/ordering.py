@@ -1,7 +1,8 @@
 """Global row numbers and prefix sums without a one-partition window.
 
-Rows are put into ordered buckets; the totals of the buckets (a few thousand rows at most) give
-every bucket its starting position, and a window inside each bucket does the rest.
+Rows are put into ordered buckets; the totals of the buckets (one row per ROWS_PER_BUCKET rows) give
+every bucket its starting position, and a window inside each bucket does the rest.  A cut after the
+first n rows needs no more than the place of the n-th row.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from collections import Counter
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_BUCKETS = 4096
+from posttrain_spark.session import durable
+
+# A bucket is ordered by one task: it holds about so many rows, or fewer.
+ROWS_PER_BUCKET = 100_000
 
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
@@ -21,8 +25,9 @@ def shuffle_key(key: Column, seed: int = 42) -> Column:
 
 
 def default_buckets(df: DataFrame) -> int:
+    """Follows the number of rows; at least enough to use the session's shuffle partitions."""
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_BUCKETS, 4 * shuffles))
+    return max(2, 4 * shuffles, -(-df.count() // ROWS_PER_BUCKET))
 
 
 def hash_bucket(digest: Column, buckets: int | Column) -> Column:
@@ -35,17 +40,22 @@ def with_value_bucket(df: DataFrame, key: str, tie: str | None, buckets: int) ->
     """Buckets in the order of a numeric key, from approximate quantiles of the key.
 
     A value that fills several quantiles by itself gets a bucket of its own, cut further by the
-    digest of ``tie``; rows of one value are then ordered by that digest.
+    digest of ``tie``; rows of one value are then ordered by that digest.  Rows without a key come
+    first, in buckets of their own, cut the same way.
     """
     steps = [i / buckets for i in range(1, buckets)]
     bounds = df.approxQuantile(key, steps, 1 / (4 * buckets))
     heavy = {value: n for value, n in Counter(bounds).items() if n > 1}
     cuts = sorted(set(bounds) | {math.nextafter(h, math.inf) for h in heavy})
-    splits = [-math.inf, *cuts, math.inf]
-    placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_coarse").transform(
-        df.withColumn("_key", F.col(key).cast("double"))
-    )
+    splits = [-math.inf, *(cuts or [0.0]), math.inf]
+    placed = Bucketizer(
+        splits=splits, inputCol="_key", outputCol="_coarse", handleInvalid="keep"
+    ).transform(df.withColumn("_key", F.col(key).cast("double")))
+    # Rows without a key are "invalid" to the bucketizer, and so would be NaN.
+    placed = placed.withColumn("_coarse", F.when(F.col("_key").isNotNull(), F.col("_coarse")).otherwise(-1.0))
     fine = F.lit(0).cast("long")
+    if tie:
+        fine = F.when(F.col("_key").isNull(), hash_bucket(shuffle_key(F.col(tie)), buckets)).otherwise(fine)
     if heavy and tie:
         # As many pieces as the value fills quantiles, so the buckets stay about 2 * buckets.
         pieces = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
@@ -66,16 +76,16 @@ def number_rows(
 ) -> DataFrame:
     """Add ``ordinal`` (position from 0) and, with ``weight``, ``offset`` (weights before the row).
 
-    The order is by ``key`` (numeric), then by the digest of ``tie``.  With ``seed`` it is the
-    seeded shuffle order of ``key`` instead, which may then have any type.  ``df`` is read up to
-    three times: pass a stored, narrow frame (see :func:`posttrain_spark.session.durable`).
+    The order is by ``key`` (numeric, NULL first), then by the digest of ``tie``.  With ``seed`` it is
+    the seeded shuffle order of ``key`` instead, which may then have any type.  ``df`` is read up to
+    four times: pass a stored, narrow frame (see :func:`posttrain_spark.session.durable`).
     """
     buckets = buckets or default_buckets(df)
     if seed is not None:
         placed = df.withColumn("_digest", shuffle_key(F.col(key), seed)).withColumn(
             "_bucket", hash_bucket(F.col("_digest"), buckets)
         )
-        order = [F.col("_digest"), F.col(key)]
+        order = [F.col("_digest"), F.col(key)] + ([F.col(tie)] if tie else [])
     else:
         placed = with_value_bucket(df, key, tie, buckets)
         order = [F.col(key)]
@@ -86,7 +96,7 @@ def number_rows(
     totals = placed.groupBy("_bucket").agg(
         F.count("*").alias("_rows"), F.sum(amount).alias("_sum")
     )
-    # One row per bucket: small by construction, so one task may order it.
+    # One row per bucket, a hundred-thousandth of the rows: one task may order it.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "_bucket",
@@ -98,10 +108,58 @@ def number_rows(
     numbered = (
         placed.withColumn("_at", F.row_number().over(inside) - 1)
         .withColumn("_run", F.sum(amount).over(so_far) - amount)
-        # At most about 2 * MAX_BUCKETS rows.
-        .join(F.broadcast(starts), "_bucket")
+        .join(starts, "_bucket")
         .withColumn("ordinal", F.col("_first") + F.col("_at"))
     )
     if weight:
         numbered = numbered.withColumn("offset", F.col("_base") + F.col("_run"))
     return numbered.drop("_bucket", "_first", "_base", "_at", "_run", "_digest")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns of a row; equal for equal rows."""
+    return F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+
+
+def cut_after(
+    df: DataFrame, key: str, n: int, seed: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``min(n, rows)`` rows in the order of :func:`number_rows`, and the rest.
+
+    Ties of the key are cut by a digest of the whole row, so the cut is exact for any key: repeated,
+    NULL, or the same in all rows.  Both sides are a comparison with the place of the n-th row, found
+    from keys and digests alone; only rows equal to it in every column, if there are several, are
+    counted out as copies.
+    """
+    if n <= 0:
+        return df.limit(0), df
+    keys = durable(df.select(key, row_digest(df).alias("_tie")), "cut-keys")
+
+    def place(tie: Column) -> Column:
+        if seed is None:
+            return F.struct(F.col(key).alias("a"), shuffle_key(tie).alias("b"), tie.alias("c"))
+        return F.struct(shuffle_key(F.col(key), seed).alias("a"), F.col(key).alias("b"), tie.alias("c"))
+
+    stored = place(F.col("_tie"))
+    first = number_rows(keys, key, tie="_tie", seed=seed).filter(F.col("ordinal") < n)
+    found = first.agg(F.count("*").alias("n"), F.max_by(stored, "ordinal").alias("last")).first()
+    if not found["n"]:
+        return df, df
+    types = {f.name: f.dataType for f in keys.select(stored.alias("p")).schema["p"].dataType}
+    last = F.struct(*(F.lit(found["last"][f]).cast(t).alias(f) for f, t in types.items()))
+    counted = keys.agg(
+        F.count_if(stored < last).alias("below"), F.count_if(stored.eqNullSafe(last)).alias("same")
+    ).first()
+    taken, left = found["n"] - counted["below"], counted["below"] + counted["same"] - found["n"]
+    own = place(row_digest(df))
+    if not left:
+        return df.filter(own <= last), df.filter(own > last)
+    copies = df.filter(own.eqNullSafe(last)).limit(1)
+
+    def repeated(times: int) -> DataFrame:
+        return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy")
+
+    return (
+        df.filter(own < last).unionByName(repeated(taken)),
+        df.filter(own > last).unionByName(repeated(left)),
+    )

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Keys with fewer rows are never split: one task handles them with ease.
+# Parameter of the plan alone (results never depend on it): a key with at most so many rows is not
+# worth a split, as one task handles it with ease.
 MIN_ROWS = 10_000
 
 
@@ -46,7 +47,10 @@ def _pieces_of(key: str, hot: dict[int, list]) -> Column:
     """Number of pieces of a row's key; 1 for a key that is not hot."""
     chain = F
     for n, keys in sorted(hot.items()):
-        chain = chain.when(F.col(key).isin(*keys), n)
+        found = F.col(key).isin(*[k for k in keys if k is not None])
+        if None in keys:
+            found = found | F.col(key).isNull()
+        chain = chain.when(F.coalesce(found, F.lit(False)), n)
     return chain.otherwise(1)
 
 

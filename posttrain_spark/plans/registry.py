@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posttrain_spark.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,9 +26,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Session setting: partitions into which tables are dealt before expensive row-wise work.  Unset, which
+# is right for any table of several files or row groups, rows are worked on where they are read.
+INPUT_PARTITIONS = "posttrain.input.partitions"
+
+
 def work_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table about to get expensive row-wise work."""
-    return spread(table(spark, sf_dir, name))
+    partitions = spark.conf.get(INPUT_PARTITIONS, None)
+    df = table(spark, sf_dir, name)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -68,19 +68,3 @@ def durable(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# A whole input between these sizes is worth one exchange of its rows before row-wise work.
-SPREAD_FROM = 512 * 1024
-SPREAD_PER_CORE = 32 * 1024 * 1024
-
-
-def spread(df):
-    """Spread a small input over all cores before expensive row-wise work.
-
-    A small file is often one row group and so one task, however many cores there are.  Inputs
-    large enough to fill the cores by themselves are returned as they are: no exchange is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if SPREAD_FROM < size < cores * SPREAD_PER_CORE else df

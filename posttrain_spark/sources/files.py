@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import SparkSession
 
 
@@ -33,5 +35,18 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def partition_value(name: str, column: str) -> str:
+    """The value in a partition directory's name, which escapes some characters."""
+    return unquote(name.removeprefix(f"{column}="))
+
+
+def only_part_file(spark: SparkSession, folder: str) -> str:
+    """The one data file of a folder; any other number is an error."""
+    files = part_files(spark, folder)
+    if len(files) != 1:
+        raise OSError(f"expected one data file in {folder}, found {len(files)}")
+    return files[0]
+
+
 def part_files(spark: SparkSession, folder: str) -> list[str]:
     return [f"{folder}/{n}" for n in list_names(spark, folder) if n.startswith("part-")]

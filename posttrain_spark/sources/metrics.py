@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from posttrain_spark.functions.text import parent_name
 from posttrain_spark.operators.evals import by_checkpoint, checkpoint_step
 from posttrain_spark.session import scratch_path
-from posttrain_spark.sources.files import is_directory, list_names, move, part_files
+from posttrain_spark.sources.files import is_directory, list_names, move, only_part_file, part_files, partition_value
 
 VERDICT_FILES = "*eval_results_{loose,strict}.jsonl"
 # A file that every finished checkpoint holds.
@@ -86,9 +86,11 @@ def write_comparison(table: DataFrame, path: str) -> str:
     target = _csv_target(spark, path)
     columns = ["model", *sorted(c for c in table.columns if c != "model")]
     folder = scratch_path(spark, "comparison")
-    writer = by_checkpoint(table.select(*columns)).coalesce(1).write
+    # Sorted inside the one task: coalescing sorted partitions does not promise their order.
+    one = by_checkpoint(table.select(*columns).coalesce(1), within=True)
+    writer = one.write.option("maxRecordsPerFile", 0)
     writer.option("header", True).option("nullValue", "").option("emptyValue", "").csv(folder)
-    move(spark, part_files(spark, folder)[0], target)
+    move(spark, only_part_file(spark, folder), target)
     return target
 
 
@@ -135,11 +137,12 @@ def write_metrics(rows: DataFrame, root: str) -> None:
     """
     spark = rows.sparkSession
     folder = scratch_path(spark, "metrics")
-    metrics_json(rows).repartition("model").write.partitionBy("model").text(folder)
+    texts = metrics_json(rows).repartition("model")
+    texts.write.option("maxRecordsPerFile", 0).partitionBy("model").text(folder)
     for name in list_names(spark, folder):
         if name.startswith("model="):
-            source = part_files(spark, f"{folder}/{name}")[0]
-            move(spark, source, f"{root}/{name.removeprefix('model=')}/metrics.json")
+            source = only_part_file(spark, f"{folder}/{name}")
+            move(spark, source, f"{root}/{partition_value(name, 'model')}/metrics.json")
 
 
 def write_verdicts(rows: DataFrame, root: str, stem: str = "") -> None:
@@ -156,11 +159,11 @@ def write_verdicts(rows: DataFrame, root: str, stem: str = "") -> None:
         if not model.startswith("model="):
             continue
         for variant in list_names(spark, f"{folder}/{model}"):
-            name = f"eval_results_{variant.removeprefix('variant=')}.jsonl"
+            name = f"eval_results_{partition_value(variant, 'variant')}.jsonl"
             for i, part in enumerate(part_files(spark, f"{folder}/{model}/{variant}")):
                 prefix = (stem or "part" if i else stem) + (str(i) if i else "")
                 target = f"{prefix}-{name}" if prefix else name
-                move(spark, part, f"{root}/{model.removeprefix('model=')}/{target}")
+                move(spark, part, f"{root}/{partition_value(model, 'model')}/{target}")
 
 
 def write_reward_log(log: DataFrame, path: str, every: int = 1, step: str = "step") -> None:

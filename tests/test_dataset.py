@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from posttrain_spark.functions.tokens import token_count
-from posttrain_spark.operators import dataset as D
+from posttrain_spark.operators import dataset as D, ordering
 from posttrain_spark.operators.ordering import number_rows
 
 
@@ -89,7 +89,7 @@ def test_cap_rows(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
     for n in (0, 3, 400, 10_000):
         want = list(range(0, 5000, 7))[:n]
-        assert sorted(r.k for r in D.cap_rows(df, n, "k", small=-1).collect()) == want
+        assert sorted(r.k for r in D.cap_rows(df, n, "k").collect()) == want
         assert sorted(r.k for r in D.cap_rows(df, n, "k").collect()) == want
 
 
@@ -117,19 +117,6 @@ def test_prompts_and_filters(spark):
     assert D.expand_generations(df, 8).count() == 24
 
 
-def test_vocabulary_counter(spark, tmp_path):
-    tokenizers = pytest.importorskip("tokenizers")
-    from posttrain_spark.functions.tokens import vocabulary_counter
-
-    model = tokenizers.models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?")
-    tokenizer = tokenizers.Tokenizer(model)
-    tokenizer.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
-    path = str(tmp_path / "tokenizer.json")
-    tokenizer.save(path)
-    df = spark.createDataFrame([("a b a",), (None,), ("zz",)], "t string")
-    assert [r[0] for r in df.select(token_count(F.col("t"), vocabulary_counter(path))).collect()] == [3, 0, 1]
-
-
 def test_truncate(spark):
     df = spark.createDataFrame([([1, 2, 3], [0, 1, 1])], "tokens array<int>, mask array<int>")
     assert tuple(D.truncate(df, 2).first()) == ([1, 2], [0, 1])
@@ -171,9 +158,27 @@ def test_advantages_with_a_hot_group(spark, monkeypatch):
     assert sorted(map(tuple, split)) == sorted(map(tuple, plain)) and len(split) == 3000
 
 
-def test_large_hold_out_takes_the_same_rows(spark, monkeypatch):
-    df = spark.range(3000).withColumnRenamed("id", "k")
-    want = {r.k for r in D.train_eval_split(df, "k", 700)[1].collect()}
-    monkeypatch.setattr(D, "SMALL_LIMIT", 10)
-    train, held = D.train_eval_split(df, "k", 700)
-    assert {r.k for r in held.collect()} == want and train.count() == 2300
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 6, 9])
+@pytest.mark.parametrize("seed", [None, 7])
+def test_cut_is_exact_for_any_key(spark, n, seed):
+    rows = [(None, "a"), (1, "b"), (1, "b"), (1, "c"), (None, "a"), (2, None)]
+    df = spark.createDataFrame(rows, "k long, v string")
+    first, rest = ordering.cut_after(df, "k", n, seed=seed)
+    first, rest = [tuple(r) for r in first.collect()], [tuple(r) for r in rest.collect()]
+    assert len(first) == min(n, 6)
+    assert sorted(first + rest, key=str) == sorted(rows, key=str)
+    if seed is None and n:
+        assert first.count((None, "a")) == min(n, 2)
+
+
+def test_numbering_of_nulls_and_of_nothing(spark):
+    df = spark.createDataFrame([(None, 3), (1, 2), (2, 4)], "k long, n_tokens int")
+    packs = D.pack_wrapped(df, "k", 4).orderBy("pack_id", "pack_start").collect()
+    assert [(r.pack_id, r.k, r.start, r.end) for r in packs] == [
+        (0, None, 0, 3), (0, 1, 0, 1), (1, 1, 1, 2), (1, 2, 0, 3), (2, 2, 3, 4),
+    ]
+    none = df.limit(0)
+    assert D.pack_wrapped(none, "k", 4).collect() == [] == D.batch_plan(none, "k").collect()
+    assert D.cap_rows(none, 5, "k").collect() == []
+    train, held = D.train_eval_split(none, "k", 5)
+    assert train.collect() == [] == held.collect()
