@@ -129,7 +129,8 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     by_row = durable(copies.groupBy("id").agg(F.collect_set("hash").alias("hashes")), "copies-by-row")
     bodies = durable(
         source.filter("text IS NOT NULL")
-        .join(by_row.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")))
+        # The plan is the same at every size: a list of rows that grows with the corpus is not broadcast.
+        .join(by_row.withColumnRenamed("id", "_id").hint("merge"), F.col("id").eqNullSafe(F.col("_id")))
         .select("id", "text", "hashes")
         .mapInArrow(_text_rows, "id long, line int, hash long, body string"),
         "bodies",
@@ -164,7 +165,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
     names = docs.columns
     key = F.col("_doc").getField(doc_id).cast("long")
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc")).join(
-        gone, key.eqNullSafe(F.col("_gone_id")), "left"
+        gone.hint("merge"), key.eqNullSafe(F.col("_gone_id")), "left"
     )
     rest = [c for c in names if c != text]
     flat = joined.select(*(F.col("_doc").getField(c).alias(c) for c in rest), F.col("_doc").getField(text).alias(text), "_gone")
