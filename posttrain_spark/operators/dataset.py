@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posttrain_spark.functions.tokens import Counter, token_count
 from posttrain_spark.operators.ordering import cut_after, number_rows, shuffle_key
+from posttrain_spark.operators.skew import skew_join
 from posttrain_spark.session import durable
 
 # Fixed value.
@@ -114,6 +115,45 @@ def pack_wrapped(
     )
 
 
+def materialize_packs(pieces: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """Training rows ``pack_id``, ``tokens``, ``mask`` from the pieces of :func:`pack_wrapped`.
+
+    ``tokens`` holds ``key``, ``tokens`` and ``mask`` per example.  An example cut into very many pieces
+    is split over tasks by pack; a pack gathers at most its length in tokens.
+    """
+    cut = F.col("end") - F.col("start")
+    begin = (F.col("start") + 1).cast("int")
+    sliced = skew_join(pieces, tokens.select(key, "tokens", "mask"), key, ["pack_id"]).select(
+        "pack_id",
+        F.struct(
+            "pack_start",
+            F.slice("tokens", begin, cut.cast("int")).alias("tokens"),
+            F.slice("mask", begin, cut.cast("int")).alias("mask"),
+        ).alias("_piece"),
+    )
+    packs = sliced.groupBy("pack_id").agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+    return packs.select(
+        "pack_id",
+        F.flatten("_pieces.tokens").alias("tokens"),
+        F.flatten("_pieces.mask").alias("mask"),
+    )
+
+
+def rl_prompts(
+    df: DataFrame,
+    key: str,
+    system_prompt: str = SYSTEM_PROMPT,
+    max_tokens: int = 4096,
+    n_eval: int = 200,
+    seed: int = 42,
+    counter: Counter = "regex",
+) -> tuple[DataFrame, DataFrame]:
+    """Train and eval prompts from rows with ``messages`` and ``ground_truth``: build, prune, drop long
+    ones, hold out."""
+    built = make_prompt(df, system_prompt).select(key, "prompt", "ground_truth")
+    return train_eval_split(filter_long_prompts(built, max_tokens, counter), key, n_eval, seed)
+
+
 def best_fit(lengths: Sequence[int], max_length: int) -> list[int]:
     """Bin of each length, longest first, each into the fullest bin that still holds it."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))

@@ -162,6 +162,15 @@ def _read_literals(labels: pd.Series) -> pd.Series:
     return labels.map(read_literal)
 
 
+def parse_any_labels(prompts: DataFrame, label: str = "ground_truth") -> DataFrame:
+    """Add ``kind``, ``constraints`` and ``old_args``: everything scoring needs of a label's text.
+
+    Meant for the distinct prompts, before the join to completions.
+    """
+    parsed = parse_multi_labels(prompts, label)
+    return parsed.withColumns({"kind": label_kind(F.col(label)), "old_args": parse_old_label(F.col(label))})
+
+
 def parse_multi_labels(
     prompts: DataFrame, label: str = "ground_truth", output: str = "constraints"
 ) -> DataFrame:

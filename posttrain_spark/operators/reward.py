@@ -21,7 +21,7 @@ from posttrain_spark.operators.constraints import (
     Verdict,
     dispatch,
 )
-from posttrain_spark.operators.labels import label_kind, parse_multi_labels, parse_old_label
+from posttrain_spark.operators.labels import parse_any_labels, parse_old_label
 from posttrain_spark.operators.skew import skew_join
 
 # Old spellings of check names found in published data.
@@ -124,11 +124,15 @@ def score_old(
     label: str = "ground_truth",
     checks: dict[str, Verdict] | None = None,
 ) -> DataFrame:
-    """Add ``score`` and ``error`` for single-constraint labels with ``func_name``."""
+    """Add ``score`` and ``error`` for single-constraint labels with ``func_name``.
+
+    Labels parsed before the join (``old_args``) are used as they are.
+    """
     checks = checks or OLD_CHECKS
     named = {**checks, **{a: checks[n] for a, n in OLD_ALIASES.items() if n in checks}}
+    args = F.col("old_args") if "old_args" in samples.columns else parse_old_label(F.col(label))
     staged = samples.withColumns(
-        {"_answer": strip_thinking(F.col(completion)), "_args": parse_old_label(F.col(label))}
+        {"_answer": strip_thinking(F.col(completion)), "_args": args}
     ).withColumn("_verdict", dispatch_old("_answer", "_args", named))
     name, verdict = Args(F.col("_args")).text("func_name"), F.col("_verdict")
     error = (
@@ -144,16 +148,18 @@ def score_unified(samples: DataFrame, scale: float = 10.0, label: str = "ground_
     """Score each row by its own label family (F3); a row that cannot be scored gets 0 and an error.
 
     Both families are columns of one projection: rows are neither split nor unioned, so the input
-    is read once.
+    is read once.  Labels should come parsed (``parse_any_labels`` on the prompts, before the join);
+    a frame with the label's text only is parsed here, row by row.
     """
-    parsed = parse_multi_labels(samples, label)
+    if not {"kind", "constraints", "old_args"} <= {*samples.columns}:
+        samples = parse_any_labels(samples, label)
     multi = (
-        score_multi(parsed, scale)
+        score_multi(samples, scale)
         .withColumnsRenamed({"score": "_multi", "error": "_multi_error"})
         .drop("verdicts", "constraints")
     )
-    both = score_old(multi, scale, label=label).withColumn("kind", label_kind(F.col(label)))
-    is_old = F.col("kind") == "old"
+    both = score_old(multi, scale, label=label).drop("old_args")
+    is_old = F.coalesce(F.col("kind") == "old", F.lit(False))
     return (
         both.withColumn("score", F.when(is_old, F.col("score")).otherwise(F.col("_multi")))
         .withColumn("error", F.when(is_old, F.col("error")).otherwise(F.col("_multi_error")))

@@ -1,21 +1,74 @@
 """Chat rendering at turn level: the same texts and counts without gathering a conversation.
 
-Every turn is rendered on its own row.  What it must know about its conversation is one narrow
-aggregate (first, last and query turn), and about its neighbours whether they are tool results.
-Neighbours are joined by conversation and turn, the aggregate by a join that splits hot
-conversations, so a conversation of any length is spread over tasks.
+Every turn is rendered on its own row.  What it must know about its conversation (first, last and
+query turn) and its neighbours (whether they are tool results) is found from keys, roles and flags,
+stretch by stretch, so a conversation of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from posttrain_spark.functions.tokens import Counter, token_count
 from posttrain_spark.operators.chat import message_segments
-from posttrain_spark.operators.skew import skew_join
 from posttrain_spark.sources.conversations import message_of
 
 
+# Turns of one conversation that one task orders to find neighbours.
+STRETCH = 1_000
+
+
+def turn_context(turns: DataFrame, key: str, turn: str, content: str) -> DataFrame:
+    """What each turn must know of its conversation, from keys, roles and flags alone.
+
+    ``_tool_before`` and ``_tool_after`` are about the true neighbours, whatever numbers are missing
+    between them.  Stretches of ``STRETCH`` turn numbers are ordered on their own; their first and last
+    turns, one row per stretch, tell the rest.
+    """
+    wrapped = F.startswith(F.col(content), F.lit("<tool_response>")) & F.endswith(
+        F.col(content), F.lit("</tool_response>")
+    )
+    query = (F.col("role") == "user") & F.col(content).isNotNull() & ~wrapped
+    flags = turns.select(
+        key,
+        turn,
+        F.floor(F.col(turn) / STRETCH).cast("long").alias("_stretch"),
+        F.coalesce(F.col("role") == "tool", F.lit(False)).alias("_tool"),
+        F.when(query, F.col(turn)).alias("_asked"),
+    )
+    inside = Window.partitionBy(key, "_stretch").orderBy(turn)
+    near = flags.withColumns(
+        {"_before": F.lag("_tool").over(inside), "_after": F.lead("_tool").over(inside)}
+    ).drop("_asked", "_tool")
+    stretches = flags.groupBy(key, "_stretch").agg(
+        F.min_by("_tool", turn).alias("_opens"),
+        F.max_by("_tool", turn).alias("_ends"),
+        F.min(turn).alias("_low"),
+        F.max(turn).alias("_high"),
+        F.max("_asked").alias("_asked"),
+    )
+    whole, ordered = Window.partitionBy(key), Window.partitionBy(key).orderBy("_stretch")
+    stretches = stretches.select(
+        key,
+        "_stretch",
+        F.lag("_ends").over(ordered).alias("_ends_before"),
+        F.lead("_opens").over(ordered).alias("_opens_after"),
+        F.min("_low").over(whole).alias("_first"),
+        F.max("_high").over(whole).alias("_last"),
+        F.max("_asked").over(whole).alias("_query"),
+    )
+    no = F.lit(False)
+    return near.join(stretches, [key, "_stretch"]).select(
+        key,
+        turn,
+        "_first",
+        "_last",
+        "_query",
+        F.coalesce("_before", "_ends_before", no).alias("_tool_before"),
+        F.coalesce("_after", "_opens_after", no).alias("_tool_after"),
+    )
+
+
 def turn_segments(
     turns: DataFrame,
     key: str = "conv_id",
@@ -24,31 +77,18 @@ def turn_segments(
     template: str = "thinking",
     header_newline: bool = True,
 ) -> DataFrame:
-    """``key``, ``turn`` and the segments of each turn; ``turn`` numbers a conversation without gaps."""
-    wrapped = F.startswith(F.col(content), F.lit("<tool_response>")) & F.endswith(
-        F.col(content), F.lit("</tool_response>")
-    )
-    query = (F.col("role") == "user") & F.col(content).isNotNull() & ~wrapped
-    shape = turns.groupBy(key).agg(
-        F.count("*").alias("_rows"),
-        F.min(turn).alias("_first"),
-        F.max(turn).alias("_last"),
-        F.max(F.when(query, F.col(turn))).alias("_query"),
-    )
-    results = turns.filter(F.col("role") == "tool")
-    before = results.select(key, (F.col(turn) + 1).alias(turn), F.lit(True).alias("_tool_before"))
-    after = results.select(key, (F.col(turn) - 1).alias(turn), F.lit(True).alias("_tool_after"))
-    near = turns.join(before, [key, turn], "left").join(after, [key, turn], "left")
-    placed = skew_join(
-        near, shape.drop("_rows"), key, [turn], counts=shape.select(key, "_rows")
-    )
+    """``key``, ``turn`` and the segments of each turn.
+
+    ``turn`` orders a conversation and may have gaps; the texts are shuffled once.
+    """
+    placed = turns.join(turn_context(turns, key, turn, content), [key, turn])
     segments = message_segments(
         message_of(turns, content),
         is_first=F.col(turn) == F.col("_first"),
         is_last=F.col(turn) == F.col("_last"),
         after_query=F.col(turn) > F.coalesce(F.col("_query"), F.col("_last")),
-        tool_before=F.coalesce(F.col("_tool_before"), F.lit(False)),
-        tool_after=F.coalesce(F.col("_tool_after"), F.lit(False)),
+        tool_before=F.col("_tool_before"),
+        tool_after=F.col("_tool_after"),
         template=template,
         header_newline=header_newline,
         system_first=True,

@@ -145,17 +145,27 @@ def generation_spans(spark, sf_dir):
     )
 
 
-_COUNTS = f"""WITH {_THINKING} SELECT conv_id,
-      sum({S.token_count('head')} + {S.token_count('body')} + {S.token_count('tail')})::BIGINT AS n_tokens,
-      sum({S.token_count('body')})::BIGINT AS n_loss_tokens FROM p GROUP BY 1"""
+# Tokens of each turn, and whether each is trained.
+MARKED = f"""{_THINKING},
+    cut AS (SELECT conv_id, turn, {S.find('head', S.TOKENS)} AS h, {S.find('body', S.TOKENS)} AS b, {S.find('tail', S.TOKENS)} AS t FROM p),
+    marked AS (SELECT conv_id, turn, h || b || t AS tokens,
+      list_transform(h, lambda x: '0') || list_transform(b, lambda x: '1') || list_transform(t, lambda x: '0') AS mask FROM cut)"""
 
 
-@query("loss_mask", _COUNTS)
+@query(
+    "loss_mask",
+    f"""WITH {MARKED} SELECT conv_id, sum(len(tokens))::BIGINT AS n_tokens,
+      sum(len(list_filter(mask, lambda m: m = '1')))::BIGINT AS n_loss_tokens,
+      md5(coalesce(string_agg(array_to_string(tokens, ' '), ' ' ORDER BY turn) FILTER (len(tokens) > 0), '')) AS tokens_md5,
+      md5(string_agg(array_to_string(mask, ''), '' ORDER BY turn)) AS mask_md5 FROM marked GROUP BY 1""",
+)
 def loss_mask(spark, sf_dir):
     df = C.loss_mask(C.render_chat(conversations(spark, sf_dir)))
     return df.select(
         "conv_id", F.size("mask").cast("long").alias("n_tokens"),
         F.col("n_loss_tokens").cast("long").alias("n_loss_tokens"),
+        F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+        F.md5(F.array_join(F.col("mask").cast("array<string>"), "")).alias("mask_md5"),
     )
 
 

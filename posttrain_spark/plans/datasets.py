@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from posttrain_spark.functions.tokens import token_count, tokens
 from posttrain_spark.operators import dataset as D
-from posttrain_spark.operators import turns as T
+from posttrain_spark.operators.chat import loss_mask, render_chat
 from posttrain_spark.operators.ordering import number_rows
 from posttrain_spark.plans import sql as S
+from posttrain_spark.plans.chat import MARKED, conversations
 from posttrain_spark.plans.registry import query, table, work_table
-from posttrain_spark.session import scratch_path
+from posttrain_spark.session import durable, scratch_path
 from posttrain_spark.sources.conversations import (
     first_messages,
     read_benchmark,
@@ -284,19 +285,43 @@ def benchmark_items(spark, sf_dir):
 
 @query(
     "sft_dataset",
-    f"""WITH p AS (SELECT conv_id, turn, role, text FROM conversations),
-      q AS (SELECT conv_id, max(turn) AS hi, coalesce(max(CASE WHEN role = 'user' THEN turn END), max(turn)) AS ask FROM p GROUP BY 1),
-      n AS (SELECT conv_id, sum({S.token_count('text')} + CASE role WHEN 'assistant' THEN 6 + 5
-             + CASE WHEN turn > ask AND turn = hi THEN 7 ELSE 0 END ELSE 11 END)::BIGINT AS n
-            FROM p JOIN q USING (conv_id) GROUP BY 1),
-      o AS (SELECT conv_id, n, sum(n) OVER (ORDER BY conv_id ROWS UNBOUNDED PRECEDING) - n AS a FROM n),
-      x AS (SELECT *, unnest(generate_series((a // 512)::BIGINT, ((a + n - 1) // 512)::BIGINT)) AS pack_id FROM o)
-      SELECT pack_id, count(*) AS n_pieces, sum(least(a + n, (pack_id + 1) * 512) - greatest(a, pack_id * 512))::BIGINT AS n_tokens FROM x GROUP BY 1""",
+    f"""WITH {MARKED}, f AS (SELECT conv_id, turn, unnest(tokens) AS token, unnest(mask) AS m, generate_subscripts(tokens, 1) AS i FROM marked),
+      o AS (SELECT token, m, row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS spot FROM f)
+      SELECT (spot // 512)::BIGINT AS pack_id, count(*) AS n_tokens, md5(string_agg(token, ' ' ORDER BY spot)) AS tokens_md5,
+        md5(string_agg(m, '' ORDER BY spot)) AS mask_md5 FROM o GROUP BY 1""",
 )
 def sft_dataset(spark, sf_dir):
-    """Turns to packed training sequences without gathering a conversation."""
-    stats = T.turn_stats(T.turn_segments(table(spark, sf_dir, "conversations")))
-    packs = D.pack_wrapped(stats, "conv_id", 512)
-    return packs.groupBy("pack_id").agg(
-        F.count("*").alias("n_pieces"), F.sum(F.col("end") - F.col("start")).alias("n_tokens")
+    """Conversations to packed training rows: render, mask, pack, slice."""
+    marked = loss_mask(render_chat(conversations(spark, sf_dir))).select("conv_id", "tokens", "mask")
+    examples = durable(marked, "examples")
+    lengths = examples.select("conv_id", F.size("tokens").alias("n_tokens"))
+    packs = D.materialize_packs(D.pack_wrapped(lengths, "conv_id", 512), examples, "conv_id")
+    return packs.select(
+        "pack_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+        F.md5(F.array_join(F.col("mask").cast("array<string>"), "")).alias("mask_md5"),
+    )
+
+
+_RL = f"""built AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1),
+    short AS (SELECT * FROM built WHERE {S.token_count('text')} <= 64)"""
+
+
+@query(
+    "rl_prompts",
+    f"""WITH {_RL} SELECT conv_id, md5(text) AS prompt_md5, conv_id % 3 = 0 AS labelled,
+        row_number() OVER (ORDER BY md5('42:' || conv_id), conv_id) <= 20 AS held_out FROM short""",
+)
+def rl_prompts(spark, sf_dir):
+    """Prompts, columns, length filter and hold-out in one chain."""
+    firsts = first_messages(table(spark, sf_dir, "conversations"))
+    labelled = firsts.withColumn("ground_truth", F.when(F.col("conv_id") % 3 == 0, "label"))
+    train, held = D.rl_prompts(labelled, "conv_id", max_tokens=64, n_eval=20)
+    both = train.withColumn("held_out", F.lit(False)).unionByName(held.withColumn("held_out", F.lit(True)))
+    return both.select(
+        "conv_id",
+        F.md5(F.element_at("prompt", -1)["content"]).alias("prompt_md5"),
+        F.col("ground_truth").isNotNull().alias("labelled"),
+        "held_out",
     )

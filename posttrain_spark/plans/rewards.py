@@ -219,7 +219,10 @@ def label_kind(spark, sf_dir):
     f"WITH {ANSWERS} SELECT conv_id AS prompt_id, turn, {OLD_SCORE} AS score FROM answers",
 )
 def score_old(spark, sf_dir):
-    samples = R.join_labels(rollouts(spark, sf_dir), prompts(spark, sf_dir, OLD_LABEL), spread_by=["turn"])
+    labels = prompts(spark, sf_dir, OLD_LABEL).select(
+        "prompt_id", L.parse_old_label(F.col("ground_truth")).alias("old_args")
+    )
+    samples = R.join_labels(rollouts(spark, sf_dir), labels, spread_by=["turn"])
     return R.score_old(samples).select("prompt_id", "turn", "score")
 
 
@@ -230,7 +233,8 @@ def score_old(spark, sf_dir):
           WHEN conv_id % 2 = 0 THEN 0.0 ELSE {MULTI_SCORE} END, 6) AS score FROM answers""",
 )
 def score_unified(spark, sf_dir):
-    samples = R.join_labels(rollouts(spark, sf_dir), prompts(spark, sf_dir, ANY_LABEL), spread_by=["turn"])
+    labels = L.parse_any_labels(prompts(spark, sf_dir, ANY_LABEL)).drop("ground_truth")
+    samples = R.join_labels(rollouts(spark, sf_dir), labels, spread_by=["turn"])
     return R.score_unified(samples).select("prompt_id", "turn", F.round("score", 6).alias("score"))
 
 
