@@ -67,7 +67,8 @@ def stream_score(spark, sf_dir):
        FROM r JOIN s USING (doc_id) WHERE n = 8""",
 )
 def stream_advantages(spark, sf_dir):
-    """Short documents have fewer than eight samples; their groups must be withheld."""
+    """Short documents have fewer than eight samples; their groups must be withheld.  Every sample
+    is delivered twice."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     stream = (
         spark.readStream.schema(documents.schema)
@@ -79,7 +80,8 @@ def stream_advantages(spark, sf_dir):
         "explode(sequence(0, CAST(least(7, n_chars div 100) AS INT))) AS sample_idx",
         "doc_id",
     ).selectExpr(
-        "prompt_id", "sample_idx", "CAST((doc_id * 7 + sample_idx * sample_idx) % 11 AS DOUBLE) AS reward"
+        "prompt_id", "sample_idx", "CAST((doc_id * 7 + sample_idx * sample_idx) % 11 AS DOUBLE) AS reward",
+        "explode(array(1, 2)) AS delivery",
     )
     path, state = scratch_path(spark, "advantages"), scratch_path(spark, "state")
     result = T.stream_advantages(rewards)
@@ -115,11 +117,15 @@ def stream_checkpoints(spark, sf_dir):
 
 @query("stream_comparison", f"WITH {_WIDE}")
 def stream_comparison(spark, sf_dir):
-    """Metrics land in two rounds; the second run must add the new models to the table."""
+    """Metrics land in two rounds.  The second run must add the new models to the table and read again
+    the files that were rewritten in place: half of the first round's had one benchmark only."""
     root, cells, state = (scratch_path(spark, n) for n in ("results", "cells", "state"))
     rows = metric_table(spark, sf_dir)
-    early = F.coalesce(H.checkpoint_step(F.col("model")) <= 2000, F.lit(False))
-    for part in (rows.filter(early), rows.filter(~early)):
+    step = H.checkpoint_step(F.col("model"))
+    early = F.coalesce(step <= 2000, F.lit(False))
+    partial = early & F.coalesce(step % 1000 == 0, F.lit(False))
+    first = rows.filter(early & (~partial | (F.col("benchmark") == "gsm8k")))
+    for part in (first, rows.filter(~early | partial)):
         M.write_metrics(part, root)
         finish(T.stream_comparison(spark, root, cells, state))
     return _numbers(H.comparison(T.latest_cells(spark, cells), _COLUMNS))

@@ -20,6 +20,7 @@ from posttrain_spark.operators.evals import (
     metric_rows,
 )
 from posttrain_spark.operators.reward import join_labels, score_multi
+from posttrain_spark.sources.files import is_directory
 from posttrain_spark.sources.metrics import MARKER
 
 POLL_INTERVAL = "1800 seconds"
@@ -61,38 +62,58 @@ def evaluate_new(
     return _trigger(writer, once).start()
 
 
+def refresh_cells(spark: SparkSession, root: str, table: str, batch: int) -> None:
+    """Add the cells of metrics files that are new or were rewritten since they were last read.
+
+    Every file below ``root`` is looked at, as each roll-up does; only those with a later modification
+    time than the one recorded for their model are kept.  ``batch`` names the folder: a batch that is
+    repeated after a failure overwrites its own and changes nothing.
+    """
+    files = spark.read.text(f"{root}/*/metrics.json", wholetext=True).select(
+        parent_name(F.col("_metadata.file_path")).alias("model"),
+        F.col("_metadata.file_modification_time").alias("written"),
+        "value",
+    )
+    if is_directory(spark, table):
+        known = _cells(spark, table).filter(F.col("batch") != batch)
+        known = known.groupBy("model").agg(F.max("written").alias("_read"))
+        files = files.join(known, "model", "left").filter("_read IS NULL OR written > _read").drop("_read")
+    cells = comparison_cells(metric_rows(files)).join(files.select("model", "written"), "model")
+    cells.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{table}/batch={batch}_")
+
+
 def stream_comparison(
     spark: SparkSession, root: str, table: str, state: str, once: bool = True
 ) -> StreamingQuery:
     """Keep the long comparison table up to date as metrics files land.
 
-    Cells are written per batch; :func:`latest_cells` reads them back.  A batch that is repeated
-    after a failure overwrites its own folder and changes nothing.  A metrics file counts once: a
-    file rewritten in place is not read again.
+    The stream sees each path once; a batch therefore refreshes all cells, which also reads the files
+    that were rewritten in place.  Where files are only rewritten and none is new, no batch runs: call
+    :func:`refresh_cells` on the same schedule.  :func:`latest_cells` reads the table back.
     """
-    files = (
+    paths = (
         spark.readStream.format("text")
         .option("wholetext", "true")
         .load(f"{root}/*/metrics.json")
-        .select(
-            parent_name(F.col("_metadata.file_path")).alias("model"),
-            F.col("_metadata.file_modification_time").alias("written"),
-            "value",
-        )
+        .select(F.col("_metadata.file_path").alias("path"))
     )
+    writer = paths.writeStream.foreachBatch(lambda _, number: refresh_cells(spark, root, table, number))
+    return _trigger(writer.option("checkpointLocation", state), once).start()
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        cells = comparison_cells(metric_rows(batch)).withColumn("batch", F.lit(batch_id))
-        cells.write.mode("overwrite").parquet(f"{table}/batch={batch_id}_")
 
-    writer = files.writeStream.foreachBatch(merge).option("checkpointLocation", state)
-    return _trigger(writer, once).start()
+def _cells(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").parquet(table)
 
 
 def latest_cells(spark: SparkSession, table: str) -> DataFrame:
-    """Newest value of each comparison cell."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(table)
-    return rows.groupBy("model", "column").agg(F.max_by("value", "batch").alias("value"))
+    """Each comparison cell as the newest version of its model's file has it.
+
+    A cell that the newest version no longer has is gone.
+    """
+    rows = _cells(spark, table)
+    newest = rows.groupBy("model").agg(F.max("written").alias("written"))
+    current = rows.join(newest, ["model", "written"])
+    return current.groupBy("model", "column").agg(F.max_by("value", "batch").alias("value"))
 
 
 def stream_score(rollouts: DataFrame, labels: DataFrame, scale: float = 10.0, **options) -> DataFrame:
@@ -103,53 +124,80 @@ def stream_score(rollouts: DataFrame, labels: DataFrame, scale: float = 10.0, **
     return score_multi(join_labels(rollouts, labels), scale, **options)
 
 
+# Batches without input, which timed state would otherwise ask for without end.
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def write_scores(scored: DataFrame, path: str, state: str, once: bool = True) -> StreamingQuery:
-    """Append scored rows to a Parquet table."""
+    """Append scored rows to a Parquet table.
+
+    ``once`` ends with the input at hand; timeouts of state are then looked at with the next input.
+    """
     writer = (
         scored.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", state)
         .outputMode("append")
     )
-    return _trigger(writer, once).start()
+    conf = scored.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES)
+    conf.set(EMPTY_BATCHES, "false" if once else before)
+    try:
+        return _trigger(writer, once).start()
+    finally:
+        conf.set(EMPTY_BATCHES, before)
+
+
+# A prompt's state is dropped when nothing has come for it in this time.
+GROUP_TIMEOUT_MS = 24 * 3600 * 1000
 
 
 def stream_advantages(
-    scored: DataFrame, n: int = 8, group: str = "prompt_id", epsilon: float = 1e-4
+    scored: DataFrame,
+    n: int = 8,
+    group: str = "prompt_id",
+    epsilon: float = 1e-4,
+    timeout_ms: int = GROUP_TIMEOUT_MS,
 ) -> DataFrame:
-    """Advantages of a prompt's completions once ``n`` of them are in.
+    """Advantages of a prompt's completions once ``n`` different ones are in.
 
-    Needs ``group`` (long), ``sample_idx`` and ``reward``.  The state of a prompt is at most
-    ``n - 1`` waiting rows; it is emptied whenever a group is complete.
+    Needs ``group`` (long), ``sample_idx`` and ``reward``.  A sample that is delivered again counts
+    once, in its first version.  The state of a prompt is at most ``n - 1`` waiting samples; of a
+    prompt that is complete it is a mark, by which later deliveries are ignored.  Either is dropped
+    when nothing has come for the prompt in ``timeout_ms``.
     """
 
     def collect(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        idx, rewards = state.get if state.exists else ([], [])
-        idx, rewards = list(idx), list(rewards)
-        for chunk in chunks:
-            idx += chunk["sample_idx"].tolist()
-            rewards += chunk["reward"].tolist()
-            while len(idx) >= n:
-                r = pd.Series(rewards[:n], dtype="float64")
-                std = r.std(ddof=1) if n > 1 else 0.0
-                yield pd.DataFrame(
-                    {
-                        group: key[0],
-                        "sample_idx": idx[:n],
-                        "reward": r,
-                        "advantage": (r - r.mean()) / (std + epsilon),
-                    }
-                )
-                idx, rewards = idx[n:], rewards[n:]
-        if idx:
-            state.update((idx, rewards))
-        elif state.exists:
+        if state.hasTimedOut:
             state.remove()
+            return
+        idx, rewards, done = state.get if state.exists else ([], [], False)
+        waiting = dict(zip(idx, rewards))
+        for chunk in chunks:
+            for i, reward in zip(chunk["sample_idx"].tolist(), chunk["reward"].tolist()):
+                if not done and i not in waiting:
+                    waiting[i] = reward
+                if not done and len(waiting) == n:
+                    done = True
+                    order = sorted(waiting)
+                    r = pd.Series([waiting[i] for i in order], dtype="float64")
+                    std = r.std(ddof=1) if n > 1 else 0.0
+                    yield pd.DataFrame(
+                        {
+                            group: key[0],
+                            "sample_idx": order,
+                            "reward": r,
+                            "advantage": (r - r.mean()) / (std + epsilon),
+                        }
+                    )
+                    waiting = {}
+        state.update((list(waiting), list(waiting.values()), done))
+        state.setTimeoutDuration(timeout_ms)
 
     return scored.select(group, "sample_idx", "reward").groupBy(group).applyInPandasWithState(
         collect,
         outputStructType=f"{group} long, sample_idx int, reward double, advantage double",
-        stateStructType="idx array<int>, rewards array<double>",
+        stateStructType="idx array<int>, rewards array<double>, done boolean",
         outputMode="append",
-        timeoutConf="NoTimeout",
+        timeoutConf="ProcessingTimeTimeout",
     )
