@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from posttrain_spark.functions.tokens import token_count, tokens
 from posttrain_spark.operators import dataset as D
@@ -132,10 +132,20 @@ def shuffle(spark, sf_dir):
 
 @query(
     "shuffle_rows",
-    "SELECT doc_id, n_chars, source FROM documents",
+    f"SELECT doc_id, n_chars, source, row_number() OVER (ORDER BY {DIGEST.format('doc_id')}, doc_id) - 1 AS place FROM documents",
 )
 def shuffle_rows(spark, sf_dir):
-    return D.shuffle(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"), "doc_id")
+    """The shuffled rows with the place at which each came out."""
+    shuffled = D.shuffle(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"), "doc_id")
+    # The lower bits of the generated id number the rows of a partition.
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = durable(shuffled.select("*", F.spark_partition_id().alias("part"), inside.alias("row")), "shuffled")
+    sizes = placed.groupBy("part").count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    return placed.join(starts, "part").select(
+        "doc_id", "n_chars", "source", (F.col("first") + F.col("row")).alias("place")
+    )
 
 
 _HELD_OUT = f"SELECT doc_id FROM documents ORDER BY {DIGEST.format('doc_id')}, doc_id LIMIT 200"
@@ -185,9 +195,21 @@ def pack_wrapped_fill(spark, sf_dir):
     return packs.groupBy("pack_id").agg(F.sum(F.col("end") - F.col("start")).alias("filled"))
 
 
-@query("pack_bfd")
+@query(
+    "pack_bfd",
+    f"WITH {LENGTHS} SELECT doc_id, least(n, 2048)::INT AS packed_tokens, true AS fits, true AS near_best FROM lengths WHERE n > 0",
+)
 def pack_bfd(spark, sf_dir):
-    return D.pack_bfd(document_lengths(spark, sf_dir), "doc_id", 2048)
+    """Each example's packed length, whether its pack fits, and whether its shard has no more packs than
+    best-fit decreasing may need (11/9 of the least possible number, and one)."""
+    packs = durable(D.pack_bfd(document_lengths(spark, sf_dir), "doc_id", 2048), "packs")
+    filled = packs.groupBy("shard", "pack").agg(F.sum("packed_tokens").alias("filled"))
+    shards = filled.groupBy("shard").agg(
+        (F.count("*") <= F.ceil(F.sum("filled") / 2048) * 11 / 9 + 1).alias("near_best")
+    )
+    return packs.join(filled, ["shard", "pack"]).join(shards, "shard").select(
+        "doc_id", "packed_tokens", (F.col("filled") <= 2048).alias("fits"), "near_best"
+    )
 
 
 @query(

@@ -17,7 +17,7 @@ from posttrain_spark.session import scratch_path
 from posttrain_spark.sources import metrics as M
 from posttrain_spark.sources.files import list_names, move, part_files
 
-MODEL = "CASE WHEN doc_id % 9 = 8 THEN 'base' ELSE concat('checkpoint-', 500 * (1 + doc_id % 9)) END"
+MODEL = "CASE WHEN doc_id % 9 = 8 THEN 'base v+1' ELSE concat('checkpoint-', 500 * (1 + doc_id % 9)) END"
 BENCHMARK = (
     "CASE doc_id % 7 WHEN 0 THEN 'gsm8k' WHEN 1 THEN 'human-eval' WHEN 2 THEN 'mbpp' WHEN 3 THEN 'hendrycks_math' "
     "WHEN 4 THEN 'livecodebench' WHEN 5 THEN 'arena' ELSE 'mmlu' END"
@@ -280,7 +280,7 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "list_checkpoints",
-    f"""SELECT DISTINCT {MODEL} AS model, regexp_extract({MODEL}, '\\d+')::BIGINT AS step FROM labels WHERE {MODEL} <> 'base'""",
+    f"""SELECT DISTINCT {MODEL} AS model, regexp_extract({MODEL}, '\\d+')::BIGINT AS step FROM labels WHERE {MODEL} <> 'base v+1'""",
 )
 def list_checkpoints(spark, sf_dir):
     root = scratch_path(spark, "checkpoints")
@@ -323,7 +323,7 @@ def pending(spark, sf_dir):
 @query(
     "missing_steps",
     f"""SELECT g AS step FROM generate_series(250, 4500, 250) AS x(g)
-        WHERE g NOT IN (SELECT regexp_extract({MODEL}, '\\d+')::BIGINT FROM labels WHERE {MODEL} <> 'base')""",
+        WHERE g NOT IN (SELECT regexp_extract({MODEL}, '\\d+')::BIGINT FROM labels WHERE {MODEL} <> 'base v+1')""",
 )
 def missing_steps(spark, sf_dir):
     return H.missing_steps(models(spark, sf_dir), 250, 4500, 250)

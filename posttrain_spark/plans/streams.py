@@ -96,7 +96,7 @@ def stream_advantages(spark, sf_dir):
     "stream_checkpoints",
     f"""SELECT DISTINCT {MODEL} AS model, regexp_extract({MODEL}, '\\d+')::BIGINT AS step,
           CASE WHEN regexp_extract({MODEL}, '\\d+')::BIGINT <= 2000 THEN 1 ELSE 2 END::BIGINT AS round
-        FROM labels WHERE {MODEL} NOT IN ('base', 'checkpoint-500')""",
+        FROM labels WHERE {MODEL} NOT IN ('base v+1', 'checkpoint-500')""",
 )
 def stream_checkpoints(spark, sf_dir):
     """Two rounds of arrivals: the second run must report the new checkpoints only."""

@@ -8,10 +8,10 @@ from posttrain_spark.operators import evals as H
 from posttrain_spark.sources import metrics as M
 
 EXAMPLE = {
-    "gsm8k": {"pass@1": {"symbolic_correct": 69.07, "no_answer": 7.96}},
-    "human-eval": {"pass@1": {"passing_base_tests": 55.49, "passing_plus_tests": 49.39}},
-    "ifeval": {"pass@1": {"average_score": 48.88, "instruction_strict_accuracy": 52.76}},
-    "mbpp": {"pass@1": {"passing_base_tests": 49.47, "passing_plus_tests": 43.12}},
+    "gsm8k": {"pass@1": {"symbolic_correct": 71.5, "no_answer": 6.25}},
+    "human-eval": {"pass@1": {"passing_base_tests": 50.5, "passing_plus_tests": 44.25}},
+    "ifeval": {"pass@1": {"average_score": 61.0, "instruction_strict_accuracy": 58.75}},
+    "mbpp": {"pass@1": {"passing_base_tests": 40.5, "passing_plus_tests": 33.75}},
 }
 SEVEN = [
     "gsm8k_symbolic_correct", "human-eval_passing_base_tests", "human-eval_passing_plus_tests",
@@ -45,7 +45,7 @@ def cells(spark, root):
 def test_example_gives_the_seven_columns(spark, results):
     wide = H.comparison(cells(spark, results).filter("model = 'checkpoint-500'"))
     assert wide.columns == ["model", *SEVEN]
-    assert wide.first()["gsm8k_symbolic_correct"] == "69.07"
+    assert wide.first()["gsm8k_symbolic_correct"] == "71.5"
 
 
 def test_fallback_is_the_first_number_in_file_order(spark, results):
@@ -138,3 +138,17 @@ def test_work_lists(spark):
     got = sorted(tuple(r) for r in H.pending(models, benches, ledger).collect())
     assert got == [("checkpoint-250", "b"), ("checkpoint-750", "a"), ("checkpoint-750", "b")]
     assert sorted(r.step for r in H.missing_steps(models, 250, 1000, 250).collect()) == [500, 1000]
+
+
+def test_names_with_spaces_and_colons(spark, tmp_path):
+    rows = [("run 50% a+b", "gsm8k", "pass@1", "symbolic_correct", 1.5), ("plain", "gsm8k", "pass@1", "symbolic_correct", 2.0)]
+    df = spark.createDataFrame(rows, "model string, benchmark string, mode string, metric string, value double")
+    M.write_metrics(df, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["plain", "run 50% a+b"]
+    assert sorted(r.model for r in M.scan_metrics(spark, str(tmp_path / "out")).collect()) == ["plain", "run 50% a+b"]
+
+
+def test_numbers_that_json_cannot_write(spark):
+    text = '{"b": {"pass@1": {"x": NaN, "y": 1.5}}}'
+    rows = H.metric_rows(spark.createDataFrame([("m", text)], "model string, value string")).collect()
+    assert {r.metric: r.value for r in rows} == {"x": "NaN", "y": "1.5"}
