@@ -1,8 +1,10 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
-from posttrain_spark.operators import labels as L
+from posttrain_spark.operators import labels as L, reward as R
+from posttrain_spark.sources.conversations import spaced_json
 
 LABELS = {
     "[{'instruction_id': ['a', 'b'], 'kwargs': [None, {'N': 3, 'x': True}]}]": [("a", None), ("b", {"N": "3", "x": "true"})],
@@ -61,3 +63,31 @@ def test_old_label_keeps_nested_values(spark):
     row = spark.createDataFrame([(label,)], "t string").select(L.parse_old_label(F.col("t")).alias("m")).first()
     assert row.m["func_name"] == "validate_choice" and row.m["N"] is None
     assert json.loads(row.m["options"]) == ["a", "b"]
+
+
+def test_very_long_quoted_text(spark):
+    long = "it is " * 20_000 + "don't \\ stop\n" * 1_000
+    rows = [
+        (1, repr([{"instruction_id": ["combination:repeat_prompt"], "kwargs": [{"prompt_to_repeat": long}]}])),
+        (2, repr([{"instruction_id": ["combination:repeat_prompt"], "kwargs": [{"prompt_to_repeat": "\\n" * 50_000}]}])),
+    ]
+    parsed = L.parse_multi_labels(spark.createDataFrame(rows, "id int, ground_truth string"))
+    got = {r.id: r.constraints[0]["kwargs"]["prompt_to_repeat"] for r in parsed.collect()}
+    assert got == {1: long, 2: "\\n" * 50_000}
+
+
+def test_braces_in_keywords(spark):
+    words = ["{", "x{y}", "a{,3}", "b{2}", "[{]", "}", "{}"]
+    text = "{ x{y} { aaa bb { } {}"
+    label = repr([{"instruction_id": ["keywords:existence"], "kwargs": [{"keywords": words}]}])
+    df = spark.createDataFrame([(label, text)], "ground_truth string, completion string")
+    row = R.score_multi(L.parse_multi_labels(df)).first()
+    assert (row.error, row.score) == (None, 1.0)
+    for pattern in [*words, "a{,}", r"\{", "a{1,2}}"]:
+        assert re.findall(pattern, text) == re.findall(L.portable_braces(pattern), text)
+
+
+def test_json_with_very_long_strings(spark):
+    text = '{"a":"' + "x,y:" * 30_000 + '\\"","b":[1,2]}'
+    df = spark.createDataFrame([(text,)], "t string").select(spaced_json(F.col("t")).alias("t"))
+    assert df.first().t == text.replace('{"a":', '{"a": ').replace(',"b":[1,2]', ', "b": [1, 2]')
