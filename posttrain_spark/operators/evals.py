@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from posttrain_spark.functions.text import is_blank, strip
+from posttrain_spark.functions.text import is_blank, let, strip
 
 METRICS = "map<string,map<string,map<string,string>>>"
 TYPED_METRICS = "map<string,map<string,map<string,variant>>>"
@@ -77,15 +77,19 @@ def summarize_following(verdicts: DataFrame, by: Sequence[str] = ("model",)) ->
 
 def loose_variants(text: Column) -> Column:
     """Eight readings of an answer: without first line, last line or both, and each without ``*``."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
 
-    def without(first: int, last: int) -> Column:
-        kept = F.slice(lines, F.lit(1 + first), F.greatest(n - first - last, F.lit(0)))
-        return strip(F.array_join(kept, "\n"))
+    def readings(lines: Column) -> Column:
+        n = F.size(lines)
 
-    base = [text, without(1, 0), without(0, 1), without(1, 1)]
-    return F.array(*base, *[F.replace(v, F.lit("*"), F.lit("")) for v in base])
+        def without(first: int, last: int) -> Column:
+            kept = F.slice(lines, F.lit(1 + first), F.greatest(n - first - last, F.lit(0)))
+            return strip(F.array_join(kept, "\n"))
+
+        return F.array(text, without(1, 0), without(0, 1), without(1, 1))
+
+    # The lines and the four readings are bound: each is made once per row.
+    plain = let(F.split(text, "\n"), readings)
+    return let(plain, lambda four: F.concat(four, F.transform(four, lambda v: F.replace(v, F.lit("*"), F.lit("")))))
 
 
 def loose_verdict(text: Column, check) -> Column:
