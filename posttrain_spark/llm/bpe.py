@@ -9,8 +9,9 @@ that merging by rank would give, one per word, and a state is known by the token
 An arc is present or absent for good once its merge has been applied; looked-up arcs are kept in
 one transition table.
 
-A word is encoded by walking all arcs whose labels spell it: at every position the automaton lets
-only one token end, so the walk is linear in the word's length.  Decoding emits the arc labels.
+A word is encoded by walking arcs whose labels spell it, the longest label first.  The automaton can
+come to a place of a word in one state only, so a place from which the walk could not go on is never
+entered again and the walk is linear in the word's length.  Decoding emits the arc labels.
 """
 
 from __future__ import annotations
@@ -21,19 +22,28 @@ import sys
 import types
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from posttrain_spark.plans.registry import query, table
 
 WORD_END = "</w>"
+# Rows handed on at once, and tokens decoded at once.
+ROWS_AT_ONCE = 1_000
+DECODE_TOKENS = 2_000_000
 # Bounds of what a Python worker keeps between rows: arcs, and pre-split words with their tokens.
 MOST_ARCS = 500_000
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
+
+
+# Latin-1 characters that are letters, numbers and white space, as parts of a character class.
+LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+LATIN_NUMBERS = "0-9²³¹¼½¾"
+LATIN_SPACE = r"\t-\r \x85\xa0"
 
 
 def byte_symbols() -> list[str]:
@@ -50,12 +60,16 @@ class Automaton:
     def __init__(self, vocabulary: dict[str, int], merges: Iterable[tuple[str, str]]):
         self.ids = vocabulary
         self.label = {i: t for t, i in vocabulary.items()}
-        # Every beginning of a token, and the token it is, if any.
-        self.spelled: dict[str, int | None] = {}
-        for t, i in vocabulary.items():
-            for n in range(1, len(t)):
-                self.spelled.setdefault(t[:n])
-            self.spelled[t] = i
+        # Labels by character; a node holds the token that ends there under None, and the one that
+        # ends the word there under WORD_END.
+        self.spelling: dict = {}
+        for label, token in vocabulary.items():
+            node, end = self.spelling, None
+            if label.endswith(WORD_END):
+                label, end = label.removesuffix(WORD_END), WORD_END
+            for character in label:
+                node = node.setdefault(character, {})
+            node[end] = token
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank of its merge
         self.cut: dict[tuple[int, int], int] = {}  # arc of a state: rank at which it was taken away
         self.table: dict[int, bool] = {}
@@ -99,41 +113,60 @@ class Automaton:
     def encode(self, word: str) -> list[int]:
         """Token ids of a word given in byte symbols, without its end mark."""
         n = len(word)
-        before: list[int | None] = [None] * (n + 1)  # where the token that ends here starts
-        state: list[int] = [-1] * (n + 1)
-        before[0] = 0
-        ends = word + WORD_END
-        for i in range(n):
-            if before[i] is None:
-                continue
-            for j in range(i + 1, n + 1):
-                token = self.spelled.get(word[i:j], -1)
-                if j == n:
-                    token = self.ids.get(ends[i:])
-                elif token == -1:
+        table, tokens = self.table, []
+        places, choices = [0], []  # where each token starts, and what is left to try there
+        dead = set()  # places from which no arc leads on; a place is only ever reached in one state
+        while places[-1] < n:
+            at = places[-1]
+            if len(choices) < len(places):
+                node, found = self.spelling, []
+                for j in range(at, n):
+                    node = node.get(word[j])
+                    if node is None:
+                        break
+                    token = node.get(WORD_END if j + 1 == n else None)
+                    if token is not None:
+                        found.append((j + 1, token))
+                choices.append(found)
+            left, found = tokens[-1] if tokens else -1, choices[-1]
+            while found:
+                end, token = found.pop()  # the longest label first
+                if end in dead:
+                    continue
+                there = True if left < 0 else table.get(left << 32 | token)
+                if self.arc(left, token) if there is None else there:
+                    places.append(end)
+                    tokens.append(token)
                     break
-                if token is not None and before[j] is None and (i == 0 or self.arc(state[i], token)):
-                    before[j], state[j] = i, token
-        if before[n] is None:
-            raise ValueError(f"no spelling of {word[:40]!r} in this vocabulary")
-        out = []
-        while n:
-            out.append(state[n])
-            n = before[n]
-        return out[::-1]
+            else:
+                if not tokens:
+                    raise ValueError(f"no spelling of {word[:40]!r} in this vocabulary")
+                dead.add(places.pop())
+                choices.pop()
+                tokens.pop()
+        return tokens
 
 
 class _Words(dict):
-    """Token ids of pre-split words met so far, up to ``MOST_WORDS``."""
+    """Token ids (as bytes of int32) of pre-split words met so far.
+
+    From ``MOST_WORDS`` on a new generation is begun; the words of the last one that are met again
+    move over, so frequent words stay.
+    """
 
     def __init__(self, codec: Codec):
         self.codec = codec
+        self.last: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MOST_WORDS:
+            self.last = dict(self)
             self.clear()
-        symbols = self.codec.symbols
-        ids = self.codec.automaton.encode("".join([symbols[b] for b in piece.encode()]))
+        ids = self.last.get(piece)
+        if ids is None:
+            symbols = self.codec.symbols
+            word = "".join([symbols[b] for b in piece.encode()])
+            ids = np.array(self.codec.automaton.encode(word), np.int32).tobytes()
         self[piece] = ids
         return ids
 
@@ -147,12 +180,14 @@ class Codec:
         self.automaton = Automaton(model["vocab"], map(tuple, model["merges"]))
         self.special = {t["content"]: t["id"] for t in added}
         self.labels = self.automaton.label | {i: t for t, i in self.special.items()}
+        self.label_array = pa.array([self.labels.get(i) for i in range(max(self.labels, default=-1) + 1)], pa.string())
         rule = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # The file's rule is meant with the Unicode white space property.
         self.pieces = regex.compile(rule.replace(r"\s", r"\p{White_Space}")).findall
-        # The same rule on texts of ASCII characters, for the quicker engine.
-        plain = rule.replace(r"[\p{L}]", "[A-Za-z]").replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
-        self.plain_pieces = re.compile(plain.replace(r"\s", r"\t-\r "), re.ASCII).findall
+        # The same rule for texts of Latin-1 characters, for the quicker engine.
+        plain = rule.replace("[\\p{L}]", f"[{LATIN_LETTERS}]").replace("\\p{L}", LATIN_LETTERS)
+        plain = plain.replace("\\p{N}", LATIN_NUMBERS).replace("\\s", LATIN_SPACE)
+        self.plain_pieces = re.compile(plain).findall
         names = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.split_special = regex.compile(f"({names})").split if names else lambda text: [text]
         self.symbols = byte_symbols()
@@ -160,18 +195,19 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text."""
-        out: list[Iterable[int]] = []
+        out: list[bytes] = []
         for part in self.split_special(text) if "<|" in text else [text]:
             if part in self.special:
-                out.append((self.special[part],))
+                out.append(np.int32(self.special[part]).tobytes())
                 continue
             split = self.plain_pieces
-            if not part.isascii():
+            try:
+                part.encode("latin-1")  # such texts are in normal form as they are
+            except UnicodeEncodeError:
                 # Lower case goes by single characters: no final form of sigma.
                 part, split = unicodedata.normalize("NFC", part).replace("Σ", "σ"), self.pieces
-            out.append(chain.from_iterable(map(self.words.__getitem__, split(part.lower()))))
-        return np.fromiter(chain.from_iterable(out), np.int32)
-
+            out += map(self.words.__getitem__, split(part.lower()))
+        return np.frombuffer(b"".join(out), np.int32)
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
@@ -198,10 +234,12 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, spec, work: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
-        for batch in batches:
-            made = work(codec, batch.column(batch.schema.get_field_index(source)))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, made], names=[*kept, target])
+        for whole in batches:
+            for i in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(i, ROWS_AT_ONCE)
+                made = work(codec, batch.column(batch.schema.get_field_index(source)))
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, made], names=[*kept, target])
 
     return df.mapInArrow(run, schema)
 
@@ -223,7 +261,17 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "tok
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of token ids: their labels with one space between; NULL gives ''."""
-    work = lambda codec, rows: pa.array([codec.decode(r.as_py() or ()) for r in rows], pa.string())
+
+    def work(codec: Codec, rows: pa.Array) -> pa.Array:
+        parts = []
+        step = max(1, len(rows) * DECODE_TOKENS // max(1, len(rows.flatten())))
+        for i in range(0, len(rows), step):
+            some = rows.slice(i, step).fill_null([])
+            ends = np.cumsum([0, *pc.list_value_length(some).to_numpy(zero_copy_only=False)])
+            labels = codec.label_array.take(some.flatten())
+            parts.append(pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), labels), " "))
+        return pa.chunked_array(parts or [[]], pa.string()).combine_chunks() if len(parts) != 1 else parts[0]
+
     return _mapped(docs, ids, out, "string", _shared_spec(docs.sparkSession, vocabulary), work)
 
 
