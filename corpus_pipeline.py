@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that stand in an earlier document or place."""
+    """All documents, without runs of lines that stand in an earlier document or place."""
     return line_dedup.dedup_lines(docs)
 
 

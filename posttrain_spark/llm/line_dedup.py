@@ -1,17 +1,22 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by a rolling hash over windows of lines.
 
-Every text is cut into chunks of whole lines.  A rolling hash over the last ``WINDOW`` line hashes
-decides where a chunk ends, so the cuts depend on nearby lines alone: a passage inserted elsewhere
-moves no cut but its own.  A chunk of at least two lines with words, or of one line with at least
-``LONG_LINE`` words, that occurs more than once in the corpus is kept where it occurs first (smallest
-id, then position) and removed everywhere else, after its bytes were compared with the first one's.
+A hash rolls over every window of two neighbouring lines with words; a line of at least ``LONG_LINE``
+words is a window of its own.  No window is sampled away, so none depends on the lines around it.  A
+window that occurs more than once in the corpus is kept where it occurs first (smallest id, then position) and its lines are
+removed everywhere else, after its bytes were compared with the first one's.
 
-Only chunk hashes are shuffled to find repeats; texts of repeated chunks alone are compared.  A hash
+Any repeated run of two lines or more is the union of its windows, and each of them has an earlier
+occurrence: so exactly the lines of all repeated runs of at least two lines with words, or of one line with
+at least ``LONG_LINE`` words, are removed, whatever stands around them.  The first occurrence of
+a line is never removed.  Lines without words count between the lines of a window, not at its edges.
+
+Only window hashes are shuffled to find repeats; texts of repeated windows alone are compared.  A hash
 that very many documents share is counted before the shuffle and its rows are spread in the joins.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,36 +28,29 @@ from posttrain_spark.operators.skew import skew_join
 from posttrain_spark.plans.registry import query, table
 from posttrain_spark.session import durable
 
-# Lines in the rolling window, and the mean distance of cuts in lines.
-WINDOW = 2
-MEAN_LINES = 2
-# Words from which a single line counts as a chunk to remove.
+# Words from which a single line is removed when it is repeated alone.
 LONG_LINE = 50
 
-_STEP = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
 
 def chunks(text: str) -> list[tuple[int, int, int]]:
-    """Chunks as (first line, end line, hash), those too small to be removed left out.
+    """Windows of lines as (first line, end line, hash); they overlap.
 
-    Lines are what stands between ``\\n``; a chunk's text is its lines joined by ``\\n``.
+    Lines are what stands between ``\\n``; a window's text is its lines joined by ``\\n``.  Two neighbouring
+    long lines need no window of their own: where both repeat, each is removed by itself.
     """
     lines = text.split("\n")
-    hashes = [xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines]
+    words = [len(line.split()) for line in lines]
+    filled = [i for i, n in enumerate(words) if n]
     out = []
-    first = 0
-    for i, own in enumerate(hashes):
-        rolled = 0
-        for h in hashes[max(0, i - WINDOW + 1) : i] + [own]:
-            rolled = (rolled * _STEP + h) & _MASK
-        if i + 1 < len(lines) and (rolled * _STEP & _MASK) >> 32 >= (1 << 32) // MEAN_LINES:
-            continue
-        part = lines[first : i + 1]
-        filled = [line for line in part if line.strip()]
-        if len(filled) >= 2 or len(filled) == 1 and len(filled[0].split()) >= LONG_LINE:
-            out.append((first, i + 1, xxhash.xxh3_64_intdigest("\n".join(part).encode("utf-8", "surrogatepass"))))
-        first = i + 1
+
+    def add(first: int, end: int) -> None:
+        out.append((first, end, xxhash.xxh3_64_intdigest("\n".join(lines[first:end]).encode("utf-8", "surrogatepass"))))
+
+    for i, after in itertools.zip_longest(filled, filled[1:]):
+        if words[i] >= LONG_LINE:
+            add(i, i + 1)
+        if after is not None and not (after == i + 1 and min(words[i], words[after]) >= LONG_LINE):
+            add(i, after + 1)
     return out
 
 
@@ -61,7 +59,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, line, hash) of all chunks."""
+    """Rows (id, line, hash) of all windows."""
     for batch in batches:
         at, line, key = [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
@@ -76,7 +74,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, line, hash, body) of the chunks listed with each text."""
+    """Rows (id, line, hash, body) of the windows listed with each text."""
     for batch in batches:
         at, line, key, body = [], [], [], []
         for i, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
@@ -109,11 +107,13 @@ def _without(text: str | None, gone: list[dict] | None) -> str | None:
     for first, end, h in chunks(text):
         if (first, h - (1 << 64) if h >> 63 else h) in cut:
             drop.update(range(first, end))
-    return "\n".join(line for i, line in enumerate(lines) if i not in drop)
+    rest = [line for i, line in enumerate(lines) if i not in drop]
+    # Lines without words do not stay alone.
+    return "\n".join(rest) if any(line.strip() for line in rest) else ""
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks to remove: columns ``id``, ``line`` (of the chunk's first line) and ``hash``."""
+    """Windows to remove: columns ``id``, ``line`` (of the window's first line) and ``hash``."""
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     found = durable(source.mapInArrow(_chunk_rows, "id long, line int, hash long"), "chunks")
     # Rows without an id come last in the order of first occurrences.
@@ -150,9 +150,9 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """``docs`` without the repeated chunks, columns as they were; ``n_chars`` is counted anew.
+    """``docs`` without the repeated lines, columns as they were; ``n_chars`` is counted anew.
 
-    Every row stays: where all chunks are repeats the text becomes empty.  NULL and empty texts stay
+    Every row stays: where all lines are repeats the text becomes empty.  NULL and empty texts stay
     as they are.  Rows that repeat an id with the same text count as one document, so none of them
     loses what it would lose to itself; with other texts they are rows of their own.  Rows without
     an id come last in the order in which first occurrences are chosen and count as one row.

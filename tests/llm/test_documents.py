@@ -178,6 +178,42 @@ def test_chunks_resist_shifts():
     assert len(own & moved) >= len(own) - 2
 
 
+def repeated_lines(table):
+    """Texts by id without the lines of every run that stands at an earlier place: two lines or 50 words."""
+    lines = {i: text.split("\n") for i, text in table}
+    starts = [(i, k) for i in sorted(lines) for k in range(len(lines[i]))]
+    gone = set()
+    for at, (i, k) in enumerate(starts):
+        for j, m in starts[:at]:
+            n = 0
+            while k + n < len(lines[i]) and m + n < len(lines[j]) and lines[i][k + n] == lines[j][m + n]:
+                n += 1
+            if n >= 2 or n and len(lines[i][k].split()) >= 50:
+                gone.update((i, k + x) for x in range(n))
+    return {i: "\n".join(x for k, x in enumerate(lines[i]) if (i, k) not in gone) for i in lines}
+
+
+def test_line_dedup_removes_every_repeated_run(spark):
+    rng = random.Random(12)
+    runs = [[prose(rng, n) for n in sizes] for sizes in ((60,), (9, 9), (60, 4), (5, 70, 5), (4, 5, 6, 7), (80, 55), (30,))]
+    table = [(0, "\n".join(runs[4]))]
+    for i in range(1, 60):
+        foreign = lambda: [prose(rng, rng.choice((4, 20, 70))) for _ in range(rng.choice((0, 1, 2)))]
+        table.append((i, "\n".join(x for _ in range(3) for part in (foreign(), rng.choice(runs)) for x in part)))
+    table += [(60 + i, text) for i, (_, text) in enumerate(table)]
+    cleaned = line_dedup.dedup_lines(spark.createDataFrame([row(i, t) for i, t in table], SCHEMA))
+    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert got == repeated_lines(table)
+    assert not any(got[i] for i in range(60, 120))
+
+
+def test_line_dedup_and_lines_without_words(spark):
+    table = ["\na b\n\nc d\n", "x\n\na b\n\nc d\ny", "\na b\n\nc d\n", "x\na b\nc d"]
+    cleaned = line_dedup.dedup_lines(spark.createDataFrame([row(i, t) for i, t in enumerate(table)], SCHEMA))
+    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert got == {0: table[0], 1: "x\n\ny", 2: "", 3: table[3]}
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
