@@ -342,6 +342,36 @@ def test_secrets(spark, docs, nothing):
     assert secret_scan.judge(empty, secret_scan.fit_forest(empty)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "text, value, label",
+    [
+        ("set api_key=4f9A0bC2d7E81x now", "4f9A0bC2d7E81x", 1),
+        ("api_key=4f9A0bC2d7E81x4f9A0bC2==, next", "4f9A0bC2d7E81x4f9A0bC2==", 1),
+        ("DB_PASSWD: p@ss!w0rd#1", "p@ss!w0rd#1", 1),
+        ("pwd = 'hun!ter2'", "hun!ter2", 1),
+        ('{"user-password":"a,b\'c9;","n":1}', "a,b'c9;", 1),
+        ("my/long/path/client_secret_of_production = x7&yz$w.", "x7&yz$w", 1),
+        ("Authorization: Bearer ab12.cd34.ef56", "ab12.cd34.ef56", 1),
+        ("a token: nothing", "nothing", 0),
+        ("é eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27 x", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27", None),
+        ("an_option_with_long_name=1 digest=QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==", None),
+    ],
+)
+def test_secret_values(spark, text, value, label):
+    found = secret_scan.candidates(spark.createDataFrame([row(1, text)], SCHEMA))
+    last = secret_scan.rule_labels(secret_scan.describe(found, ["abc"])).orderBy("place").collect()[-1]
+    assert (last["value"], last["label"]) == (value, label)
+    assert text.split(value)[0].endswith(last["before"]) and text.split(value)[1].startswith(last["after"])
+
+
+def test_long_secret_values(spark):
+    text = "password=" + "aB3!" * 50_000 + " end " + "token" * 20_000 + ' secret="x" k'
+    assert [r["value"] for r in secret_scan.candidates(spark.createDataFrame([row(1, text)], SCHEMA)).orderBy("place").collect()] == [
+        "aB3!" * 50_000,
+        "token" * 20_000,
+    ]
+
+
 def test_search(spark, docs, rows, monkeypatch, nothing):
     monkeypatch.setattr(bm25, "SHARD_DOCS", 7)
     monkeypatch.setattr(bm25, "BLOCK_TERMS", 300)
