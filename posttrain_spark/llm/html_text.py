@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from posttrain_spark.plans.registry import query, table
 from posttrain_spark.session import durable
 
-# A container goes on to a child that holds at least this share of its text.
-SHARE = 0.75
+# A container may go on to a child that holds at least this share of its text, if what it leaves out is
+# the same on most pages of the host, and on so many at least.
+SHARE, LEAST_PAGES = 0.75, 3
 # An article or main element is the container if it holds at least this share of the page's text.
 ARTICLE_SHARE = 0.3
 
@@ -217,8 +218,8 @@ class Page:
                 return
             self._start(tag, token[3])
 
-    def container(self) -> _Element | None:
-        """The element that holds the page's text; None without text."""
+    def container(self, share: float = 1.0) -> _Element | None:
+        """The article, or the lowest element reached by children that hold ``share`` of the text; None without text."""
         root = self.elements[0]
         if not root.total:
             return None
@@ -235,7 +236,7 @@ class Page:
         at = root
         while below := children.get(id(at)):
             best = max(below, key=lambda e: e.total)
-            if best.total < SHARE * at.total or best.tag == "p":
+            if best.total < share * at.total or best.tag == "p":
                 break
             at = best
         return at
@@ -246,10 +247,15 @@ class Page:
         if not tops:
             own = self.container()
             tops = {id(own)} if own is not None else set()
+        inside = self.blocks_below(tops)
+        return "\n\n".join(t for i, t in enumerate(self.texts) if i in inside)
+
+    def blocks_below(self, tops: set[int]) -> set[int]:
+        """Numbers of the blocks below the elements with these ids."""
         below: dict[int, bool] = {}
         for e in self.elements:  # parents come before their children
             below[id(e)] = id(e) in tops or e.parent is not None and below[id(e.parent)]
-        return "\n\n".join(t for t, e in zip(self.texts, self.holder, strict=True) if below[id(e)])
+        return {i for i, e in enumerate(self.holder) if below[id(e)]}
 
 
 def host_of(url: Column) -> Column:
@@ -259,23 +265,46 @@ def host_of(url: Column) -> Column:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page the container of all its text, a lower one and the digest of the text outside that."""
     for batch in batches:
-        path, weight = [], []
+        made = []
         for html in batch.column(1).to_pylist():
-            best = Page(html or "").container()
-            path.append(None if best is None else best.path)
-            weight.append(0 if best is None else best.total)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(path, pa.int64()), pa.array(weight, pa.int64())],
-            names=["host", "path", "weight"],
-        )
+            page = Page(html or "")
+            whole, low = page.container(), page.container(SHARE)
+            if whole is None:
+                made.append((None, 0, None, 0, 0))
+                continue
+            inside = page.blocks_below({id(low)})
+            rest = "\n\n".join(t for i, t in enumerate(page.texts) if i not in inside)
+            made.append((whole.path, whole.total, low.path, low.total, xxhash.xxh3_64_intdigest(rest.encode("utf-8", "replace")) >> 1))
+        names = ("whole", "whole_weight", "low", "low_weight", "rest")
+        columns = [pa.array([m[i] for m in made], pa.int64()) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", *names])
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Columns ``host`` and ``path``: per host the path most pages vote for (then most text)."""
+    """Columns ``host`` and ``path``: per host the path most pages vote for (then most text).
+
+    A page votes for its lower container only where the text outside it is boilerplate of the host.
+    """
     asked = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).filter("host IS NOT NULL")
-    votes = asked.mapInArrow(_votes, "host string, path long, weight long").filter("path IS NOT NULL")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    schema = "host string, whole long, whole_weight long, low long, low_weight long, rest long"
+    votes = asked.mapInArrow(_votes, schema).filter("whole IS NOT NULL")
+    kinds = votes.groupBy("host", "whole", "low", "rest").agg(
+        F.count("*").alias("n"), F.sum("whole_weight").alias("whole_weight"), F.sum("low_weight").alias("low_weight")
+    )
+    kinds = durable(kinds, "votes")
+    shared = kinds.groupBy("host", "rest").agg(F.sum("n").alias("same"))
+    totals = kinds.groupBy("host").agg(F.sum("n").alias("all"))
+    common = shared.join(totals, "host").filter((F.col("same") >= LEAST_PAGES) & (2 * F.col("same") > F.col("all")))
+    marked = kinds.join(common.select("host", "rest", F.lit(True).alias("common")), ["host", "rest"], "left")
+    chosen = marked.select(
+        "host",
+        F.when(F.col("common"), F.col("low")).otherwise(F.col("whole")).alias("path"),
+        "n",
+        F.when(F.col("common"), F.col("low_weight")).otherwise(F.col("whole_weight")).alias("weight"),
+    )
+    counted = chosen.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
     best = F.max(F.struct("n", "weight", "path"))
     return counted.groupBy("host").agg(best.alias("best")).select("host", F.col("best.path").alias("path"))
 

@@ -76,6 +76,12 @@ def test_a_host_outvotes_a_page(spark):
     assert got[9] == got[0] == "\n\n".join(["story text"] * 5)
 
 
+@pytest.mark.parametrize("tag", ["div", "ul", "pre", "table", "blockquote"])
+def test_heading_and_lead_beside_a_large_part(tag):
+    html = page(f"<div class='post'><h1>Head</h1><p>Lead</p><{tag}>{'long story ' * 40}</{tag}></div>")
+    assert html_text.Page(html).text_at(None) == "Head\n\nLead\n\n" + ("long story " * 40).strip()
+
+
 @pytest.fixture(scope="module")
 def archive(spark, pages):
     return warc.write_archives(pages, scratch_path(spark, "archive"))
