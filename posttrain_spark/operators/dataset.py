@@ -43,7 +43,7 @@ def filter_long_prompts(df: DataFrame, max_tokens: int = 4096, counter: Counter
 def cap_rows(df: DataFrame, n: int = 1_000_000, key: str = "conv_id") -> DataFrame:
     """The first ``min(n, rows)`` rows by a numeric ``key``, NULL first; ties are cut by a digest.
 
-    The cap is a comparison with the place of the n-th row, so no task ever holds the result.
+    The cap is a comparison with the value of the n-th row, so no task ever holds the result.
     """
     return cut_after(df, key, n)[0]
 

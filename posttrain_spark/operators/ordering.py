@@ -1,22 +1,26 @@
-"""Global row numbers and prefix sums without a one-partition window.
+"""Global row numbers, prefix sums and exact cuts without a one-partition window or a driver sketch.
 
-Rows are put into ordered buckets; the totals of the buckets (one row per ROWS_PER_BUCKET rows) give
-every bucket its starting position, and a window inside each bucket does the rest.  A cut after the
-first n rows needs no more than the place of the n-th row.
+Ranks take two distributed passes.  Rows are sorted over range partitions and stored once with their
+partition and place; the totals of the partitions, one row each, give every partition its start, which
+is joined back.  A cut after n rows needs no order at all: the value of the n-th row is found by counting
+value ranges, and both sides are a comparison with it.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from posttrain_spark.session import durable
 
-# A bucket is ordered by one task: it holds about so many rows, or fewer.
-ROWS_PER_BUCKET = 100_000
+# A partition is ordered by one task: it holds about so many rows.
+ROWS_PER_PARTITION = 100_000
+
+# Value ranges counted at once, and rows whose values the driver may look at one by one.
+CELLS = 4_096
+FEW = 10_000
 
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
@@ -24,46 +28,74 @@ def shuffle_key(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
-def default_buckets(df: DataFrame) -> int:
-    """Follows the number of rows; at least enough to use the session's shuffle partitions."""
+def default_partitions(df: DataFrame) -> int:
+    """Follows the number of rows; at least the session's shuffle partitions."""
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, 4 * shuffles, -(-df.count() // ROWS_PER_BUCKET))
+    return max(1, shuffles, -(-df.count() // ROWS_PER_PARTITION))
+
 
+def in_ranges(
+    df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), partitions: int | None = None
+) -> DataFrame:
+    """``df`` sorted by ``group`` and ``order`` over range partitions, not yet stored, with ``_slot``.
 
-def hash_bucket(digest: Column, buckets: int | Column) -> Column:
-    """Bucket of a hex digest; digests are uniform, so the buckets are even and in digest order."""
-    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
-    return F.floor(high / float(2**32) * buckets).cast("long")
+    ``_slot`` grows in that order: the partition in its upper, the place in the partition in its lower 33
+    bits.  Rows equal in all of it are told apart by their place in the input, so a value that a third
+    of all rows share is cut over several partitions like any other.  ``df`` is read twice (bounds are
+    drawn first): pass a stored frame.
+    """
+    partitions = partitions or default_partitions(df)
+    names = [f"_order{i}" for i in range(len(order))]
+    keyed = df.withColumns({**dict(zip(names, order)), "_place": F.monotonically_increasing_id()})
+    by = [*(F.col(f"`{g}`") for g in group), *names, "_place"]
+    ranged = keyed.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
+    return ranged.select(
+        *(F.col(f"`{c}`") for c in df.columns), F.monotonically_increasing_id().alias("_slot")
+    )
 
 
-def with_value_bucket(df: DataFrame, key: str, tie: str | None, buckets: int) -> DataFrame:
-    """Buckets in the order of a numeric key, from approximate quantiles of the key.
+def slot_partition() -> Column:
+    """The range partition of a row of :func:`in_ranges`."""
+    return F.shiftright("_slot", 33)
 
-    A value that fills several quantiles by itself gets a bucket of its own, cut further by the
-    digest of ``tie``; rows of one value are then ordered by that digest.  Rows without a key come
-    first, in buckets of their own, cut the same way.
+
+def rank_rows(
+    df: DataFrame,
+    order: Sequence[Column],
+    group: Sequence[str] = (),
+    weight: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add ``ordinal`` (position from 0) by ascending ``order`` and, with ``weight``, ``offset`` (weights before).
+
+    Positions run over the whole frame, or start anew in every ``group``; NULL is a group like any other.
+    NULL keys come first.  A group of any size is spread over range partitions: only one row per
+    partition and group takes part in the sums that place the partitions.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    bounds = df.approxQuantile(key, steps, 1 / (4 * buckets))
-    heavy = {value: n for value, n in Counter(bounds).items() if n > 1}
-    cuts = sorted(set(bounds) | {math.nextafter(h, math.inf) for h in heavy})
-    splits = [-math.inf, *(cuts or [0.0]), math.inf]
-    placed = Bucketizer(
-        splits=splits, inputCol="_key", outputCol="_coarse", handleInvalid="keep"
-    ).transform(df.withColumn("_key", F.col(key).cast("double")))
-    # Rows without a key are "invalid" to the bucketizer, and so would be NaN.
-    placed = placed.withColumn("_coarse", F.when(F.col("_key").isNotNull(), F.col("_coarse")).otherwise(-1.0))
-    fine = F.lit(0).cast("long")
-    if tie:
-        fine = F.when(F.col("_key").isNull(), hash_bucket(shuffle_key(F.col(tie)), buckets)).otherwise(fine)
-    if heavy and tie:
-        # As many pieces as the value fills quantiles, so the buckets stay about 2 * buckets.
-        pieces = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
-        spread = hash_bucket(shuffle_key(F.col(tie)), F.try_element_at(pieces, F.col("_key")))
-        fine = F.when(F.col("_key").isin(*heavy), spread).otherwise(fine)
-    return placed.withColumn(
-        "_bucket", F.col("_coarse").cast("long") * (buckets + 1) + fine
-    ).drop("_key", "_coarse")
+    placed = durable(in_ranges(df, order, group, partitions), "ranks").withColumn("_part", slot_partition())
+    amount = F.coalesce(F.col(f"`{weight}`").cast("long"), F.lit(0)) if weight else F.lit(0).cast("long")
+    keys = [F.col(f"`{g}`") for g in group]
+    totals = placed.groupBy(*keys, "_part").agg(
+        F.count("*").alias("_rows"), F.sum(amount).alias("_sum"), F.min("_slot").alias("_low")
+    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        F.col("_part").alias("_start_part"),
+        *(k.alias(f"_start{i}") for i, k in enumerate(keys)),
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")).alias("_first"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
+    )
+    same = F.col("_part") == F.col("_start_part")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"_start{i}"))
+    added = {"ordinal": F.col("_first") + F.col("_slot")}
+    if weight:
+        inside = Window.partitionBy("_part", *keys).orderBy("_slot")
+        so_far = F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        placed = placed.withColumn("_run", F.coalesce(so_far, F.lit(0)))
+        added["offset"] = F.col("_base") + F.col("_run")
+    found = placed.join(starts, same)
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), *(v.alias(n) for n, v in added.items()))
 
 
 def number_rows(
@@ -72,53 +104,88 @@ def number_rows(
     weight: str | None = None,
     tie: str | None = None,
     seed: int | None = None,
-    buckets: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``ordinal`` (position from 0) and, with ``weight``, ``offset`` (weights before the row).
+    """Add ``ordinal`` and, with ``weight``, ``offset``, as :func:`rank_rows` does.
 
-    The order is by ``key`` (numeric, NULL first), then by the digest of ``tie``.  With ``seed`` it is
-    the seeded shuffle order of ``key`` instead, which may then have any type.  ``df`` is read up to
-    four times: pass a stored, narrow frame (see :func:`posttrain_spark.session.durable`).
+    The order is by ``key`` (NULL first), then by the digest of ``tie``.  With ``seed`` it is the seeded
+    shuffle order of ``key`` instead.  Pass a stored, narrow frame.
     """
-    buckets = buckets or default_buckets(df)
+    column = F.col(f"`{key}`")
     if seed is not None:
-        placed = df.withColumn("_digest", shuffle_key(F.col(key), seed)).withColumn(
-            "_bucket", hash_bucket(F.col("_digest"), buckets)
-        )
-        order = [F.col("_digest"), F.col(key)] + ([F.col(tie)] if tie else [])
+        order = [shuffle_key(column, seed), column] + ([F.col(f"`{tie}`")] if tie else [])
     else:
-        placed = with_value_bucket(df, key, tie, buckets)
-        order = [F.col(key)]
-        if tie:
-            placed = placed.withColumn("_digest", shuffle_key(F.col(tie)))
-            order += [F.col("_digest"), F.col(tie)]
-    amount = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
-    totals = placed.groupBy("_bucket").agg(
-        F.count("*").alias("_rows"), F.sum(amount).alias("_sum")
-    )
-    # One row per bucket, a hundred-thousandth of the rows: one task may order it.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
-    )
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = (
-        placed.withColumn("_at", F.row_number().over(inside) - 1)
-        .withColumn("_run", F.sum(amount).over(so_far) - amount)
-        .join(starts, "_bucket")
-        .withColumn("ordinal", F.col("_first") + F.col("_at"))
+        order = [column] + ([shuffle_key(F.col(f"`{tie}`")), F.col(f"`{tie}`")] if tie else [])
+    return rank_rows(df, order, weight=weight, partitions=partitions)
+
+
+def _kind(value: Column, floating: bool) -> Column:
+    """0 for NULL, 1 for minus infinity, 2 for numbers, 3 for infinity, 4 for NaN: in the sort order."""
+    kind = F.when(value.isNull(), 0)
+    if floating:
+        inf = float("inf")
+        kind = kind.when(F.isnan(value), 4).when(value == inf, 3).when(value == -inf, 1)
+    return kind.otherwise(2)
+
+
+def nth_value(df: DataFrame, value: Column, n: int) -> tuple[object, int, int] | None:
+    """The value of the n-th row (from 1) by a numeric ``value``, NULL first and NaN last; the number of
+    rows below it, and of rows equal to it.  None where there are fewer rows.
+
+    Exact: ranges of equal width are counted, at most ``CELLS`` at once, and the one with the n-th row is
+    counted again until it holds few rows.  No row is moved and no order is made.
+    """
+    rows = df.select(value.alias("v"))
+    floating = isinstance(rows.schema["v"].dataType, (FloatType, DoubleType))
+    rows = rows.withColumns({"kind": _kind(F.col("v"), floating), "x": F.col("v").cast("double")})
+    kinds = rows.groupBy("kind").agg(
+        F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("v").alias("v")
     )
-    if weight:
-        numbered = numbered.withColumn("offset", F.col("_base") + F.col("_run"))
-    return numbered.drop("_bucket", "_first", "_base", "_at", "_run", "_digest")
+    below = 0
+    for kind in sorted(kinds.collect(), key=lambda k: k["kind"]):
+        if below + kind["rows"] >= n:
+            break
+        below += kind["rows"]
+    else:
+        return None
+    if kind["kind"] != 2:
+        return kind["v"], below, kind["rows"]
+    held, low, high = kind["rows"], kind["low"], kind["high"]
+    rows = rows.filter("kind = 2")
+    # Halves, so that the width of any two doubles is finite.
+    while held > FEW and high / 2 > low / 2:
+        part = (F.col("x") / 2 - low / 2) / (high / 2 - low / 2)
+        cell = F.least(F.floor(part * CELLS), F.lit(CELLS - 1))
+        cells = (
+            rows.filter(F.col("x").between(low, high))
+            .groupBy(cell.alias("cell"))
+            .agg(F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
+        )
+        for found in sorted(cells.collect(), key=lambda c: c["cell"]):
+            if below + found["rows"] >= n:
+                break
+            below += found["rows"]
+        held, low, high = found["rows"], found["low"], found["high"]
+    values = rows.filter(F.col("x").between(low, high)).groupBy("v").agg(F.count("*").alias("rows"))
+    for found in sorted(values.collect(), key=lambda v: v["v"]):
+        if below + found["rows"] >= n:
+            break
+        below += found["rows"]
+    return found["v"], below, found["rows"]
+
 
+def _below(value: Column, bound) -> Column:
+    """Whether ``value`` comes before ``bound``; NULL comes first, NaN last."""
+    return F.lit(False) if bound is None else value.isNull() | (value < F.lit(bound))
 
-def row_digest(df: DataFrame) -> Column:
-    """A digest of all columns of a row; equal for equal rows."""
-    return F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+
+def _json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+
+
+def _number(digest: Column) -> Column:
+    """The first 52 bits of a hex digest: exact as a double."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def cut_after(
@@ -126,40 +193,39 @@ def cut_after(
 ) -> tuple[DataFrame, DataFrame]:
     """The first ``min(n, rows)`` rows in the order of :func:`number_rows`, and the rest.
 
-    Ties of the key are cut by a digest of the whole row, so the cut is exact for any key: repeated,
-    NULL, or the same in all rows.  Both sides are a comparison with the place of the n-th row, found
-    from keys and digests alone; only rows equal to it in every column, if there are several, are
-    counted out as copies.
+    Both sides are a comparison with the key of the n-th row.  Only where some, not all, of the rows with
+    that key are taken, those rows (and no others) are cut further by a digest of the whole row; rows
+    equal in every column are counted out as copies.  So the cut is exact for any key: repeated, NULL,
+    or the same in all rows.  ``df`` is read a few times for its key alone: pass a stored frame or one
+    that is cheap to read.
     """
+    nothing = df.filter(F.lit(False))
     if n <= 0:
-        return df.limit(0), df
-    keys = durable(df.select(key, row_digest(df).alias("_tie")), "cut-keys")
-
-    def place(tie: Column) -> Column:
-        if seed is None:
-            return F.struct(F.col(key).alias("a"), shuffle_key(tie).alias("b"), tie.alias("c"))
-        return F.struct(shuffle_key(F.col(key), seed).alias("a"), F.col(key).alias("b"), tie.alias("c"))
-
-    stored = place(F.col("_tie"))
-    first = number_rows(keys, key, tie="_tie", seed=seed).filter(F.col("ordinal") < n)
-    found = first.agg(F.count("*").alias("n"), F.max_by(stored, "ordinal").alias("last")).first()
-    if not found["n"]:
-        return df, df
-    types = {f.name: f.dataType for f in keys.select(stored.alias("p")).schema["p"].dataType}
-    last = F.struct(*(F.lit(found["last"][f]).cast(t).alias(f) for f, t in types.items()))
-    counted = keys.agg(
-        F.count_if(stored < last).alias("below"), F.count_if(stored.eqNullSafe(last)).alias("same")
-    ).first()
-    taken, left = found["n"] - counted["below"], counted["below"] + counted["same"] - found["n"]
-    own = place(row_digest(df))
-    if not left:
-        return df.filter(own <= last), df.filter(own > last)
-    copies = df.filter(own.eqNullSafe(last)).limit(1)
+        return nothing, df
+    column, digest = F.col(f"`{key}`"), F.md5(_json(df))
+    if seed is None:
+        levels = [column, F.xxhash64(digest), _number(digest)]
+    else:
+        shuffled = shuffle_key(column, seed)
+        rest = F.substring(shuffled, 14, 19)
+        levels = [_number(shuffled), _number(rest), F.xxhash64(digest), _number(digest)]
+    first, left, same = F.lit(False), n, F.lit(True)
+    for level in levels:
+        found = nth_value(df.filter(same), level, left)
+        if found is None:
+            return df, nothing
+        bound, below, equal = found
+        first = first | (same & _below(level, bound))
+        same = same & level.eqNullSafe(F.lit(bound))
+        left -= below
+        if left == equal:
+            return df.filter(first | same), df.filter(~(first | same))
+    copies = df.filter(same).limit(1)
 
     def repeated(times: int) -> DataFrame:
         return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy")
 
     return (
-        df.filter(own < last).unionByName(repeated(taken)),
-        df.filter(own > last).unionByName(repeated(left)),
+        df.filter(first).unionByName(repeated(left)),
+        df.filter(~(first | same)).unionByName(repeated(equal - left)),
     )

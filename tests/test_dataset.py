@@ -19,7 +19,7 @@ def test_numbering_with_a_hot_key(spark):
     """One key value holds well over a third of all rows."""
     rows = [(5 if i % 2 else i, f"id{i}", i % 7) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, tie string, w int")
-    got = number_rows(df, "k", weight="w", tie="tie", buckets=16).orderBy("ordinal").collect()
+    got = number_rows(df, "k", weight="w", tie="tie", partitions=16).orderBy("ordinal").collect()
     assert [r.ordinal for r in got] == list(range(3000))
     assert [r.k for r in got] == sorted(r[0] for r in rows)
     total = 0
@@ -28,14 +28,52 @@ def test_numbering_with_a_hot_key(spark):
         total += r.w
 
 
-def test_hot_value_is_spread_over_buckets(spark):
-    from posttrain_spark.operators.ordering import with_value_bucket
-
-    df = spark.range(4000).select(F.when(F.col("id") < 3000, 9).otherwise(F.col("id")).alias("k"), F.col("id").alias("tie"))
-    largest = with_value_bucket(df, "k", "tie", 16).groupBy("_bucket").count().agg(F.max("count")).first()[0]
+def test_hot_value_is_spread_over_partitions(spark):
+    """Three quarters of the rows share a key; as many share it with all other columns."""
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, 9).otherwise(F.col("id")).alias("k"), F.lit(1).alias("tie"))
+    placed = ordering.in_ranges(df, [F.col("k"), F.col("tie")], partitions=16)
+    largest = placed.groupBy(ordering.slot_partition()).count().agg(F.max("count")).first()[0]
     assert largest < 800
 
 
+def test_ranks_in_groups_against_brute_force(spark):
+    """A NULL group, a hot group, NULL and repeated keys, a name with a dot, weights with NULL."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, 2.0, 3.0, 4.5]), i, rng.choice([None, 0, 2, 7])) for i in range(900)]
+    df = spark.createDataFrame(rows, "`g.x` string, k double, i int, w int")
+    got = ordering.rank_rows(df, [F.col("k"), -F.col("i")], ["g.x"], weight="w", partitions=7).collect()
+    want = {}
+    for g in ("a", "b", None):
+        total = 0
+        group = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, -r[2]))
+        for at, r in enumerate(group):
+            want[r[2]] = (at, total)
+            total += r[3] or 0
+    assert {r.i: (r.ordinal, r.offset) for r in got} == want and len(got) == 900
+    assert ordering.rank_rows(df.limit(0), [F.col("k")], ["g.x"]).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_nth_value_against_a_sort(spark, monkeypatch, kind):
+    """Counted in ranges down to the value: NULL, NaN, infinities, huge and neighbouring numbers."""
+    monkeypatch.setattr(ordering, "FEW", 5)
+    monkeypatch.setattr(ordering, "CELLS", 4)
+    rng = random.Random(11)
+    if kind == "double":
+        values = [None, float("nan"), float("inf"), -float("inf"), -1.7e308, 1.7e308, 5e-324, 0.0] + [rng.gauss(0, 10.0 ** rng.randrange(9)) for _ in range(60)]
+    else:
+        values = [None, 2**63 - 1, -(2**63), 2**60, 2**60 + 1, 2**60 + 2] + [rng.choice([7, rng.randrange(1000), 2**55 + rng.randrange(30)]) for _ in range(60)]
+    values += values[:20]
+    ordered = sorted(values, key=lambda v: (v is not None, v != v, v if v is not None and v == v else 0))
+    df = spark.createDataFrame([(v,) for v in values], f"k {kind}").cache()
+    for n in (1, 2, 3, 4, 9, 30, len(values) - 3, len(values)):
+        value, below, same = ordering.nth_value(df, F.col("k"), n)
+        want = ordered[n - 1]
+        assert str(value) == str(want)
+        assert below < n <= below + same
+    assert ordering.nth_value(df, F.col("k"), len(values) + 1) is None
+
+
 def test_numbering_of_a_seeded_shuffle(spark):
     import hashlib
 
