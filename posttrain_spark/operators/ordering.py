@@ -19,7 +19,7 @@ from posttrain_spark.session import durable
 ROWS_PER_PARTITION = 100_000
 
 # Value ranges counted at once, and rows whose values the driver may look at one by one.
-CELLS = 4_096
+CELLS = 1_024
 FEW = 10_000
 
 
@@ -128,49 +128,55 @@ def _kind(value: Column, floating: bool) -> Column:
     return kind.otherwise(2)
 
 
-def nth_value(df: DataFrame, value: Column, n: int) -> tuple[object, int, int] | None:
+def _holding(parts: list, by: str, n: int, below: int) -> tuple:
+    """The part with the n-th row, if any, and the rows below it; parts are in the order of ``by``."""
+    for part in sorted(parts, key=lambda p: p[by]):
+        if below + part["rows"] >= n:
+            return part, below
+        below += part["rows"]
+    return None, below
+
+
+def nth_value(
+    df: DataFrame, value: Column, n: int, bounds: tuple[float, float] | None = None
+) -> tuple[object, int, int] | None:
     """The value of the n-th row (from 1) by a numeric ``value``, NULL first and NaN last; the number of
     rows below it, and of rows equal to it.  None where there are fewer rows.
 
     Exact: ranges of equal width are counted, at most ``CELLS`` at once, and the one with the n-th row is
-    counted again until it holds few rows.  No row is moved and no order is made.
+    counted again until it holds few rows.  No row is moved and no order is made.  ``bounds`` save the pass
+    that looks for them where all values are known to be numbers between two others, as digests are.
     """
     rows = df.select(value.alias("v"))
     floating = isinstance(rows.schema["v"].dataType, (FloatType, DoubleType))
     rows = rows.withColumns({"kind": _kind(F.col("v"), floating), "x": F.col("v").cast("double")})
-    kinds = rows.groupBy("kind").agg(
-        F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("v").alias("v")
-    )
-    below = 0
-    for kind in sorted(kinds.collect(), key=lambda k: k["kind"]):
-        if below + kind["rows"] >= n:
-            break
-        below += kind["rows"]
-    else:
-        return None
-    if kind["kind"] != 2:
-        return kind["v"], below, kind["rows"]
-    held, low, high = kind["rows"], kind["low"], kind["high"]
+    below, held = 0, None
+    if bounds is None:
+        kinds = rows.groupBy("kind").agg(
+            F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("v").alias("v")
+        )
+        kind, below = _holding(kinds.collect(), "kind", n, below)
+        if kind is None:
+            return None
+        if kind["kind"] != 2:
+            return kind["v"], below, kind["rows"]
+        held, bounds = kind["rows"], (kind["low"], kind["high"])
+    low, high = bounds
     rows = rows.filter("kind = 2")
     # Halves, so that the width of any two doubles is finite.
-    while held > FEW and high / 2 > low / 2:
+    while held is None or held > FEW and high / 2 > low / 2:
         part = (F.col("x") / 2 - low / 2) / (high / 2 - low / 2)
-        cell = F.least(F.floor(part * CELLS), F.lit(CELLS - 1))
         cells = (
             rows.filter(F.col("x").between(low, high))
-            .groupBy(cell.alias("cell"))
+            .groupBy(F.least(F.floor(part * CELLS), F.lit(CELLS - 1)).alias("cell"))
             .agg(F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
         )
-        for found in sorted(cells.collect(), key=lambda c: c["cell"]):
-            if below + found["rows"] >= n:
-                break
-            below += found["rows"]
-        held, low, high = found["rows"], found["low"], found["high"]
+        cell, below = _holding(cells.collect(), "cell", n, below)
+        if cell is None:
+            return None
+        held, low, high = cell["rows"], cell["low"], cell["high"]
     values = rows.filter(F.col("x").between(low, high)).groupBy("v").agg(F.count("*").alias("rows"))
-    for found in sorted(values.collect(), key=lambda v: v["v"]):
-        if below + found["rows"] >= n:
-            break
-        below += found["rows"]
+    found, below = _holding(values.collect(), "v", n, below)
     return found["v"], below, found["rows"]
 
 
@@ -183,8 +189,12 @@ def _json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
 
 
+# The values of :func:`_number`.
+DIGITS = (0.0, 2.0**52)
+
+
 def _number(digest: Column) -> Column:
-    """The first 52 bits of a hex digest: exact as a double."""
+    """The first 13 digits of a hex digest: exact as a double."""
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
@@ -203,15 +213,15 @@ def cut_after(
     if n <= 0:
         return nothing, df
     column, digest = F.col(f"`{key}`"), F.md5(_json(df))
+    whole = [(_number(digest), DIGITS), (_number(F.substring(digest, 14, 13)), DIGITS)]
     if seed is None:
-        levels = [column, F.xxhash64(digest), _number(digest)]
+        levels = [(column, None), *whole]
     else:
         shuffled = shuffle_key(column, seed)
-        rest = F.substring(shuffled, 14, 19)
-        levels = [_number(shuffled), _number(rest), F.xxhash64(digest), _number(digest)]
+        levels = [(_number(shuffled), DIGITS), (_number(F.substring(shuffled, 14, 13)), DIGITS), *whole]
     first, left, same = F.lit(False), n, F.lit(True)
-    for level in levels:
-        found = nth_value(df.filter(same), level, left)
+    for level, bounds in levels:
+        found = nth_value(df.filter(same), level, left, bounds)
         if found is None:
             return df, nothing
         bound, below, equal = found
