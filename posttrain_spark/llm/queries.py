@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("jaccard_join", "bpe", "mixing", "toxicity", "line_dedup", "quality", "html_text", "warc", "secret_scan", "bm25", "exact_dedup", "merkle")
+MODULES = ("jaccard_join", "bpe", "mixing", "toxicity", "line_dedup", "quality", "html_text", "warc", "secret_scan", "bm25", "exact_dedup", "merkle", "prefix_trie")
 
 
 def load() -> None:
