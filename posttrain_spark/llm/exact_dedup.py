@@ -64,7 +64,9 @@ def exact_duplicates(
     groups = durable(_places(rows, ["_hash"], keep).filter("_n > 1"), "hash-groups")
     shared = skew_join(
         docs.select(ident, hashed(text).alias("_hash"), text.alias("_text"), F.sha2(text, 256).alias("text_sha256")),
-        groups.select("_hash"),
+        # By merge at every size; the condition lets Spark's runtime filter spare large inputs the shuffle of
+        # texts that occur once.
+        groups.filter("_n > 1").select("_hash").hint("merge"),
         "_hash",
         ["_id", "text_sha256"],
         counts=groups.select("_hash", F.col("_n").alias("_rows")),
