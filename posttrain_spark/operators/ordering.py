@@ -8,7 +8,7 @@ value ranges, and both sides are a comparison with it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -63,37 +63,43 @@ def rank_rows(
     df: DataFrame,
     order: Sequence[Column],
     group: Sequence[str] = (),
-    weight: str | None = None,
+    sums: Mapping[str, str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``ordinal`` (position from 0) by ascending ``order`` and, with ``weight``, ``offset`` (weights before).
+    """Add ``ordinal`` (position from 0) by ascending ``order``, and sums of columns over the rows before.
 
-    Positions run over the whole frame, or start anew in every ``group``; NULL is a group like any other.
-    NULL keys come first.  A group of any size is spread over range partitions: only one row per
-    partition and group takes part in the sums that place the partitions.
+    ``sums`` names the added columns and what they sum up (NULL counts as 0).  Positions and sums run
+    over the whole frame, or start anew in every ``group``; NULL is a group like any other.  NULL keys
+    come first.  A group of any size is spread over range partitions: only one row per partition and
+    group takes part in the sums that place the partitions.
     """
     placed = durable(in_ranges(df, order, group, partitions), "ranks").withColumn("_part", slot_partition())
-    amount = F.coalesce(F.col(f"`{weight}`").cast("long"), F.lit(0)) if weight else F.lit(0).cast("long")
+    amounts = {n: F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)) for n, c in (sums or {}).items()}
     keys = [F.col(f"`{g}`") for g in group]
     totals = placed.groupBy(*keys, "_part").agg(
-        F.count("*").alias("_rows"), F.sum(amount).alias("_sum"), F.min("_slot").alias("_low")
+        F.count("*").alias("_rows"),
+        F.min("_slot").alias("_low"),
+        *(F.sum(a).alias(f"_sum{i}") for i, a in enumerate(amounts.values())),
     )
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier(column: str) -> Column:
+        return F.coalesce(F.sum(column).over(before), F.lit(0))
+
     starts = totals.select(
         F.col("_part").alias("_start_part"),
         *(k.alias(f"_start{i}") for i, k in enumerate(keys)),
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")).alias("_first"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
+        (earlier("_rows") - F.col("_low")).alias("_first"),
+        *(earlier(f"_sum{i}").alias(f"_base{i}") for i in range(len(amounts))),
     )
     same = F.col("_part") == F.col("_start_part")
     for i, k in enumerate(keys):
         same = same & k.eqNullSafe(F.col(f"_start{i}"))
     added = {"ordinal": F.col("_first") + F.col("_slot")}
-    if weight:
-        inside = Window.partitionBy("_part", *keys).orderBy("_slot")
-        so_far = F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        placed = placed.withColumn("_run", F.coalesce(so_far, F.lit(0)))
-        added["offset"] = F.col("_base") + F.col("_run")
+    inside = Window.partitionBy("_part", *keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    for i, (name, amount) in enumerate(amounts.items()):
+        placed = placed.withColumn(f"_run{i}", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+        added[name] = F.col(f"_base{i}") + F.col(f"_run{i}")
     found = placed.join(starts, same)
     return found.select(*(F.col(f"`{c}`") for c in df.columns), *(v.alias(n) for n, v in added.items()))
 
@@ -116,7 +122,7 @@ def number_rows(
         order = [shuffle_key(column, seed), column] + ([F.col(f"`{tie}`")] if tie else [])
     else:
         order = [column] + ([shuffle_key(F.col(f"`{tie}`")), F.col(f"`{tie}`")] if tie else [])
-    return rank_rows(df, order, weight=weight, partitions=partitions)
+    return rank_rows(df, order, sums={"offset": weight} if weight else None, partitions=partitions)
 
 
 def _kind(value: Column, floating: bool) -> Column:

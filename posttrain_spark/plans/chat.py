@@ -13,6 +13,7 @@ from posttrain_spark.operators import chat as C
 from posttrain_spark.operators import turns as T
 from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, table
+from posttrain_spark.session import durable
 from posttrain_spark.sources.conversations import read_conversations, turns_to_conversations
 
 NL = "chr(10)"
@@ -169,6 +170,47 @@ def loss_mask(spark, sf_dir):
     )
 
 
+@query(
+    "turn_spans",
+    _SPANS + """ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS span,
+      a::BIGINT AS span_start, (a + length(body))::BIGINT AS span_end FROM z WHERE body <> ''""",
+)
+def turn_spans(spark, sf_dir):
+    return T.turn_spans(T.turn_segments(turns(spark, sf_dir)))
+
+
+_EARLIER = "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "turn_masks",
+    f"""WITH {MARKED}, sized AS (SELECT *, len(tokens) AS n, len(list_filter(mask, lambda m: m = '1')) AS k FROM marked)
+        SELECT conv_id, turn, coalesce(sum(n) {_EARLIER}, 0)::BIGINT AS token_start, coalesce(sum(k) {_EARLIER}, 0)::BIGINT AS loss_start,
+          md5(array_to_string(tokens, ' ')) AS tokens_md5, md5(array_to_string(mask, '')) AS mask_md5 FROM sized""",
+)
+def turn_masks(spark, sf_dir):
+    marked = durable(T.turn_tokens(T.turn_segments(turns(spark, sf_dir))), "turn-tokens")
+    return T.turn_masks(marked).select(
+        "conv_id", "turn", "token_start", "loss_start", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+        F.md5(F.array_join(F.col("mask").cast("array<string>"), "")).alias("mask_md5"),
+    )
+
+
+@query(
+    "pack_turns",
+    f"""WITH {MARKED}, one AS (SELECT conv_id, turn, unnest(tokens) AS token, unnest(mask) AS m, generate_subscripts(tokens, 1) AS k FROM marked),
+      placed AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, k) - 1 AS place FROM one)
+      SELECT place // 512 AS pack_id, count(*) AS n_tokens, md5(string_agg(token, ' ' ORDER BY place)) AS tokens_md5,
+        md5(string_agg(m, '' ORDER BY place)) AS mask_md5 FROM placed GROUP BY 1""",
+)
+def pack_turns(spark, sf_dir):
+    marked = durable(T.turn_tokens(T.turn_segments(turns(spark, sf_dir))), "turn-tokens")
+    return T.pack_turns(marked, 512).select(
+        "pack_id", F.size("mask").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+        F.md5(F.array_join(F.col("mask").cast("array<string>"), "")).alias("mask_md5"),
+    )
+
+
 @query(
     "turn_stats",
     f"""WITH {_THINKING} SELECT conv_id, sum(length(head || body || tail))::BIGINT AS n_chars,

@@ -122,6 +122,40 @@ def test_turn_level_equals_conversation_level(spark, monkeypatch):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, stats.collect()))
 
 
+def test_turn_level_spans_masks_and_packs(spark, monkeypatch):
+    """Gathered and turn-level forms agree, with a conversation over many range partitions and turn gaps."""
+    from posttrain_spark.operators import ordering, turns as T
+
+    monkeypatch.setattr(ordering, "ROWS_PER_PARTITION", 40)
+    monkeypatch.setattr(T, "PACKS_A_BUNCH", 2)
+    roles = ["system", "user", "assistant", "tool", "tool", "assistant", "user", "assistant"]
+    rows = [(c, t * 3 - 5, roles[(t + c) % len(roles)], f"<think>r</think>w{t} x" if t % 3 else f"t{t}")
+            for c, n in ((1, 400), (2, 7), (3, 1), (4, 8)) for t in range(n)]
+    rows += [(5, 1, "critic", "not rendered"), (6, 2, "assistant", "many " * 90), (7, 0, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r for r in C.loss_mask(C.generation_spans(C.render_chat(turns_to_conversations(turns)))).collect()}
+    segments = turn_segments(turns)
+    spans, masks = {}, {}
+    for r in sorted(T.turn_spans(segments).collect()):
+        spans.setdefault(r.conv_id, []).append((r.span_start, r.span_end))
+        assert r.span == len(spans[r.conv_id])
+    marked = T.turn_tokens(segments).cache()
+    for r in sorted(T.turn_masks(marked).collect()):
+        at = masks.setdefault(r.conv_id, ([], []))
+        assert (r.token_start, r.loss_start) == (len(at[0]), sum(at[1]))
+        at[0].extend(r.tokens)
+        at[1].extend(r["mask"])
+    for key, row in whole.items():
+        assert spans.get(key, []) == [(s.start, s.end) for s in row.spans]
+        assert masks[key] == (row.tokens, row["mask"])
+    stream = [x for key in sorted(whole) for x in zip(whole[key].tokens, whole[key]["mask"])]
+    packs = sorted(T.pack_turns(marked, 7).collect())
+    assert [p.pack_id for p in packs] == list(range(len(packs)))
+    assert all(len(p.tokens) == 7 for p in packs[:-1])
+    assert [x for p in packs for x in zip(p.tokens, p["mask"])] == stream
+    assert T.turn_spans(segments.limit(0)).collect() == [] == T.pack_turns(marked.limit(0), 7).collect()
+
+
 def test_spans_over_many_blocks(spark):
     messages = [m("user" if i % 2 else "assistant", f"w{i}") for i in range(1500)]
     df = spark.createDataFrame([(1, messages), (2, []), (3, messages[:1])], SCHEMA)

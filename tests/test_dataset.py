@@ -41,7 +41,7 @@ def test_ranks_in_groups_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, 2.0, 3.0, 4.5]), i, rng.choice([None, 0, 2, 7])) for i in range(900)]
     df = spark.createDataFrame(rows, "`g.x` string, k double, i int, w int")
-    got = ordering.rank_rows(df, [F.col("k"), -F.col("i")], ["g.x"], weight="w", partitions=7).collect()
+    got = ordering.rank_rows(df, [F.col("k"), -F.col("i")], ["g.x"], sums={"offset": "w"}, partitions=7).collect()
     want = {}
     for g in ("a", "b", None):
         total = 0
