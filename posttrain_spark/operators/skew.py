@@ -43,7 +43,7 @@ def hot_keys(counts: DataFrame, key: str, partitions: int) -> dict[int, list]:
     return pieces
 
 
-def _pieces_of(key: str, hot: dict[int, list]) -> Column:
+def pieces_of(key: str, hot: dict[int, list]) -> Column:
     """Number of pieces of a row's key; 1 for a key that is not hot."""
     chain = F
     for n, keys in sorted(hot.items()):
@@ -51,7 +51,7 @@ def _pieces_of(key: str, hot: dict[int, list]) -> Column:
         if None in keys:
             found = found | F.col(key).isNull()
         chain = chain.when(F.coalesce(found, F.lit(False)), n)
-    return chain.otherwise(1)
+    return chain.otherwise(1) if hot else F.lit(1)
 
 
 def skew_join(
@@ -73,7 +73,7 @@ def skew_join(
     hot = hot_keys(counts, key, join_partitions(large))
     if not hot:
         return large.join(small, key, how)
-    pieces = _pieces_of(key, hot)
+    pieces = pieces_of(key, hot)
     left = large.withColumn(
         "_piece", F.when(pieces > 1, F.pmod(F.xxhash64(*spread_by), pieces)).otherwise(0).cast("int")
     )

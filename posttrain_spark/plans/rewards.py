@@ -15,7 +15,8 @@ from posttrain_spark.operators import reward as R
 from posttrain_spark.operators import rollouts as G
 from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, table, work_table
-from posttrain_spark.session import durable
+from posttrain_spark.session import durable, scratch_path
+from posttrain_spark.sources import buckets as B
 
 # Label text of a conversation, in SQL that both engines read.  chr(39) is the single quote.
 Q = "chr(39)"
@@ -238,6 +239,26 @@ def score_unified(spark, sf_dir):
     return R.score_unified(samples).select("prompt_id", "turn", F.round("score", 6).alias("score"))
 
 
+def stored_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, B.ScoringTables]:
+    """Completions and labels of both families, written as bucketed tables and joined from there."""
+    labels = L.parse_any_labels(prompts(spark, sf_dir, ANY_LABEL)).drop("ground_truth")
+    path = scratch_path(spark, "scoring")
+    name = "scoring_" + path.rpartition("-")[2]
+    tables = B.write_scoring_tables(rollouts(spark, sf_dir), labels, name, path, spread_by=["turn"])
+    return B.read_scoring_tables(spark, tables), tables
+
+
+@query(
+    "score_stored",
+    f"""WITH {ANSWERS} SELECT conv_id AS prompt_id, turn, round(10.0 * CASE
+          WHEN conv_id % 2 = 0 AND conv_id % 7 NOT IN (4, 6) THEN {OLD_SCORE}
+          WHEN conv_id % 2 = 0 THEN 0.0 ELSE {MULTI_SCORE} END, 6) AS score FROM answers""",
+)
+def score_stored(spark, sf_dir):
+    samples, _ = stored_samples(spark, sf_dir)
+    return R.score_unified(samples).select("prompt_id", "turn", F.round("score", 6).alias("score"))
+
+
 @query(
     "strip_thinking",
     f"""WITH {ANSWERS} SELECT conv_id, turn, md5(a) AS answer_md5, length(a) AS n_chars, blank FROM answers""",
