@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posttrain_spark.functions.tokens import Counter, token_count
@@ -178,6 +178,35 @@ def best_fit(lengths: Sequence[int], max_length: int) -> list[int]:
     return placed
 
 
+def _pack_groups(items: DataFrame, group: str, length: str, max_length: int, number: str) -> DataFrame:
+    """Add ``number``: the best-fit-decreasing bin of each item in its group, which one task packs."""
+    order = [(c, "ascending") for c in items.columns if c != group]
+    schema = items.withColumn(number, F.lit(0).cast("int")).schema
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        bins = best_fit(rows[length].to_pylist(), max_length)
+        return rows.append_column(number, pa.array(bins, pa.int32()))
+
+    return items.groupBy(group).applyInArrow(pack, schema)
+
+
+def _merge_half_empty(packs: DataFrame, max_length: int, rows_per_shard: int) -> DataFrame | None:
+    """Where packs go that are joined with half-empty packs of other shards: ``shard``, ``pack``, ``to_shard``,
+    ``to_pack``; None where at most one pack is half empty."""
+    half = durable(packs.filter(F.col("_used") * 2 <= max_length), "half-packs")
+    count = half.count()
+    if count < 2:
+        return None
+    # Two to a shard at least, so that every round joins some.
+    shards = -(-count // max(rows_per_shard, 2))
+    dealt = half.withColumn("_group", F.pmod(F.xxhash64("shard", "pack"), F.lit(shards)).cast("int"))
+    bins = durable(_pack_groups(dealt, "_group", "_used", max_length, "_bin"), "joined-packs")
+    heads = bins.groupBy("_group", "_bin").agg(F.min(F.struct("shard", "pack")).alias("_to"))
+    moves = bins.join(heads, ["_group", "_bin"])
+    return moves.select("shard", "pack", F.col("_to.shard").alias("to_shard"), F.col("_to.pack").alias("to_pack"))
+
+
 def pack_bfd(
     df: DataFrame,
     key: str,
@@ -188,24 +217,35 @@ def pack_bfd(
 ) -> DataFrame:
     """Best-fit-decreasing packs that never split an example; longer ones count as ``max_length``.
 
-    The key's hash spreads examples over shards of bounded size and each shard is packed on its
-    own, so at most the last packs of a shard are emptier than a single packing would leave them.
-    Result: the key, ``shard``, ``pack`` (number inside the shard) and the packed length.
+    Examples are spread over shards of bounded size, also those that share a key or have none, and each
+    shard is packed on its own.  That leaves one half-empty pack per shard at most.  These packs are
+    gathered from all shards and packed again, as whole items, in as many rounds as their number needs;
+    so in the end at most one pack is half empty, as in a single packing, and there are fewer than
+    twice the tokens by the length, and one.  Result: the key, ``shard``, ``pack`` (the first of those that
+    were joined) and the packed length.
     """
     used = F.least(F.col(n_tokens), F.lit(max_length)).cast("int")
-    lengths = durable(df.select(key, used.alias("packed_tokens")), "pack-lengths").filter(
-        F.col("packed_tokens") > 0
+    lengths = durable(
+        df.select(key, used.alias("packed_tokens")).filter("packed_tokens > 0").withColumn(
+            "_row", F.monotonically_increasing_id()
+        ),
+        "pack-lengths",
     )
     if shards is None:
         shards = max(1, -(-lengths.count() // rows_per_shard))
-    sharded = lengths.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
-    schema = sharded.withColumn("pack", F.lit(0).cast("int")).schema
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, ignore_index=True)
-        return rows.assign(pack=best_fit(rows["packed_tokens"].tolist(), max_length))
-
-    return sharded.groupBy("shard").applyInPandas(pack, schema)
+    sharded = lengths.withColumn("shard", F.pmod(F.xxhash64(key, "_row"), F.lit(shards)).cast("int"))
+    packed = durable(_pack_groups(sharded, "shard", "packed_tokens", max_length, "pack").drop("_row"), "packed")
+    while True:
+        fills = packed.groupBy("shard", "pack").agg(F.sum("packed_tokens").alias("_used"))
+        moves = _merge_half_empty(fills, max_length, rows_per_shard)
+        if moves is None:
+            return packed
+        moved = packed.join(moves, ["shard", "pack"], "left")
+        packed = durable(
+            moved.withColumns({"shard": F.coalesce("to_shard", "shard"), "pack": F.coalesce("to_pack", "pack")})
+            .select(packed.columns),
+            "packed",
+        )
 
 
 def batch_plan(

@@ -227,6 +227,25 @@ def pack_bfd_totals(spark, sf_dir):
     )
 
 
+@query(
+    "pack_across_shards",
+    f"""WITH {LENGTHS} SELECT count(*) AS n_examples, sum(least(n, 2048))::BIGINT AS n_tokens, true AS all_fit,
+          true AS one_half_empty, true AS within_bound FROM lengths WHERE n > 0""",
+)
+def pack_across_shards(spark, sf_dir):
+    """Packed in sixteen shards: the totals, and the bounds that hold for one packing."""
+    lengths = document_lengths(spark, sf_dir)
+    packs = D.pack_bfd(lengths, "doc_id", 2048, shards=16).groupBy("shard", "pack").agg(
+        F.count("*").alias("n"), F.sum("packed_tokens").alias("tokens")
+    )
+    return packs.agg(
+        F.sum("n").alias("n_examples"), F.sum("tokens").alias("n_tokens"),
+        (F.max("tokens") <= 2048).alias("all_fit"),
+        (F.count_if(F.col("tokens") * 2 <= 2048) <= 1).alias("one_half_empty"),
+        (F.count("*") <= F.ceil(2 * F.sum("tokens") / 2048) + 1).alias("within_bound"),
+    )
+
+
 _PLAN = """o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS c FROM documents),
     plan AS (SELECT doc_id, i AS ordinal, e AS epoch, (e * ceil(c / 128.0) + i // 128)::BIGINT AS step,
       ((i % 128) // 32)::BIGINT AS micro_step, ((i % 32) // 4)::BIGINT AS device FROM o, unnest(generate_series(0, 1)) AS x(e))"""

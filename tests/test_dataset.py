@@ -104,8 +104,30 @@ def test_best_fit_packing(lengths):
     for r in got:
         packs.setdefault((r.shard, r.pack), []).append(r.packed_tokens)
     assert max(map(sum, packs.values())) <= 512
-    # First-fit bound: at most one pack per shard may be half empty.
-    assert sum(sum(p) <= 256 for p in packs.values()) <= 3
+    # The bound of one packing holds over all shards.
+    assert sum(sum(p) <= 256 for p in packs.values()) <= 1
+
+
+@pytest.mark.parametrize("rows_per_shard", [3, 1000])
+def test_packing_across_shards(spark, rows_per_shard):
+    """Many shards of few short examples, most of which share a key or have none: one packing's bound, in
+    one round or several."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 1, i]), rng.choice([3, 5, 9, 40])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, n_tokens int")
+    got = D.pack_bfd(df, "k", 100, shards=60, rows_per_shard=rows_per_shard).collect()
+    assert sorted((r.k, r.packed_tokens) for r in got if r.k is not None) == sorted(r for r in rows if r[0] is not None)
+    assert len(got) == len(rows)
+    packs = {}
+    for r in got:
+        packs.setdefault((r.shard, r.pack), []).append(r.packed_tokens)
+    fills = [sum(p) for p in packs.values()]
+    assert max(fills) <= 100 and sum(f <= 50 for f in fills) <= 1
+    assert len(fills) <= 2 * sum(fills) / 100 + 1
+    shards = {}
+    for r in D.pack_bfd(df, "k", 100, shards=4, rows_per_shard=10**6).collect():
+        shards[r.shard] = shards.get(r.shard, 0) + 1
+    assert max(shards.values()) < 200
 
 
 def test_best_fit_picks_the_fullest_bin():
