@@ -89,9 +89,8 @@ def budgets(
     """
     part, whole = share
     tree = leaves.withColumn("_cap", (F.col("_tokens") * F.lit(epochs)).cast(WIDE))
-    tree = tree.withColumn(
-        "_root", F.expr(f"(cast(sum(_tokens) over () as {WIDE}) * {part}) div {whole}").cast(WIDE)
-    )
+    total = leaves.agg(F.sum("_tokens")).first()[0] or 0
+    tree = tree.withColumn("_root", F.lit(str(int(total) * part // whole)).cast(WIDE))
     root = tree.select(*LEVELS, "_tokens", "_cap", "_root")
     got, budget = None, "_root"
     for level in range(len(LEVELS)):
@@ -170,7 +169,7 @@ def mix_sources(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     last = (
-        rows.filter(F.col("_bucket") == F.col("_last"))
+        rows.filter((F.col("_bucket") == F.col("_last")) & (F.col("_part") > 0))
         .withColumn("_inside", inside)
         .filter(F.col("_taken") + F.col("_inside") <= F.col("_part"))
         .drop("_inside")

@@ -258,6 +258,16 @@ def test_mixing_odd_rows(docs, rows, nothing):
     assert twice.agg(F.sum("_tokens")).first()[0] == 2 * everything.agg(F.sum("_tokens")).first()[0]
 
 
+def test_mixing_draws_texts_without_tokens_once(spark):
+    """A filled leaf of very many empty texts, some of which lie in the first bucket."""
+    rows = spark.range(200_001).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 100_000 == 7, "one two three").otherwise("").alias("text"),
+        F.lit("en").alias("lang"), F.lit("src0").alias("source"),
+    )
+    drawn = mixed(rows, epochs=1)
+    assert drawn.count() == 200_001 == drawn.select("doc_id").distinct().count()
+
+
 def test_budgets_go_to_siblings_first(spark):
     leaves = [("=a", "=x", "=s", 10), ("=a", "=x", "=t", 1_000), ("=a", "=y", "=s", 1_000), ("=b", "=x", "=s", 1_000)]
     table = spark.createDataFrame(leaves, "_domain string, _language string, _source string, _tokens long")
