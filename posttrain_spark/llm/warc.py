@@ -27,14 +27,16 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from posttrain_spark.operators.skew import skew_join
+from posttrain_spark.operators.skew import join_partitions, skew_join
 from posttrain_spark.plans.registry import query, table
 from posttrain_spark.session import durable, scratch_path
 
 LEAST_REVISIT = 100
 BLOCK_LINES = 1_000
+# Blocks whose records one task reads.
+BLOCKS_A_TASK = 16
 # A task begins another archive from this size on.
 FILE_BYTES = 256 << 20
 # Archives a task holds open at once.
@@ -301,12 +303,40 @@ def read_captures(archive: Archive) -> DataFrame:
         files.close()
 
     blocks = archive.directory.select("file", "offset", "length")
-    # One block is a few hundred records: blocks are dealt to all tasks, not left where few files held them.
-    return blocks.repartition(F.xxhash64("file", "offset")).mapInArrow(read, RECORDS)
+    # By number: adaptive execution would join the tiny descriptors of all blocks into one task.
+    return blocks.repartition(_read_tasks(archive), F.xxhash64("file", "offset")).mapInArrow(read, RECORDS)
+
+
+def _read_tasks(archive: Archive) -> int:
+    """Tasks to read records in: at most some BLOCKS_A_TASK blocks of the index for each."""
+    blocks = archive.directory.count()
+    return max(1, min(blocks, join_partitions(archive.directory)), -(-blocks // BLOCKS_A_TASK))
+
+
+def _blocks_of(archive: Archive, asked: DataFrame) -> DataFrame:
+    """The blocks that may hold each asked key: ``key``, ``file``, ``offset``, ``length``.
+
+    Asked keys and the first keys of the blocks of an index file are sorted together; the last block
+    that begins at or before a key is carried to it.  An earlier block holds the key only if it ends
+    with it.
+    """
+    names = ("file", "offset", "length")
+    block = F.struct(*names, "last_key").alias("_block")
+    marks = archive.directory.select(F.col("file").alias("part"), F.col("first_key").alias("key"), block)
+    wanted = asked.select("part", "key", F.lit(None).cast(marks.schema["_block"].dataType).alias("_block"))
+    along = Window.partitionBy("part").orderBy("key", F.col("_block").isNull())
+    carried = F.last("_block", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    both = marks.unionByName(wanted).withColumn("_found", carried).filter("_block IS NULL")
+    latest = both.filter("_found.last_key >= key").select("key", *(f"_found.{n}" for n in names))
+    ending = archive.directory.select(F.col("file").alias("part"), F.col("last_key").alias("key"), *names)
+    return latest.unionByName(asked.join(ending, ["part", "key"]).select("key", *names)).distinct()
 
 
 def lookup(archive: Archive, urls: DataFrame, url: str = "url") -> DataFrame:
-    """All captures of the urls (each asked url once), read by byte range: columns RECORDS."""
+    """All captures of the urls (each asked url once), read by byte range: columns RECORDS.
+
+    Keys are joined to blocks by range; a key with captures in many blocks is read by many tasks.
+    """
     folder = archive.folder
     parts = archive.directory.groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
     # One row per index file, of which there are at most as many as shuffle partitions (or 256 MB pieces).
@@ -327,25 +357,21 @@ def lookup(archive: Archive, urls: DataFrame, url: str = "url") -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder)
+        block, entries, keys = None, [], []
         for batch in batches:
-            for key, part, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                firsts = [b["first_key"] for b in blocks]
-                found = []
-                for b in blocks[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]:
-                    entries = _entries(files, part, b["offset"], b["length"])
+            for key, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != block:
+                    block, entries = place, _entries(files, *place)
                     keys = [e[0] for e in entries]
-                    for e in entries[bisect_left(keys, key) : bisect_right(keys, key)]:
-                        found.append(parse(_unpack(files.read(*e[2:]))))
-                        if len(found) == _AT_ONCE:
-                            yield _record_batch(found)
-                            found = []
-                yield _record_batch(found)
+                found = entries[bisect_left(keys, key) : bisect_right(keys, key)]
+                for i in range(0, len(found), _AT_ONCE):
+                    yield _record_batch([parse(_unpack(files.read(*e[2:]))) for e in found[i : i + _AT_ONCE]])
         files.close()
 
     asked = urls.select(F.col(url).cast("string").alias("url")).distinct().mapInArrow(place, "key string, part string")
-    block = F.struct("first_key", "offset", "length")
-    by_part = archive.directory.groupBy(F.col("file").alias("part")).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
-    return asked.distinct().join(by_part, "part").select("key", "part", "blocks").mapInArrow(read, RECORDS)
+    pairs = _blocks_of(archive, asked.distinct()).select("key", "file", "offset", "length")
+    dealt = pairs.repartition(_read_tasks(archive), F.xxhash64("file", "offset"))
+    return dealt.sortWithinPartitions("file", "offset", "key").mapInArrow(read, RECORDS)
 
 
 def with_referred_sizes(records: DataFrame) -> DataFrame:
@@ -383,6 +409,8 @@ FROM p LEFT JOIN f ON p.d = f.d
 
 @query("op8_warc", _ORACLE)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "archive"))
-    found = with_referred_sizes(read_captures(archive))
+    """Every page's capture is looked up by its url."""
+    pages = table(spark, sf_dir, "pages")
+    archive = write_archives(pages, scratch_path(spark, "archive"))
+    found = with_referred_sizes(lookup(archive, pages))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
