@@ -143,25 +143,59 @@ def test_components(spark):
     assert got == {n: min(s) for n, s in near.items() if n != min(s)}
 
 
-def test_line_dedup(docs, rows, spark):
+def repeated_lines(table, least=50):
+    """Rows without the lines of every run of ``least`` words or more that stands at an earlier place."""
+    order = sorted({(i is None, i or 0, text) for i, text in table if text})
+    order.sort(key=lambda r: (r[0], r[1], line_dedup_mark(r[2])))
+    lines = [text.split("\n") for _, _, text in order]
+    words = [[len(x.split()) for x in ls] for ls in lines]
+    starts = [(i, k) for i, ls in enumerate(lines) for k in range(len(ls))]
+    gone = set()
+    for at, (i, k) in enumerate(starts):
+        for j, m in starts[:at]:
+            n = 0
+            while k + n < len(lines[i]) and m + n < len(lines[j]) and lines[i][k + n] == lines[j][m + n]:
+                n += 1
+            while n and not words[i][k + n - 1]:
+                n -= 1
+            if words[i][k] and sum(words[i][k : k + n]) >= least:
+                gone.update((i, k + x) for x in range(n))
+    out = {}
+    for i, key in enumerate(order):
+        rest = [x for k, x in enumerate(lines[i]) if (i, k) not in gone]
+        out[key] = "\n".join(rest) if any(x.strip() for x in rest) else ""
+    return out
+
+
+MARKS = {}
+
+
+def line_dedup_mark(text):
+    return MARKS[text]
+
+
+def check_lines(spark, table):
+    """The result equals the brute force, row by row."""
+    df = spark.createDataFrame([row(i, t) for i, t in table], SCHEMA)
+    marks = df.select("text", F.xxhash64("text").alias("m")).distinct().collect()
+    MARKS.update({r["text"]: r["m"] for r in marks})
+    want = repeated_lines(table)
+    cleaned = line_dedup.dedup_lines(df)
+    assert cleaned.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in cleaned.collect()), key=str)
+    rows = [(i, want[(i is None, i or 0, t)] if t else t) for i, t in table]
+    assert got == sorted(((i, t, None if t is None else len(t)) for i, t in rows), key=str)
+    return {i: t for i, t in rows}
+
+
+def test_line_dedup(spark):
+    """Few lines in many orders; rows that repeat an id, have none, or repeat both."""
     rng = random.Random(8)
-    lines = [prose(rng, rng.choice((3, 9, 60))) for _ in range(14)]
-    texts = ["\n".join(rng.choice(lines) for _ in range(rng.choice((1, 2, 5, 9)))) for _ in range(40)]
-    table = [row(i, t) for i, t in enumerate(texts)] + [row(None, texts[0]), row(None, None), row(50, ""), row(3, texts[3])]
-    seen, want = {}, []
-    for r in sorted(table, key=lambda r: (r[0] is None, r[0] or 0)):
-        text = r[1]
-        cut = set()
-        for first, end, _ in line_dedup.chunks(text or ""):
-            body = "\n".join(text.split("\n")[first:end])
-            if seen.setdefault(body, (r[0], first)) != (r[0], first):
-                cut.update(range(first, end))
-        kept = text and "\n".join(x for i, x in enumerate(text.split("\n")) if i not in cut)
-        want.append((r[0], kept, None if text is None else len(kept)))
-    cleaned = line_dedup.dedup_lines(spark.createDataFrame(table, SCHEMA))
-    assert cleaned.columns == docs.columns
-    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in cleaned.collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    lines = [prose(rng, rng.choice((3, 9, 60))) for _ in range(14)] + ["", " "]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.choice((1, 2, 5, 20)))) for _ in range(30)]
+    table = list(enumerate(texts))
+    table += [(None, texts[0]), (None, None), (None, texts[5] + "\nx"), (50, ""), (3, texts[3]), (4, texts[7] + "\n" + texts[8])]
+    check_lines(spark, table)
 
 
 def test_line_dedup_keeps_odd_rows(docs, rows, nothing):
@@ -169,51 +203,52 @@ def test_line_dedup_keeps_odd_rows(docs, rows, nothing):
     assert line_dedup.dedup_lines(nothing).collect() == []
 
 
+def test_line_dedup_leaves_short_repeats(spark):
+    """Code, dialogue and lists share neighbouring lines without being copies."""
+    rng = random.Random(4)
+    code = lambda: f"def f{rng.random()}():\n    return {{\n    }}\n}}\n}}\n"
+    table = [(i, "".join(code() for _ in range(6))) for i in range(8)]
+    table += [(10 + i, "\n".join(["Yes.", "No.", f"Why {i}?"] * 9)) for i in range(6)]
+    table += [(20 + i, "\n".join(["* milk", "* bread", prose(rng, 20), "* eggs"] * 3)) for i in range(6)]
+    got = check_lines(spark, table)
+    assert all(got[i] == t for i, t in table if i < 10)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(2)
-    lines = [prose(rng, 4) for _ in range(60)]
+    lines = [prose(rng, rng.choice((1, 4, 30))) for _ in range(60)]
     passage, other = "\n".join(lines[:40]), "\n".join(lines[40:])
-    own = {h for _, _, h in line_dedup.chunks(passage)}
-    moved = {h for _, _, h in line_dedup.chunks(other + "\n" + passage)}
-    assert len(own & moved) >= len(own) - 2
-
-
-def repeated_lines(table):
-    """Texts by id without the lines of every run that stands at an earlier place: two lines or 50 words."""
-    lines = {i: text.split("\n") for i, text in table}
-    starts = [(i, k) for i in sorted(lines) for k in range(len(lines[i]))]
-    gone = set()
-    for at, (i, k) in enumerate(starts):
-        for j, m in starts[:at]:
-            n = 0
-            while k + n < len(lines[i]) and m + n < len(lines[j]) and lines[i][k + n] == lines[j][m + n]:
-                n += 1
-            if n >= 2 or n and len(lines[i][k].split()) >= 50:
-                gone.update((i, k + x) for x in range(n))
-    return {i: "\n".join(x for k, x in enumerate(lines[i]) if (i, k) not in gone) for i in lines}
+    own = set(line_dedup.chunks(passage)[2].tolist())
+    assert own and own <= set(line_dedup.chunks(other + "\n" + passage + "\n" + other)[2].tolist())
 
 
 def test_line_dedup_removes_every_repeated_run(spark):
     rng = random.Random(12)
-    runs = [[prose(rng, n) for n in sizes] for sizes in ((60,), (9, 9), (60, 4), (5, 70, 5), (4, 5, 6, 7), (80, 55), (30,))]
+    runs = [[prose(rng, n) for n in sizes] for sizes in ((60,), (30, 20), (60, 4), (5, 70, 5), (14, 15, 16, 17), (80, 55), (30,), (49, 1, 1, 1))]
     table = [(0, "\n".join(runs[4]))]
-    for i in range(1, 60):
+    for i in range(1, 40):
         foreign = lambda: [prose(rng, rng.choice((4, 20, 70))) for _ in range(rng.choice((0, 1, 2)))]
         table.append((i, "\n".join(x for _ in range(3) for part in (foreign(), rng.choice(runs)) for x in part)))
     table += [(60 + i, text) for i, (_, text) in enumerate(table)]
-    cleaned = line_dedup.dedup_lines(spark.createDataFrame([row(i, t) for i, t in table], SCHEMA))
-    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
-    assert got == repeated_lines(table)
-    assert not any(got[i] for i in range(60, 120))
+    got = check_lines(spark, table)
+    assert not any(got[i] for i in range(60, 100) if len((dict(table)[i]).split()) >= 50)
 
 
 def test_line_dedup_and_lines_without_words(spark):
-    table = ["\na b\n\nc d\n", "x\n\na b\n\nc d\ny", "\na b\n\nc d\n", "x\na b\nc d"]
-    cleaned = line_dedup.dedup_lines(spark.createDataFrame([row(i, t) for i, t in enumerate(table)], SCHEMA))
-    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    a, b = " ".join(["a"] * 30), " ".join(["b"] * 30)
+    table = [f"\n{a}\n\n{b}\n", f"x\n\n{a}\n\n{b}\ny", f"\n{a}\n\n{b}\n", f"x\n{a}\n{b}"]
+    got = check_lines(spark, list(enumerate(table)))
     assert got == {0: table[0], 1: "x\n\ny", 2: "", 3: table[3]}
 
 
+def test_line_dedup_drops_torn_copies(spark):
+    rng = random.Random(3)
+    text = "\n".join(prose(rng, 20) for _ in range(5))
+    table = [(1, text), (2, text), (3, text + "\nown words"), (4, text + "\n" + prose(rng, 40)), (5, ""), (6, None)]
+    cleaned = line_dedup.dedup_lines(spark.createDataFrame([row(i, t) for i, t in table], SCHEMA), least_share=0.2)
+    assert sorted(r["doc_id"] for r in cleaned.collect()) == [1, 4, 5, 6]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
