@@ -12,6 +12,9 @@ from posttrain_spark.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
 from posttrain_spark.plans.registry import query, table
 from posttrain_spark.session import durable
 
+# Share of a document's words that line dedup must leave: the rest is then no near copy of what it repeats.
+LEAST_SHARE = 0.2
+
 # Share of the tokens left after cleaning that the mix may hold.
 MIX_SHARE = (9, 10)
 
@@ -22,8 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without runs of lines that stand in an earlier document or place."""
-    return line_dedup.dedup_lines(docs)
+    """Documents without the runs of lines that stand in an earlier document or place.
+
+    Copies, of which less than LEAST_SHARE of the words is left, go: exact copies would stay as empty
+    texts, near copies as the few lines that were changed.
+    """
+    return line_dedup.dedup_lines(docs, least_share=LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
