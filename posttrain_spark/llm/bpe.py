@@ -54,6 +54,39 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+# Blocks whose characters Python and the tokenizer library normalise alike: letters up to U+02FF, Greek and
+# Cyrillic, punctuation and currency signs, kana, common ideographs, Hangul syllables.
+SETTLED = "\x00-\u02ff\u0370-\u052f\u2000-\u206f\u20a0-\u20bf\u3000-\u3029\u3030-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff00-\uffef"
+
+_CLASSES: dict[str, str] = {}
+
+
+def _ranges(runs: Iterable[str]) -> str:
+    """Runs of neighbouring characters as parts of a character class."""
+    return "".join(f"\\U{ord(r[0]):08X}-\\U{ord(r[-1]):08X}" for r in runs)
+
+
+def library_classes() -> dict[str, str]:
+    """Letters and numbers as the tokenizer library's splitter knows them, and ``odd``, the characters that
+    the pattern engine used here takes for other ones: the two follow different Unicode versions.
+
+    Both are asked about all code points, once in a driver.
+    """
+    if not _CLASSES:
+        from tokenizers import Regex, pre_tokenizers
+
+        # From 0 to 0x10FFFF without surrogates: a run of matches is a range of code points.
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        odd: set[str] = set()
+        for name, kind in (("letters", r"\p{L}+"), ("numbers", r"\p{N}+")):
+            split = pre_tokenizers.Split(Regex(kind), "removed", invert=True)
+            runs = [run for run, _ in split.pre_tokenize_str(everything)]
+            odd.symmetric_difference_update(set("".join(runs)) ^ set("".join(regex.findall(kind, everything))))
+            _CLASSES[name] = _ranges(runs)
+        _CLASSES["odd"] = _ranges(regex.findall("[" + "".join(map(regex.escape, odd)) + "]+", everything) if odd else [])
+    return _CLASSES
+
+
 class Automaton:
     """Compiled merges: ``encode`` a pre-split word to token ids."""
 
@@ -174,8 +207,9 @@ class _Words(dict):
 class Codec:
     """Texts to ids and back, for a tokenizer file with NFC, lower case, a split rule and word ends."""
 
-    def __init__(self, spec: str):
-        spec = json.loads(spec)
+    def __init__(self, shared: str):
+        shared = json.loads(shared)
+        spec, classes = json.loads(shared["spec"]), shared["classes"]
         model, added = spec["model"], spec["added_tokens"]
         self.automaton = Automaton(model["vocab"], map(tuple, model["merges"]))
         self.special = {t["content"]: t["id"] for t in added}
@@ -184,6 +218,13 @@ class Codec:
         rule = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # The file's rule is meant with the Unicode white space property.
         self.pieces = regex.compile(rule.replace(r"\s", r"\p{White_Space}")).findall
+        # The same rule with the library's own letters and numbers, for texts where they matter.
+        own = rule.replace("[\\p{L}]", f"[{classes['letters']}]").replace("\\p{L}", classes["letters"])
+        own = own.replace("\\p{N}", classes["numbers"]).replace(r"\s", r"\p{White_Space}")
+        self.own_pieces = regex.compile(own).findall
+        self.odd = regex.compile(f"[{classes['odd']}]").search if classes["odd"] else lambda text: None
+        self.unsettled = regex.compile(f"[^{SETTLED}]").search
+        self._library = None
         # The same rule for texts of Latin-1 characters, for the quicker engine.
         plain = rule.replace("[\\p{L}]", f"[{LATIN_LETTERS}]").replace("\\p{L}", LATIN_LETTERS)
         plain = plain.replace("\\p{N}", LATIN_NUMBERS).replace("\\s", LATIN_SPACE)
@@ -203,11 +244,23 @@ class Codec:
             split = self.plain_pieces
             try:
                 part.encode("latin-1")  # such texts are in normal form as they are
+                part = part.lower()
             except UnicodeEncodeError:
-                # Lower case goes by single characters: no final form of sigma.
-                part, split = unicodedata.normalize("NFC", part).replace("Σ", "σ"), self.pieces
-            out += map(self.words.__getitem__, split(part.lower()))
+                part, split = self.normal(part), self.own_pieces if self.odd(part) else self.pieces
+            out += map(self.words.__getitem__, split(part))
         return np.frombuffer(b"".join(out), np.int32)
+
+    def normal(self, text: str) -> str:
+        """Normal form C in lower case, as of the library's Unicode version where that may matter."""
+        if not self.unsettled(text):
+            # Lower case goes by single characters: no final form of sigma.
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self._library is None:
+            from tokenizers import normalizers
+
+            self._library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        return self._library.normalize_str(text)
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
@@ -221,9 +274,9 @@ def _codec(spec: str) -> Codec:
 
 
 def _shared_spec(spark: SparkSession, vocabulary: str):
-    """The tokenizer file, read by the driver and sent once to each executor (a few MB at most)."""
+    """The tokenizer file and character classes, read by the driver and sent once to each executor (a few MB)."""
     with open(vocabulary, encoding="utf-8") as file:
-        return spark.sparkContext.broadcast(file.read())
+        return spark.sparkContext.broadcast(json.dumps({"spec": file.read(), "classes": library_classes()}))
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: str, spec, work: Callable) -> DataFrame:

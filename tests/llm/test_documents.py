@@ -275,6 +275,28 @@ def test_bpe_equals_the_library(docs, rows, vocabulary, spark):
     assert (digest["n_tokens"], digest["ids_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_bpe_of_all_planes(vocabulary):
+    """Random strings of assigned and unassigned characters of all planes, marks and new letters more often."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary)
+    library.no_truncation()
+    library.no_padding()
+    with open(vocabulary, encoding="utf-8") as file:
+        codec = bpe.Codec(json.dumps({"spec": file.read(), "classes": bpe.library_classes()}))
+    rng = random.Random(17)
+    marks = [*range(0x300, 0x370), *range(0x1AB0, 0x1AFF), *range(0x1DC0, 0x1E00), 0x11938, 0x11935, 0x11930, *range(0x890, 0x8A0)]
+    spans = [range(0x20, 0x7F), range(0xA0, 0x600), range(0x600, 0x3000), range(0x3000, 0xD800), range(0xE000, 0x10000),
+             range(0x10000, 0x20000), range(0x20000, 0x34000), range(0xE0000, 0x110000), range(0x10D40, 0x10D90),
+             range(0x16EA0, 0x16EE0), range(0xA7C0, 0xA7E0), range(0x32000, 0x33480), marks]
+    for i in range(30_000):
+        chosen = rng.sample(spans, rng.choice((1, 2, 3)))
+        text = "".join(chr(rng.choice(rng.choice(chosen))) for _ in range(rng.randrange(1, 9)))
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_bpe_of_nothing(nothing, vocabulary):
     assert bpe.decode(bpe.encode(nothing, vocabulary), vocabulary).collect() == []
 
