@@ -107,27 +107,96 @@ def normalize_answer(text: Column) -> Column:
     return let(out, join_digits)
 
 
-def numeric_value(text: Column) -> Column:
-    r"""Value of a decimal, of ``a/b`` or of ``\frac{a}{b}``; NULL for anything else."""
-    fraction = r"^(-?)(?:\\d?frac\{(-?\d+(?:\.\d+)?)\}\{(-?\d+(?:\.\d+)?)\}|(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?))$"
+# The forms of a number. Groups: sign; whole, numerator and denominator of a LaTeX fraction (with a
+# whole number before it, a mixed number); numerator and denominator with a slash; plain; percent sign.
+NUMBER_FORM = (
+    r"^([-+]?)(?:(\d*)\\[dt]?frac\{([-+]?\d+(?:\.\d+)?)\}\{([-+]?\d+(?:\.\d+)?)\}|(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)"
+    r"|(\d+(?:\.\d*)?|\.\d+))(\\?%)?$"
+)
+# Digits of all parts of a number together, so that products of two numbers' parts are exact in 38 digits.
+MOST_DIGITS = 18
+
+
+def _digits(text: Column) -> Column:
+    """A decimal without its point, as an integer."""
+    return F.replace(text, F.lit("."), F.lit("")).try_cast("long")
+
+
+def _tens(text: Column) -> Column:
+    """The power of ten that a decimal's digits are to be divided by."""
+    places = F.when(F.contains(text, F.lit(".")), F.length(F.substring_index(text, ".", -1))).otherwise(0)
+    return F.pow(F.lit(10.0), places).cast("long")
+
+
+def rational(text: Column) -> Column:
+    r"""``n`` and ``d`` of an integer, decimal, ``a/b``, ``\frac{a}{b}`` or mixed number, and whether it is a
+    ``percent``; NULL for anything else, for a denominator of 0 and for more than MOST_DIGITS digits."""
+
+    def group(*at: int) -> Column:
+        return F.coalesce(*(F.nullif(F.regexp_extract(text, NUMBER_FORM, i), F.lit("")) for i in at))
+
+    def value(parts: Column) -> Column:
+        top, bottom, whole = parts["top"], parts["bottom"], parts["whole"]
+        above, below = _digits(top) * _tens(bottom), _digits(bottom) * _tens(top)
+        # A mixed number is its whole part and the fraction.
+        n = _digits(whole) * below + above
+        sign = F.when(parts["sign"] == "-", -1).otherwise(1) * F.when(below < 0, -1).otherwise(1)
+        fits = F.length(F.concat(whole, top, bottom)) <= MOST_DIGITS
+        found = F.struct((sign * n).alias("n"), F.abs(below).alias("d"), parts["percent"].alias("percent"))
+        return F.when(text.rlike(NUMBER_FORM) & fits & (below != 0), found)
+
+    parts = F.struct(
+        F.regexp_extract(text, NUMBER_FORM, 1).alias("sign"),
+        F.coalesce(group(2), F.lit("0")).alias("whole"),
+        group(3, 5, 7).alias("top"),
+        F.coalesce(group(4, 6), F.lit("1")).alias("bottom"),
+        (F.regexp_extract(text, NUMBER_FORM, 8) != "").alias("percent"),
+    )
+    return let(parts, value)
 
-    def part(*groups: int) -> Column:
-        found = [F.nullif(F.regexp_extract(text, fraction, g), F.lit("")) for g in groups]
-        return F.coalesce(*found).try_cast("double")
 
-    ratio = F.try_divide(part(2, 4), part(3, 5))
-    sign = F.when(F.regexp_extract(text, fraction, 1) == "-", -1.0).otherwise(1.0)
-    plain = F.when(text.rlike(r"^-?(\d+(\.\d+)?|\.\d+)$"), text.try_cast("double"))
-    return F.coalesce(plain, sign * ratio)
+def plain_decimal(text: Column) -> Column:
+    """A decimal of any length without a plus sign and zeros that do not count; NULL for anything else."""
+
+    def trimmed(t: Column) -> Column:
+        whole = F.regexp_replace(F.substring_index(t, ".", 1), r"^([-+]?)0+(?=\d)|^([-+]?)(?=$)", "$1$2")
+        places = F.when(F.contains(t, F.lit(".")), F.substring_index(t, ".", -1)).otherwise("")
+        digits = F.regexp_replace(whole, r"^[-+]", "")
+        places = F.regexp_replace(places, "0+$", "")
+        value = F.concat(F.when(digits == "", "0").otherwise(digits), F.lit("."), places)
+        minus = t.startswith("-") & value.rlike("[1-9]")
+        return F.concat(F.when(minus, "-").otherwise(""), value)
+
+    return F.when(text.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)$"), trimmed(text))
+
+
+def same_number(a: Column, b: Column) -> Column:
+    """Equal as rationals, by products of numerators and denominators, or as decimals of any length.
+
+    Without floats: 1/3 is not 0.3333333333333333.  A percent sign may mean a hundredth or, as published
+    graders read it, nothing.
+    """
+    wide = "decimal(19,0)"
+
+    def equal(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        left, right = x["n"].cast(wide) * y["d"].cast(wide), y["n"].cast(wide) * x["d"].cast(wide)
+        hundred = F.lit(100).cast("decimal(3,0)")
+        as_hundredth = F.when(x["percent"] & ~y["percent"], left == right * hundred).when(
+            y["percent"] & ~x["percent"], left * hundred == right
+        )
+        return F.coalesce(left == right, F.lit(False)) | F.coalesce(as_hundredth, F.lit(False))
+
+    exact = let(F.struct(rational(a).alias("x"), rational(b).alias("y")), equal)
+    return exact | F.coalesce(plain_decimal(a) == plain_decimal(b), F.lit(False))
 
 
 def same_answer(answer: Column, label: Column) -> Column:
     """Equal after normalisation, or equal as numbers."""
 
-
     def equal(pair: Column) -> Column:
         a, b = pair["a"], pair["b"]
-        return F.coalesce((a == b) | (numeric_value(a) == numeric_value(b)), F.lit(False))
+        return F.coalesce((a == b) | same_number(a, b), F.lit(False))
 
     pair = F.struct(normalize_answer(answer).alias("a"), normalize_answer(label).alias("b"))
     return let(pair, equal)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from posttrain_spark.functions import answers as A
 from posttrain_spark.operators.reward import code_pass_rate
+from posttrain_spark.plans import answer_sql as Q
 from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, table, work_table
 
@@ -49,7 +50,7 @@ def gsm8k(spark, sf_dir):
 
 # chr(92) is the backslash, which the two engines read differently inside a literal.
 B = "chr(92)"
-MATH_TEXT = f"""CASE {K} % 8
+MATH_TEXT = f"""CASE {K} % 13
   WHEN 0 THEN concat('So ', {B}, 'boxed{{1}} and at last ', {B}, 'boxed{{', {B}, 'frac{{', CAST({K} % 50 AS STRING), '}}{{4}}}} done')
   WHEN 1 THEN concat('Final Answer: The final answer is ', CAST({K} AS STRING), ',', CAST(100 + {K} % 900 AS STRING), ' units. I hope it is correct.')
   WHEN 2 THEN concat('We get $y = 2$ and then $x = ', CAST({K} % 40 AS STRING), '$')
@@ -57,8 +58,13 @@ MATH_TEXT = f"""CASE {K} % 8
   WHEN 4 THEN concat({B}, 'boxed{{', {B}, 'text{{', CAST({K} AS STRING), '}} cm}}')
   WHEN 5 THEN concat({B}, 'boxed{{', CAST({K} AS STRING))
   WHEN 6 THEN concat('The answer is a ', CAST({K} AS STRING), ' dollars')
+  WHEN 7 THEN concat({B}, 'boxed{{', CAST({K} % 50 AS STRING), '%}}')
+  WHEN 8 THEN concat({B}, 'boxed{{', CAST(1 + {K} % 9 AS STRING), {B}, 'frac{{1}}{{', CAST(2 + {K} % 3 AS STRING), '}}}}')
+  WHEN 9 THEN concat({B}, 'boxed{{0.', CAST({K} AS STRING), '00000000000000005551115123}}')
+  WHEN 10 THEN concat({B}, 'boxed{{', {B}, 'frac{{', CAST({K} AS STRING), '}}{{3}}}}')
+  WHEN 11 THEN concat('So $', CAST({K} AS STRING), '/', CAST({K} % 5 AS STRING), '$')
   ELSE concat({B}, 'boxed{{0.', CAST(10 + {K} % 90 AS STRING), '}}') END"""
-MATH_LABEL = f"""CASE {K} % 8
+MATH_LABEL = f"""CASE {K} % 13
   WHEN 0 THEN concat(CAST({K} % 50 AS STRING), '/4')
   WHEN 1 THEN concat(CAST({K} AS STRING), CAST(100 + {K} % 900 AS STRING))
   WHEN 2 THEN CAST({K} % 20 AS STRING)
@@ -66,7 +72,13 @@ MATH_LABEL = f"""CASE {K} % 8
   WHEN 4 THEN concat(CAST({K} AS STRING), CASE WHEN {K} % 3 = 0 THEN ' cm' ELSE '1' END)
   WHEN 5 THEN CAST({K} AS STRING)
   WHEN 6 THEN concat('Theansweris', CAST({K} AS STRING))
+  WHEN 7 THEN CASE {K} % 3 WHEN 0 THEN CAST({K} % 50 AS STRING) WHEN 1 THEN concat(CAST({K} % 50 AS STRING), '/100') ELSE '7.5' END
+  WHEN 8 THEN CASE {K} % 2 WHEN 0 THEN concat(CAST(1 + {K} % 9 AS STRING), '.5') ELSE concat(CAST(3 + 2 * ({K} % 9) AS STRING), '/2') END
+  WHEN 9 THEN concat('.', CAST({K} AS STRING), CASE WHEN {K} % 2 = 0 THEN '' ELSE '000000000000000055511151230' END)
+  WHEN 10 THEN concat('0', CAST({K} AS STRING), '/3', CASE WHEN {K} % 2 = 0 THEN '.00' ELSE '1' END)
+  WHEN 11 THEN CAST({K} AS STRING)
   ELSE concat('.', CAST(10 + {K} % 90 AS STRING), '0') END"""
+MATH_SOURCE = f"SELECT {K} AS k, {MATH_TEXT} AS p, {MATH_LABEL} AS l FROM orders"
 
 
 def _math(spark, sf_dir):
@@ -85,21 +97,13 @@ def last_boxed(spark, sf_dir):
     return d.select(K, F.coalesce(A.last_boxed(F.col("p")), F.lit("none")).alias("boxed"))
 
 
-@query(
-    "math",
-    f"""SELECT {K}, (CASE {K} % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN {K} % 40 = {K} % 20
-        WHEN 3 THEN true WHEN 4 THEN {K} % 3 = 0 WHEN 5 THEN false WHEN 6 THEN true ELSE true END)::INT::DOUBLE AS score FROM orders""",
-)
+@query("math", Q.verdict(MATH_SOURCE, Q.CANDIDATES, K))
 def math(spark, sf_dir):
     d = _math(spark, sf_dir)
     return d.select(K, A.check_math(F.col("p"), F.col("l")).alias("score"))
 
 
-@query(
-    "math_strict",
-    f"""SELECT {K}, (CASE {K} % 8 WHEN 1 THEN true WHEN 2 THEN {K} % 40 = {K} % 20
-        WHEN 3 THEN true WHEN 4 THEN {K} % 3 = 0 WHEN 6 THEN true WHEN 7 THEN true ELSE false END)::INT::DOUBLE AS score FROM orders""",
-)
+@query("math_strict", Q.verdict(MATH_SOURCE, Q.STRICT, K))
 def math_strict(spark, sf_dir):
     d = _math(spark, sf_dir)
     return d.select(K, A.check_math_strict(F.col("p"), F.col("l")).alias("score"))
@@ -107,15 +111,12 @@ def math_strict(spark, sf_dir):
 
 @query(
     "normalize_answer",
-    f"""SELECT {K}, CASE {K} % 8 WHEN 1 THEN concat({K}, 100 + {K} % 900) WHEN 3 THEN {K}::VARCHAR
-        WHEN 6 THEN concat('Theansweris', {K}) ELSE 'other' END AS normal FROM orders""",
+    f"{Q.read(MATH_SOURCE)} SELECT k AS {K}, coalesce(phrase, {Q.joined(Q.normal('p'))}) AS normal FROM x",
 )
 def normalize_answer(spark, sf_dir):
     d = _math(spark, sf_dir)
     found = F.coalesce(A.final_phrase(F.col("p")), A.normalize_answer(F.col("p")))
-    return d.select(
-        K, F.when((F.col(K) % 8).isin(1, 3, 6), found).otherwise("other").alias("normal")
-    )
+    return d.select(K, found.alias("normal"))
 
 
 @query(

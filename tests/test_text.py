@@ -108,3 +108,23 @@ def test_last_code_block(spark):
         "```py\nx```": "py\nx",
     }
     assert values(spark, list(cases), A.last_code_block(F.col("t"))) == list(cases.values())
+
+
+def test_numbers_are_equal_as_rationals(spark):
+    """Without floats: fractions, decimals of any length, percent, mixed numbers, signs, zero denominators."""
+    from posttrain_spark.functions import answers as A
+
+    cases = [
+        ("1/3", "0.3333333333333333", False), ("1/2", "0.5", True), (r"\frac{1}{2}", "50%", True), ("50\\%", "50", True),
+        ("50%", "0.5", True), ("50%", "50\\%", True), (r"3\frac{1}{2}", "3.5", True), (r"-3\frac{1}{2}", "-7/2", True),
+        ("+4", "4.", True), (".50", "0.5", True), ("007", "7", True), ("-0", "0", True),
+        ("0.1000000000000000055511151231257827", "0.1", False),
+        ("123456789012345678901234567890.10", "123456789012345678901234567890.1", True),
+        ("1/0", "2/0", False), ("1/0", "1/0", False), (r"\frac{-1}{-2}", "0.5", True), (r"\frac{1.5}{0.3}", "5", True),
+        ("abc", "abc", False), ("", "", False), (None, "1", False), ("9" * 18, "9" * 18 + ".0", True),
+        ("1" + "0" * 18 + "/1", "1", False), ("9" * 60 + "/3", "3", False), ("-.5", "-1/2", True), (r"\frac{1}{-2}", "-.5", True),
+        (r"1234567\frac{1234567}{1234567}", "1234568", False), (r"1234\frac{123456}{123456}", "1235", True),
+    ]
+    df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
+    got = df.select("a", "b", A.same_number(F.col("a"), F.col("b")).alias("same")).collect()
+    assert [(r.a, r.b, r.same) for r in got] == cases
