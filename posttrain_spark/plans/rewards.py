@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from posttrain_spark.functions.tokens import token_count, tokens
 from posttrain_spark.operators import labels as L
+from posttrain_spark.operators import languages as N
 from posttrain_spark.operators import reward as R
 from posttrain_spark.operators import rollouts as G
+from posttrain_spark.operators.constraints import Args
 from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, table, work_table
 from posttrain_spark.session import durable, scratch_path
@@ -239,6 +241,39 @@ def score_unified(spark, sf_dir):
     return R.score_unified(samples).select("prompt_id", "turn", F.round("score", 6).alias("score"))
 
 
+# Documents that the language model does not learn from.
+HELD_OUT = "substring(md5(CAST(doc_id AS STRING)), 1, 1) IN ('0', '1', '2')"
+WANTED = "CASE WHEN doc_id % 3 = 0 THEN 'en' WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END"
+
+_LETTERS = r"(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ')"
+_BUCKET = "(ord(l[k]) * 961 + ord(l[k + 1]) * 31 + ord(l[k + 2])) % 4096"
+
+
+@query(
+    "language_model",
+    f"""WITH d AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, {WANTED} AS wanted, {_LETTERS} AS l FROM documents),
+      g AS (SELECT doc_id, lang, held_out, {_BUCKET} AS b, count(*) AS n
+            FROM (SELECT *, unnest(generate_series(1, length(l) - 2)) AS k FROM d) GROUP BY ALL),
+      c AS (SELECT lang, b, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+      t AS (SELECT lang, ln(sum(n) + 4096) AS total FROM c GROUP BY 1),
+      w AS (SELECT t.lang, b, floor(1000 * (ln(coalesce(c.n, 0) + 1) - total) + 0.5)::BIGINT AS w
+            FROM t CROSS JOIN (SELECT range AS b FROM range(4096)) LEFT JOIN c USING (lang, b)),
+      s AS (SELECT doc_id, w.lang, sum(n * w) AS score FROM g JOIN w USING (b) GROUP BY 1, 2),
+      p AS (SELECT doc_id, arg_max(lang, (score, lang)) AS predicted FROM s GROUP BY 1)
+      SELECT doc_id, held_out, predicted, CASE WHEN wanted IN (SELECT lang FROM t) THEN coalesce(predicted = wanted, true) END AS follows
+      FROM d LEFT JOIN p USING (doc_id)""",
+)
+def language_model(spark, sf_dir):
+    """Each document's language by a model of the others, and whether it is the wanted one."""
+    docs = work_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = N.fit_languages(docs.filter(f"NOT {HELD_OUT}"))
+    args = Args(F.create_map(F.lit("language"), F.expr(WANTED)))
+    return docs.select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), model.predict(F.col("text")).alias("predicted"),
+        model.check()(F.col("text"), args).alias("follows"),
+    )
+
+
 def stored_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, B.ScoringTables]:
     """Completions and labels of both families, written as bucketed tables and joined from there."""
     labels = L.parse_any_labels(prompts(spark, sf_dir, ANY_LABEL)).drop("ground_truth")
