@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import SparkSession
 
 
@@ -24,6 +25,28 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target))
 
 
+def model_files(spark: SparkSession, root: str, file: str, prefix: str = "") -> list[str]:
+    """Paths of ``<root>/<model>/<file>`` for the directories that hold it.
+
+    Listed by name, not by a pattern, as patterns break at names with a colon.
+    """
+    fs, target, Path = _fs(spark, root)
+    found = []
+    for status in fs.listStatus(target) if fs.exists(target) else []:
+        if status.isDirectory() and status.getPath().getName().startswith(prefix):
+            path = Path(status.getPath().toString() + "/" + file)
+            if fs.exists(path):
+                found.append(path.toString())
+    return sorted(found)
+
+
+def arrow_place(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path, and the path in it; a path without a scheme is local."""
+    if path.startswith("file:") and "://" not in path:
+        path = path.removeprefix("file:")
+    return arrow_fs.FileSystem.from_uri(path)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename one file, replacing the target; only names move, never content."""
     fs, src, Path = _fs(spark, source)

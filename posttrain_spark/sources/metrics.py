@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from posttrain_spark.functions.text import parent_name
 from posttrain_spark.operators.evals import by_checkpoint, checkpoint_step
 from posttrain_spark.session import scratch_path
-from posttrain_spark.sources.files import is_directory, list_names, move, only_part_file, part_files, partition_value
+from posttrain_spark.sources.files import is_directory, list_names, model_files, move, only_part_file, part_files, partition_value
 
 VERDICT_FILES = "*eval_results_{loose,strict}.jsonl"
 # A file that every finished checkpoint holds.
@@ -23,7 +23,9 @@ def _parent_name():
 
 def scan_metrics(spark: SparkSession, root: str, model: str | None = None) -> DataFrame:
     """``model`` and the whole text of each ``<root>/<model>/metrics.json``, at depth one only."""
-    files = spark.read.text(f"{root}/*/metrics.json", wholetext=True)
+    # Without any file the pattern gives Spark's own error.
+    paths = model_files(spark, root, "metrics.json") or f"{root}/*/metrics.json"
+    files = spark.read.text(paths, wholetext=True)
     name = F.lit(model) if model else _parent_name()
     return files.select(name.alias("model"), "value")
 
@@ -60,7 +62,9 @@ def list_checkpoints(spark: SparkSession, root: str, marker: str = MARKER) -> Da
 
     One marker file per checkpoint is looked up; its content is never read.
     """
-    files = spark.read.format("binaryFile").load(f"{root}/checkpoint-*/{marker}")
+    files = spark.read.format("binaryFile").load(
+        model_files(spark, root, marker, "checkpoint-") or f"{root}/checkpoint-*/{marker}"
+    )
     return by_checkpoint(
         files.select(_parent_name().alias("model")).withColumn(
             "step", checkpoint_step(F.col("model"))

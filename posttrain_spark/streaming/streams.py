@@ -6,13 +6,13 @@ checkpoint folder, so a restarted query goes on where it stopped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from posttrain_spark.functions.text import parent_name
 from posttrain_spark.operators.evals import (
     by_checkpoint,
     checkpoint_step,
@@ -20,8 +20,8 @@ from posttrain_spark.operators.evals import (
     metric_rows,
 )
 from posttrain_spark.operators.reward import join_labels, score_multi
-from posttrain_spark.sources.files import is_directory
 from posttrain_spark.sources.metrics import MARKER
+from posttrain_spark.streaming.model_files import read_stream
 
 POLL_INTERVAL = "1800 seconds"
 
@@ -33,15 +33,13 @@ def _trigger(writer, once: bool):
 def stream_checkpoints(
     spark: SparkSession, root: str, skip: Sequence[str] = (), marker: str = MARKER
 ) -> DataFrame:
-    """Checkpoints as they appear, each once, without those in ``skip``."""
-    found = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .load(f"{root}/checkpoint-*/{marker}")
-    )
-    model = parent_name(F.col("path"))
-    named = found.select(model.alias("model")).withColumn("step", checkpoint_step(F.col("model")))
-    return named.filter(~F.col("model").isin(*skip)).dropDuplicates(["model"])
+    """Checkpoints as they appear, each once, without those in ``skip``.
+
+    The source's offset tells which are new; a marker that is written again is not a new checkpoint.
+    """
+    found = read_stream(spark, root, marker, prefix="checkpoint-", skip=json.dumps(list(skip)), content="false")
+    named = found.select("model").withColumn("step", checkpoint_step(F.col("model")))
+    return named.dropDuplicates(["model"])
 
 
 def evaluate_new(
@@ -62,42 +60,28 @@ def evaluate_new(
     return _trigger(writer, once).start()
 
 
-def refresh_cells(spark: SparkSession, root: str, table: str, batch: int) -> None:
-    """Add the cells of metrics files that are new or were rewritten since they were last read.
+def add_cells(files: DataFrame, table: str, batch: int) -> None:
+    """Add the cells of a batch of metrics files (``model``, ``written``, ``value``) to the table.
 
-    Every file below ``root`` is looked at, as each roll-up does; only those with a later modification
-    time than the one recorded for their model are kept.  ``batch`` names the folder: a batch that is
-    repeated after a failure overwrites its own and changes nothing.
+    ``batch`` names the folder: a batch that is repeated after a failure overwrites its own and changes
+    nothing.
     """
-    files = spark.read.text(f"{root}/*/metrics.json", wholetext=True).select(
-        parent_name(F.col("_metadata.file_path")).alias("model"),
-        F.col("_metadata.file_modification_time").alias("written"),
-        "value",
-    )
-    if is_directory(spark, table):
-        known = _cells(spark, table).filter(F.col("batch") != batch)
-        known = known.groupBy("model").agg(F.max("written").alias("_read"))
-        files = files.join(known, "model", "left").filter("_read IS NULL OR written > _read").drop("_read")
-    cells = comparison_cells(metric_rows(files)).join(files.select("model", "written"), "model")
+    files = files.persist()
+    cells = comparison_cells(metric_rows(files.select("model", "value"))).join(files.select("model", "written"), "model")
     cells.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{table}/batch={batch}_")
+    files.unpersist()
 
 
 def stream_comparison(
     spark: SparkSession, root: str, table: str, state: str, once: bool = True
 ) -> StreamingQuery:
-    """Keep the long comparison table up to date as metrics files land.
+    """Keep the long comparison table up to date as metrics files land or are written again.
 
-    The stream sees each path once; a batch therefore refreshes all cells, which also reads the files
-    that were rewritten in place.  Where files are only rewritten and none is new, no batch runs: call
-    :func:`refresh_cells` on the same schedule.  :func:`latest_cells` reads the table back.
+    A batch reads the files that are new or changed since the last one and adds their cells;
+    :func:`latest_cells` reads the table back.
     """
-    paths = (
-        spark.readStream.format("text")
-        .option("wholetext", "true")
-        .load(f"{root}/*/metrics.json")
-        .select(F.col("_metadata.file_path").alias("path"))
-    )
-    writer = paths.writeStream.foreachBatch(lambda _, number: refresh_cells(spark, root, table, number))
+    files = read_stream(spark, root, "metrics.json")
+    writer = files.writeStream.foreachBatch(lambda batch, number: add_cells(batch, table, number))
     return _trigger(writer.option("checkpointLocation", state), once).start()
 
 

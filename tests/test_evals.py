@@ -141,11 +141,11 @@ def test_work_lists(spark):
 
 
 def test_names_with_spaces_and_colons(spark, tmp_path):
-    rows = [("run 50% a+b", "gsm8k", "pass@1", "symbolic_correct", 1.5), ("plain", "gsm8k", "pass@1", "symbolic_correct", 2.0)]
+    rows = [("run 50% a+b", "gsm8k", "pass@1", "symbolic_correct", 1.5), ("at 12:30", "gsm8k", "pass@1", "symbolic_correct", 1.0), ("plain", "gsm8k", "pass@1", "symbolic_correct", 2.0)]
     df = spark.createDataFrame(rows, "model string, benchmark string, mode string, metric string, value double")
     M.write_metrics(df, str(tmp_path / "out"))
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["plain", "run 50% a+b"]
-    assert sorted(r.model for r in M.scan_metrics(spark, str(tmp_path / "out")).collect()) == ["plain", "run 50% a+b"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["at 12:30", "plain", "run 50% a+b"]
+    assert sorted(r.model for r in M.scan_metrics(spark, str(tmp_path / "out")).collect()) == ["at 12:30", "plain", "run 50% a+b"]
 
 
 def test_numbers_that_json_cannot_write(spark):
