@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from posttrain_spark.functions.text import sentences
+from posttrain_spark.operators import boundaries
 from posttrain_spark.operators.constraints import (
     CHOICES,
     LANGUAGE_PROFILES,
@@ -20,6 +22,7 @@ from posttrain_spark.operators.constraints import (
 )
 from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, work_table
+from posttrain_spark.session import durable
 
 
 @dataclass(frozen=True)
@@ -472,3 +475,40 @@ def query_name(case: Case) -> str:
 
 for _case in [*NEW_CASES, *OLD_CASES]:
     query(query_name(_case), _oracle(_case))(_build(_case))
+
+
+# Texts with abbreviations, which the given tables lack: commas and an article become some.
+SHORTENED = "replace(replace(text, ', ', ' Dr. '), ' the ', ' e.g. the ')"
+_EDGES = r"""'^[(\[{"''“‘«]+|[)\]}"''”’»]+$'"""
+
+
+@query(
+    "sentence_model",
+    rf"""WITH d AS (SELECT {SHORTENED} AS text FROM documents),
+      t AS (SELECT regexp_replace(unnest({S.chunks('text')}), {_EDGES}, '', 'g') AS t FROM d),
+      c AS (SELECT regexp_replace(lower(t), '\.$', '') AS word, regexp_matches(t, '[^.]\.$')::INT AS dot FROM t),
+      n AS (SELECT word, sum(dot)::BIGINT AS n_dotted, (count(*) - sum(dot))::BIGINT AS n_plain FROM c WHERE regexp_matches(word, '\p{{L}}') GROUP BY 1),
+      r AS (SELECT sum(n_dotted)::DOUBLE / (sum(n_dotted) + sum(n_plain)) AS rate FROM n),
+      s AS (SELECT *, length(word) - length(replace(word, '.', '')) AS inner_dots, n_dotted + n_plain AS k,
+        2 * ((n_dotted * ln(0.99) + n_plain * ln(1 - 0.99)) - (n_dotted * ln(rate) + n_plain * ln(1 - rate))) AS ratio FROM n, r WHERE n_dotted > 0)
+      SELECT word, n_dotted, n_plain, ratio * exp(-(length(word) - inner_dots)) * (inner_dots + 1)
+        * pow((length(word) - inner_dots)::DOUBLE, -n_plain) >= 0.3 AS is_abbreviation FROM s""",
+)
+def sentence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word type seen with a period, and whether it is learned as an abbreviation."""
+    docs = work_table(spark, sf_dir, "documents").select(F.expr(SHORTENED).alias("text"))
+    scored = boundaries.abbreviations(durable(boundaries.type_counts(docs), "type-counts"))
+    learned = (F.col("score") >= boundaries.ABBREVIATION).alias("is_abbreviation")
+    return scored.select("word", "n_dotted", "n_plain", learned)
+
+
+@query("sentences_learned")
+def sentences_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document by the learned table, beside those by the rule alone."""
+    docs = work_table(spark, sf_dir, "documents").select("doc_id", F.expr(SHORTENED).alias("text"))
+    model = boundaries.fit_sentences(docs)
+    return docs.select(
+        "doc_id",
+        F.size(model.sentences(F.col("text"))).cast("long").alias("n_sentences"),
+        F.size(sentences(F.col("text"))).cast("long").alias("n_by_rule"),
+    )
