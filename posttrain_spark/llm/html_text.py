@@ -3,9 +3,15 @@
 Every page is read once into blocks of text and the elements that hold them.  Parts that are never
 article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments, hidden
 parts) are left out.  The page then votes, with its host, for the generalised path (tags and
-classes, numbers removed) of the container that holds its text.  Spark counts the votes; the winning
-path of a host is used to read all its pages again.  A page without an element at that path, and a
-page whose url has no host, is read from its own best container.
+classes, numbers removed) of the container that holds its text, and for every path of a block beside what
+the page is about, with the block's text and its share of links.  Spark counts the votes; the winning path of a
+host is used to read all its pages again.  Blocks at paths that say the same on most pages of the host
+(numbers aside), or hold links there, are its boilerplate and are left out, unless such a path holds a
+large part of the text.  A page without an element at the winning path, and a page whose url has no
+host, is read from its own best container.
+
+Of containers with equal votes the one with more text wins, then the one with the larger path digest.
+Very long pages are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from posttrain_spark.operators.skew import skew_join
 from posttrain_spark.plans.registry import query, table
 from posttrain_spark.session import durable
 
@@ -27,6 +34,10 @@ SHARE, LEAST_PAGES = 0.75, 3
 # An article or main element is the container if it holds at least this share of the page's text.
 ARTICLE_SHARE = 0.3
 
+# Paths are boilerplate on more than half of the host's different pages, and LEAST_PAGES of them; a path
+# with at least LARGE_SHARE of a page's text is not, one with LINK_SHARE of its text in links may be.
+LARGE_SHARE, LINK_SHARE = 0.3, 0.8
+
 # Elements of HTML by the part they play here.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +50,7 @@ head nav footer aside form button select option dialog template svg canvas audio
 fieldset
 """.split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Opening one of these ends an open paragraph; each ends open elements of its own row.
 ENDED_BY = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -98,6 +110,8 @@ class Page:
     def __init__(self, html: str):
         self.texts: list[str] = []
         self.holder: list[_Element] = []
+        self.links: list[int] = []
+        self._linked = 0
         root = _Element("", None, 0, False, False)
         self.elements = [root]
         self._open = [root]
@@ -114,12 +128,13 @@ class Page:
         """End the current block."""
         if self._held:
             text = " ".join("".join(self._held).split())
-            self._held = []
+            self._held, linked, self._linked = [], self._linked, 0
             top = self._block_element()
             if text and not top.out:
                 top.own += len(text)
                 self.texts.append(text)
                 self.holder.append(top)
+                self.links.append(min(linked, len(text)))
 
     def _block_element(self) -> _Element:
         for e in reversed(self._open):
@@ -188,6 +203,8 @@ class Page:
     def _text(self, raw: str) -> None:
         if raw and not self._open[-1].out:
             self._held.append(unescape(raw) if "&" in raw else raw)
+            if self._count.get("a"):
+                self._linked += len(raw)
 
     def _read(self, html: str) -> None:
         at = 0
@@ -241,15 +258,41 @@ class Page:
             at = best
         return at
 
-    def text_at(self, path: int | None) -> str:
-        """Blocks below the elements at ``path``, or below the page's own container."""
+    def text_at(self, path: int | None, dropped: frozenset[int] = frozenset()) -> str:
+        """Blocks below the elements at ``path``, or below the page's own container, without the boilerplate at
+        the paths in ``dropped``."""
         tops = {id(e) for e in self.elements if path is not None and e.path == path and e.total}
         if not tops:
             own = self.container()
             tops = {id(own)} if own is not None else set()
         inside = self.blocks_below(tops)
+        for p, blocks in (self.block_paths()[1] if dropped else {}).items():
+            if p in dropped:
+                inside.difference_update(blocks)
         return "\n\n".join(t for i, t in enumerate(self.texts) if i in inside)
 
+    def block_paths(self) -> tuple[str, dict[int, list[int]]]:
+        """What the page is about, and the numbers of the blocks at each path that may be boilerplate.
+
+        A page is about its articles' text or the blocks of one path, whichever is longer.  Articles,
+        headings, and all that stands in one element with those blocks are no boilerplate.
+        """
+        paths: dict[int, list[int]] = {}
+        for i, e in enumerate(self.holder):
+            paths.setdefault(0 if e.inside else e.path, []).append(i)
+        if not paths:
+            return "", {}
+        main = max(paths.values(), key=lambda blocks: sum(len(self.texts[i]) for i in blocks))
+        kept = set(main)
+        around = self.holder[main[0]].parent
+        while around is not None and around.tag in INLINE:
+            around = around.parent
+        if around is not None and around.tag not in ("", "html", "body"):
+            kept |= self.blocks_below({id(around)})
+        kept |= {i for i, e in enumerate(self.holder) if e.inside or e.tag in HEADINGS}
+        rest = {p: [i for i in blocks if i not in kept] for p, blocks in paths.items()}
+        return "\n\n".join(self.texts[i] for i in main), {p: blocks for p, blocks in rest.items() if blocks}
+
     def blocks_below(self, tops: set[int]) -> set[int]:
         """Numbers of the blocks below the elements with these ids."""
         below: dict[int, bool] = {}
@@ -264,33 +307,77 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+VOTES = (
+    "host string, page long, chars long, whole long, whole_weight long, low long, low_weight long, rest long, "
+    "path long, said long, size long, links long"
+)
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page the container of all its text, a lower one and the digest of the text outside that."""
+    """Per page one row with the container of all its text, a lower one and the digest of the text outside
+    that, and one row for each path of blocks with the digest of what they say, numbers aside."""
+    names = [part.split()[0] for part in VOTES.split(", ")]
     for batch in batches:
         made = []
-        for html in batch.column(1).to_pylist():
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = Page(html or "")
             whole, low = page.container(), page.container(SHARE)
             if whole is None:
-                made.append((None, 0, None, 0, 0))
                 continue
             inside = page.blocks_below({id(low)})
             rest = "\n\n".join(t for i, t in enumerate(page.texts) if i not in inside)
-            made.append((whole.path, whole.total, low.path, low.total, xxhash.xxh3_64_intdigest(rest.encode("utf-8", "replace")) >> 1))
-        names = ("whole", "whole_weight", "low", "low_weight", "rest")
-        columns = [pa.array([m[i] for m in made], pa.int64()) for i in range(len(names))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", *names])
+            about, paths = page.block_paths()
+            same = host, _digest(about), sum(map(len, page.texts))
+            made.append((*same, whole.path, whole.total, low.path, low.total, _digest(rest), None, None, None, None))
+            for path, blocks in paths.items():
+                said = _digest("\n\n".join(re.sub(r"\d+", "0", page.texts[i]) for i in blocks))
+                size = sum(len(page.texts[i]) for i in blocks)
+                made.append((*same, None, None, None, None, None, path, said, size, sum(page.links[i] for i in blocks)))
+        columns = zip(*made, strict=True) if made else [()] * len(names)
+        kinds = [pa.string(), *[pa.int64()] * (len(names) - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def page_votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    asked = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).filter("host IS NOT NULL")
+    return durable(asked.mapInArrow(_votes, VOTES), "page-votes")
 
 
-def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def boilerplate_paths(votes: DataFrame) -> DataFrame:
+    """Columns ``host`` and ``dropped``, the block paths that are boilerplate of the host.
+
+    Pages about the same, whose largest part is equal, count once: copies of an article with other menus
+    do not make it boilerplate.
+    """
+    blocks = votes.filter("path IS NOT NULL").groupBy("host", "page", "path", "said").agg(
+        F.first("size").alias("size"), F.first("links").alias("links"), F.first("chars").alias("chars")
+    )
+    said = blocks.groupBy("host", "path", "said").agg(
+        F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("size", "links", "chars"))
+    )
+    paths = said.groupBy("host", "path").agg(
+        F.max("n").alias("same"), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in ("size", "links", "chars"))
+    )
+    different = votes.filter("path IS NULL").groupBy("host", "page").agg(F.lit(1).alias("one"))
+    totals = different.groupBy("host").agg(F.count("*").alias("all"))
+    small = F.col("size") < LARGE_SHARE * F.col("chars")
+    often = (F.col("n") >= LEAST_PAGES) & (2 * F.col("n") > F.col("all")) & small
+    repeated = (F.col("same") >= LEAST_PAGES) & (2 * F.col("same") > F.col("all"))
+    linked = F.col("links") >= LINK_SHARE * F.col("size")
+    found = paths.join(totals, "host").filter(often & (repeated | linked))
+    return found.groupBy("host").agg(F.collect_list("path").alias("dropped"))
+
+
+def host_paths(votes: DataFrame) -> DataFrame:
     """Columns ``host`` and ``path``: per host the path most pages vote for (then most text).
 
     A page votes for its lower container only where the text outside it is boilerplate of the host.
     """
-    asked = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).filter("host IS NOT NULL")
-    schema = "host string, whole long, whole_weight long, low long, low_weight long, rest long"
-    votes = asked.mapInArrow(_votes, schema).filter("whole IS NOT NULL")
-    kinds = votes.groupBy("host", "whole", "low", "rest").agg(
+    kinds = votes.filter("path IS NULL").groupBy("host", "whole", "low", "rest").agg(
         F.count("*").alias("n"), F.sum("whole_weight").alias("whole_weight"), F.sum("low_weight").alias("low_weight")
     )
     kinds = durable(kinds, "votes")
@@ -315,20 +402,22 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     NULL and empty html, and pages that hold no article text, give an empty text.  Rows that repeat
     an id, and rows without an id or url, are read like all others.
     """
-    winners = durable(host_paths(pages, url, html), "host-paths")
+    votes = page_votes(pages, url, html)
+    winners = durable(host_paths(votes).join(boilerplate_paths(votes), "host", "left"), "host-paths")
     asked = pages.select(
         F.col(page_id).alias("page_id"),
         F.col(url).alias("url"),
         F.col(html).alias("html"),
         host_of(F.col(url)).alias("host"),
     )
-    both = asked.join(winners, "host", "left").select("page_id", "url", "html", "path")
+    # Pages of a host with very many are read by many tasks.
+    both = skew_join(asked, winners, "host", ["page_id", "url"], "left").select("page_id", "url", "html", "path", "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                Page(h or "").text_at(p)
-                for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                Page(h or "").text_at(p, frozenset(d or ()))
+                for h, p, d in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

@@ -1,6 +1,7 @@
 """Operators on web pages."""
 
 import hashlib
+import re
 from urllib.parse import urlsplit
 
 import pytest
@@ -68,6 +69,70 @@ def test_html(html, text):
     assert html_text.Page(html).text_at(None) == text
 
 
+def test_unmarked_boilerplate_of_a_host(spark):
+    """Menus, footers and link lists without telling names go; articles stay, also where pages are copies."""
+    import random
+
+    rng = random.Random(2)
+
+    def story():
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+
+    def html(text, i, links):
+        more = "".join(f"<a href='/{k}'>{story()[:9]}</a> " for k in range(links))
+        return (
+            f"<body><div class='top'>Home About</div><div class='x1'><h1>On {i}</h1><p>{text}</p><h2>Sources</h2><p>{text[:30]}</p></div>"
+            f"<div class='y'>{more}</div><div class='bottom'>Next story {i} of 9</div>"
+        )
+
+    stories = [story() for _ in range(6)]
+    rows = [(i, f"http://s.org/{i}", html(s, i, 4)) for i, s in enumerate(stories)]
+    # Copies of one article with other menus: nothing in it may be taken for boilerplate.
+    rows += [(10 + i, f"http://copy.org/{i}", f"<body><div class='m'>{story()}</div><div class='a'><p>{stories[0] * 3}</p><h3>End</h3></div>") for i in range(5)]
+    # Two pages are too few to tell.
+    rows += [(20 + i, f"http://few.org/{i}", html(s, i, 0)) for i, s in enumerate(stories[:2])]
+    table = [(*r, "", "", "") for r in rows]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(table, SCHEMA)).collect()}
+    for i, s in enumerate(stories):
+        assert got[i] == f"On {i}\n\n{s}\n\nSources\n\n{s[:30].strip()}"
+    for i in range(5):
+        assert stories[0] * 3 in got[10 + i] and got[10 + i].endswith("End")
+    assert "Home About" in got[20]
+
+
+def test_boilerplate_votes_against_brute_force(spark):
+    """Counted anew in plain Python from the pages' own blocks."""
+    import random
+
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = []
+    for i in range(40):
+        host = rng.choice("abc")
+        parts = "".join(f"<div class='{rng.choice('pqrs')}'>{' '.join(rng.choice(words) for _ in range(rng.choice((1, 2, 30))))}</div>" for _ in range(5))
+        rows.append((i, f"http://{host}.org/{i}", f"<div class='k'>Same {i}</div><div class='l'><a href='x'>{rng.choice(words)}</a></div>{parts}", "", "", ""))
+    seen, mains = {}, {}
+    for _, url, html, *_ in rows:
+        host, page = url.split("/")[2], html_text.Page(html)
+        main, paths = page.block_paths()
+        mains.setdefault(host, set()).add(main)
+        for path, blocks in paths.items():
+            said = re.sub(r"\d+", "0", "\n\n".join(page.texts[i] for i in blocks))
+            sizes = sum(len(page.texts[i]) for i in blocks), sum(page.links[i] for i in blocks), sum(map(len, page.texts))
+            seen.setdefault((host, path), {}).setdefault((main, said), sizes)
+    want = set()
+    for (host, path), found in seen.items():
+        sizes = [sum(v[k] for v in found.values()) for k in range(3)]
+        same = max(sum(said == other for _, other in found) for _, said in found)
+        half = len(mains[host]) / 2
+        if len(found) >= 3 and len(found) > half and sizes[0] < 0.3 * sizes[2]:
+            if same >= 3 and same > half or sizes[1] >= 0.8 * sizes[0]:
+                want.add((host, path))
+    votes = html_text.page_votes(spark.createDataFrame(rows, SCHEMA))
+    got = {(r["host"], p) for r in html_text.boilerplate_paths(votes).collect() for p in r["dropped"]}
+    assert got == want and want
+
+
 def test_a_host_outvotes_a_page(spark):
     usual = "<body><div class='body'>" + "<p>story text</p>" * 5 + "</div><div class='extra'>{}</div></body>"
     rows = [(i, f"http://h.org/{i}", usual.format("<p>short</p>"), "", "", "") for i in range(5)]
