@@ -246,14 +246,15 @@ HELD_OUT = "substring(md5(CAST(doc_id AS STRING)), 1, 1) IN ('0', '1', '2')"
 WANTED = "CASE WHEN doc_id % 3 = 0 THEN 'en' WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END"
 
 _LETTERS = r"(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ')"
-_BUCKET = "(ord(l[k]) * 961 + ord(l[k + 1]) * 31 + ord(l[k + 2])) % 4096"
+_CODES = f"list_transform(string_split({_LETTERS}, ''), lambda c: ord(c))"
+_BUCKET = "list_transform(list_zip(c, c[2:], c[3:], true), lambda x: (x[1] * 961 + x[2] * 31 + x[3]) % 4096)"
 
 
 @query(
     "language_model",
-    f"""WITH d AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, {WANTED} AS wanted, {_LETTERS} AS l FROM documents),
-      g AS (SELECT doc_id, lang, held_out, {_BUCKET} AS b, count(*) AS n
-            FROM (SELECT *, unnest(generate_series(1, length(l) - 2)) AS k FROM d) GROUP BY ALL),
+    f"""WITH d AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, {WANTED} AS wanted, {_CODES} AS c FROM documents),
+      g AS (SELECT doc_id, lang, held_out, b, count(*) AS n
+            FROM (SELECT doc_id, lang, held_out, unnest({_BUCKET}) AS b FROM d) GROUP BY ALL),
       c AS (SELECT lang, b, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
       t AS (SELECT lang, ln(sum(n) + 4096) AS total FROM c GROUP BY 1),
       w AS (SELECT t.lang, b, floor(1000 * (ln(coalesce(c.n, 0) + 1) - total) + 0.5)::BIGINT AS w
