@@ -36,8 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; documents without words all stay.
 
-    Rows that repeat an id stay or go together; rows without an id stay, unless they are linked to
-    a row that has one.
+    Rows that repeat an id stay or go together; so do rows without an id, which go only if each of them is
+    linked to a row that has one.
     """
     found = jaccard_join.near_duplicates(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
