@@ -14,7 +14,6 @@ from posttrain_spark.operators import labels as L
 from posttrain_spark.operators import languages as N
 from posttrain_spark.operators import reward as R
 from posttrain_spark.operators import rollouts as G
-from posttrain_spark.operators.constraints import Args
 from posttrain_spark.plans import sql as S
 from posttrain_spark.plans.registry import query, table, work_table
 from posttrain_spark.session import durable, scratch_path
@@ -268,11 +267,12 @@ def language_model(spark, sf_dir):
     """Each document's language by a model of the others, and whether it is the wanted one."""
     docs = work_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = N.fit_languages(docs.filter(f"NOT {HELD_OUT}"))
-    args = Args(F.create_map(F.lit("language"), F.expr(WANTED)))
-    return docs.select(
-        "doc_id", F.expr(HELD_OUT).alias("held_out"), model.predict(F.col("text")).alias("predicted"),
-        model.check()(F.col("text"), args).alias("follows"),
+    guessed = docs.select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), model.predict_batches(F.col("text")).alias("predicted"),
+        F.expr(WANTED).alias("wanted"),
     )
+    follows = model.agrees(F.col("predicted"), F.col("wanted")).alias("follows")
+    return guessed.select("doc_id", "held_out", "predicted", follows)
 
 
 def stored_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, B.ScoringTables]:

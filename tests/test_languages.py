@@ -48,3 +48,39 @@ def test_check_in_a_constraint_array(spark, small):
     nothing = L.fit_languages(docs.limit(0))
     assert nothing.languages == [] and docs.limit(2).select(nothing.predict(F.col("text"))).first()[0] is None
     assert spark.range(1).select(model.predict(F.lit("12 + 3"))).first()[0] is None
+
+
+def test_batches_agree_with_the_expression(spark, small, monkeypatch):
+    odd = ["", " ", "a", "ab", "12 + 3", "Über die Brücke", "a\U0001d4d0b 😀", "the cat " * 900, None]
+    docs = spark.createDataFrame([(t, lang) for t in odd for lang in ("en", "de", None)], "text string, lang string")
+    real = spark.read.parquet(f"{small}/documents.parquet").select("text", "lang")
+    for own in (docs, real):
+        # Two languages of the same texts tie everywhere.
+        model = L.fit_languages(own.unionByName(own.filter("lang = 'en'").withColumn("lang", F.lit("en2"))))
+        text = F.col("text")
+        rows = own.withColumn("a", model.predict(text)).withColumn("b", model.predict_batches(text)).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
+        assert "en2" in {r.b for r in rows} and "en" not in {r.b for r in rows}
+    monkeypatch.setattr(L, "BLOCK_BYTES", 4)
+    given = [f" {t} " for t in ("", "a", "über", "", "the cat", "\U0001d4d0b")]
+    cut = [f[i:j].tolist() for f, low, high in L._buckets(L.pa.array(given)) for i, j in zip(low, high, strict=True)]
+    assert cut == [[] if t == "  " else brute(t) for t in given]
+
+
+def test_more_languages_than_a_task_holds(spark):
+    rows = [(f"l{i % 150:03}", "abc" * (1 + i % 7)) for i in range(600)]
+    model = L.fit_languages(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    assert model.languages == sorted({lang for lang, _ in rows})
+    for name, weights in model.weights[::37]:
+        grams = [b for lang, text in rows if lang == name for b in brute(text)]
+        assert all(
+            abs(w - 1000 * math.log((grams.count(b) + 1) / (len(grams) + L.BUCKETS))) <= 0.51 for b, w in enumerate(weights)
+        )
+
+
+def test_the_query_scores_no_character_in_a_higher_order_function(spark, small, capsys):
+    from __spark_entry__ import queries
+
+    queries()["language_model"](spark, small).explain("extended")
+    plan = capsys.readouterr().out
+    assert "lambda" not in plan and "ArrowEvalPython" in plan
