@@ -2,8 +2,9 @@
 
 Abbreviations are word types that come with a period far more often than chance (a log-likelihood ratio,
 damped by their length and by every occurrence without the period); sentence starters are types that
-follow the other periods far more often than chance.  Both are counted over all given texts in Spark,
-and only types over the thresholds reach the driver.  A period after an abbreviation ends no sentence
+follow the other periods far more often than chance.  All given texts are read once, in Spark, for counts of
+distinct tokens; what a token says is worked out once per distinct token, and only types over the
+thresholds reach the driver.  A period after an abbreviation ends no sentence
 unless a starter in upper case follows.  Applying the model is an expression: no shuffle, no Python.
 """
 
@@ -13,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from posttrain_spark.functions.text import SPACE_CLASS, let, sentences
+from posttrain_spark.functions.text import let, sentences
 from posttrain_spark.operators.constraints import NEW_CHECKS, OLD_CHECKS, Verdict
+from posttrain_spark.session import durable
 
 # Published thresholds of the method: abbreviations, sentence starters, and how sure a period is to follow
 # an abbreviation.
@@ -22,6 +24,11 @@ ABBREVIATION, STARTER, SURE = 0.3, 30.0, 0.99
 # Types of each kind that a model holds, the best ones; published lists for one language are far shorter.
 MOST_TYPES = 5_000
 
+# The characters of WHITESPACE as ranges: a quarter of the comparisons for each character of a text.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# A token whose period is its last character.
+DOTTED = r"[^.]\.$"
+
 # Stands for the period of an abbreviation while a text is cut; it is in no word and ends no sentence.
 HELD = "\ue000"
 
@@ -32,10 +39,14 @@ SENTENCE_CHECKS = (
 OLD_SENTENCE_CHECKS = ("sentence_constraint",)
 
 
-def tokens_of(text: Column) -> Column:
-    """Whitespace-separated tokens without brackets and quotes around them."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda t: F.length(t) > 0)
-    return F.transform(pieces, lambda t: F.regexp_replace(t, r"^[(\[{\"'“‘«]+|[)\]}\"'”’»]+$", ""))
+def _pieces(docs: DataFrame, text: str) -> DataFrame:
+    """``ts``, the whitespace-separated pieces of every text; the first and the last may be empty."""
+    return docs.select(F.split(F.coalesce(F.col(text), F.lit("")), SPACES).alias("ts"))
+
+
+def _clean(piece: Column) -> Column:
+    """The token without brackets and quotes around it."""
+    return F.regexp_replace(piece, r"^[(\[{\"'“‘«]+|[)\]}\"'”’»]+$", "")
 
 
 def _bare(token: Column) -> Column:
@@ -52,18 +63,32 @@ def _surprise(k: Column, n: Column, p: Column, q: Column) -> Column:
     return 2 * (log(q) - log(p))
 
 
-def type_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Types with a letter: ``word``, ``n_dotted`` and ``n_plain``, occurrences with and without a period."""
-    token = docs.select(F.explode(tokens_of(F.col(text))).alias("t"))
-    dotted = F.col("t").rlike(r"[^.]\.$")
+def token_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Occurrences ``n`` of every ``token`` as it stands, by the token ``before`` it where that one has a
+    period (else NULL)."""
+    both = F.arrays_zip(F.concat(F.array(F.lit("")), F.col("ts")).alias("before"), F.col("ts").alias("token"))
+    found = _pieces(docs, text).select(F.inline(both)).filter("token <> ''")
+    before = F.when(F.contains("before", F.lit(".")), F.col("before")).alias("before")
+    return found.groupBy(before, "token").agg(F.count("*").alias("n"))
+
+
+def _types(tokens: DataFrame) -> DataFrame:
+    t = tokens.select(_clean(F.col("token")).alias("t"), "n")
+    dotted = F.when(F.col("t").rlike(DOTTED), F.col("n")).otherwise(F.lit(0))
     return (
-        token.select(_bare(F.col("t")).alias("word"), dotted.cast("long").alias("dot"))
+        t.select(_bare(F.col("t")).alias("word"), dotted.alias("dot"), "n")
         .filter(F.col("word").rlike(r"\p{L}"))
         .groupBy("word")
-        .agg(F.sum("dot").alias("n_dotted"), (F.count("*") - F.sum("dot")).alias("n_plain"))
+        .agg(F.sum("dot").alias("n_dotted"), (F.sum("n") - F.sum("dot")).alias("n_plain"))
     )
 
 
+def type_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Types with a letter: ``word``, ``n_dotted`` and ``n_plain``, occurrences with and without a period."""
+    token = _pieces(docs, text).select(F.explode("ts").alias("token")).filter("token <> ''")
+    return _types(token.groupBy("token").agg(F.count("*").alias("n")))
+
+
 def abbreviations(counts: DataFrame) -> DataFrame:
     """``counts`` of types seen with a period, with their ``score`` as abbreviations."""
     total = counts.agg(F.sum("n_dotted").alias("d"), F.sum("n_plain").alias("p")).first()
@@ -91,7 +116,9 @@ class SentenceModel:
 
         def held(pieces: Column) -> Column:
             def one(piece: Column, i: Column) -> Column:
-                last = _bare(F.regexp_replace(F.regexp_extract(piece, r"(\S+)$", 1), r"^[(\[{\"'“‘«]+", ""))
+                # Turned round, the last token is found at once.
+                token = F.reverse(F.regexp_extract(F.reverse(piece), r"^(\S+)", 1))
+                last = _bare(F.regexp_replace(token, r"^[(\[{\"'“‘«]+", ""))
                 after = F.regexp_extract(F.get(pieces, i + 1), r"^\s+[(\[{\"'“‘«]*(\S+)", 1)
                 first = F.regexp_replace(F.lower(after), r"[^\p{L}\p{M}\p{N}]+$", "")
                 starts = after.rlike(r"^\p{Lu}") & first.isin(*self.starters) if self.starters else F.lit(False)
@@ -101,12 +128,16 @@ class SentenceModel:
             return F.array_join(F.transform(pieces, one), "")
 
         # Cut behind every period before white space: the last token of a piece is a candidate.
-        return let(F.split(text, r"(?<=[^.\s]\.)(?=\s)"), held)
+        return let(F.split(text, r"(?=\s)(?<=[^.\s]\.)"), held)
 
     def sentences(self, text: Column) -> Column:
         """Non-blank sentences, trimmed, as they stand in the text."""
         return F.transform(sentences(self.hold(text)), lambda s: F.replace(s, F.lit(HELD), F.lit(".")))
 
+    def count(self, text: Column) -> Column:
+        """Number of ``sentences``."""
+        return F.size(sentences(self.hold(text))).cast("long")
+
     def _with(self, builder: Verdict) -> Verdict:
         return lambda text, args: builder(self.hold(text), args)
 
@@ -121,21 +152,18 @@ class SentenceModel:
 
 def starter_counts(docs: DataFrame, short: list[str], text: str = "text") -> DataFrame:
     """``word``, its occurrences ``n`` and those right after a period that is no abbreviation's, ``n_after``."""
+    return _followers(token_pairs(docs, text), short)
 
-    def after(ts: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            before = F.get(ts, i - 1)
-            ends = F.coalesce(before.rlike(r"[^.]\.$"), F.lit(False))
-            if short:
-                ends = ends & ~F.coalesce(_bare(before).isin(*short), F.lit(False))
-            word = F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}\p{N}]+$", "")
-            return F.struct(word.alias("word"), (ends & (i > 0)).cast("long").alias("after"))
-
-        return F.transform(ts, one)
 
-    found = docs.select(F.explode(let(tokens_of(F.col(text)), after)).alias("x")).select("x.word", "x.after")
+def _followers(pairs: DataFrame, short: list[str]) -> DataFrame:
+    t = pairs.select(_clean(F.col("before")).alias("before"), F.lower(_clean(F.col("token"))).alias("t"), "n")
+    ends = F.coalesce(F.col("before").rlike(DOTTED), F.lit(False))
+    if short:
+        ends = ends & ~F.coalesce(_bare(F.col("before")).isin(*short), F.lit(False))
+    word = F.regexp_replace("t", r"[^\p{L}\p{M}\p{N}]+$", "")
+    found = t.select(word.alias("word"), "n", F.when(ends, F.col("n")).otherwise(F.lit(0)).alias("after"))
     return found.filter(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(
-        F.count("*").alias("n"), F.sum("after").alias("n_after")
+        F.sum("n").alias("n"), F.sum("after").alias("n_after")
     )
 
 
@@ -156,11 +184,14 @@ def _starters(counts: DataFrame) -> DataFrame:
 
 
 def fit_sentences(docs: DataFrame, text: str = "text") -> SentenceModel:
-    """A model of all given texts, in two passes of counts; NULL and empty texts teach nothing."""
+    """A model of all given texts, read once; NULL and empty texts teach nothing."""
 
     def best(scored: DataFrame, least: float) -> list[str]:
         top = scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "word").limit(MOST_TYPES)
         return sorted(r["word"] for r in top.select("word").collect())
 
-    short = best(abbreviations(type_counts(docs, text)), ABBREVIATION)
-    return SentenceModel(tuple(short), tuple(best(_starters(starter_counts(docs, short, text)), STARTER)))
+    pairs = durable(token_pairs(docs, text), "token-pairs")
+    tokens = pairs.groupBy("token").agg(F.sum("n").alias("n"))
+    short = best(abbreviations(durable(_types(tokens), "type-counts")), ABBREVIATION)
+    starters = best(_starters(durable(_followers(pairs, short), "starter-counts")), STARTER)
+    return SentenceModel(tuple(short), tuple(starters))

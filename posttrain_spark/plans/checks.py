@@ -509,6 +509,6 @@ def sentences_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = boundaries.fit_sentences(docs)
     return docs.select(
         "doc_id",
-        F.size(model.sentences(F.col("text"))).cast("long").alias("n_sentences"),
+        model.count(F.col("text")).alias("n_sentences"),
         F.size(sentences(F.col("text"))).cast("long").alias("n_by_rule"),
     )

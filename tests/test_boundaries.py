@@ -81,3 +81,52 @@ def test_checks_with_the_learned_table(spark, docs):
     assert set(model.checks()) == set(B.NEW_CHECKS) and set(model.old_checks()) == set(B.OLD_CHECKS)
     nothing = B.fit_sentences(docs.limit(0))
     assert nothing == B.SentenceModel((), ())
+
+
+def test_texts_are_read_once(spark, tmp_path, docs, texts):
+    docs.write.parquet(str(tmp_path / "docs"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    model = B.fit_sentences(spark.read.parquet(str(tmp_path / "docs")).mapInArrow(pass_on, "text string"))
+    assert reads.value == len(texts)
+    assert model == B.fit_sentences(docs)
+
+
+def test_counts_of_odd_tokens_against_brute_force(spark):
+    odd = [
+        "  Dr. Who　(Dr.) \"e.g.\" . .. a.. The\x85the, The. \n", "\t", "(The) “Dr.” Who?\x1c12. We 3.a We.", "Dr.\n\nWho! '' who",
+        None, "", "x Dr. (Who) ﻿Dr. who", "“ “ Dr. “ the",
+    ]
+    df = spark.createDataFrame([(t,) for t in odd * 2], "text string")
+    types, after = {}, {}
+    for text in odd * 2:
+        tokens = [re.sub(r"^[(\[{\"'“‘«]+|[)\]}\"'”’»]+$", "", t) for t in (text or "").split()]
+        for before, t in zip([""] + tokens, tokens):
+            word = re.sub(r"\.$", "", t.lower())
+            if any(c.isalpha() for c in word):
+                pair = types.setdefault(word, [0, 0])
+                pair[not re.search(r"[^.]\.$", t)] += 1
+            word = re.sub(r"[\W_]+$", "", t.lower())
+            if any(c.isalpha() for c in word):
+                pair = after.setdefault(word, [0, 0])
+                pair[0] += 1
+                pair[1] += bool(re.search(r"[^.]\.$", before)) and re.sub(r"\.$", "", before.lower()) != "dr"
+    assert {r.word: [r.n_dotted, r.n_plain] for r in B.type_counts(df).collect()} == types
+    assert {r.word: [r.n, r.n_after] for r in B.starter_counts(df, ["dr"]).collect()} == after
+    from posttrain_spark.functions.text import WHITESPACE
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    left = spark.createDataFrame([(every,)], "t string").select(F.regexp_replace("t", B.SPACES, "")).first()[0]
+    assert left == "".join(c for c in every if c not in WHITESPACE)
+
+
+def test_count_is_the_number_of_sentences(spark, docs):
+    model = B.fit_sentences(docs)
+    odd = docs.union(spark.createDataFrame([("Dr.\nWho. St.\n",), ("He is a dr.\r\n\"Dr. The",), (" . Dr.. We. ",)], "text string"))
+    rows = odd.select(F.size(model.sentences(F.col("text"))).alias("a"), model.count(F.col("text")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
