@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -503,6 +505,59 @@ def test_search(spark, docs, rows, monkeypatch, nothing):
     assert bm25.search(bm25.build_index(docs), asked.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("one_by_one", [1, 10**9])
+def test_search_threshold_and_tiles(spark, monkeypatch, one_by_one):
+    """Probes, pieces of queries and frequent terms give what scoring every document gives."""
+    for name, value in (("SHARD_DOCS", 9), ("BLOCK", 4), ("FREQUENT", 4), ("MOST_FREQUENT", 5), ("PROBE", 2)):
+        monkeypatch.setattr(bm25, name, value)
+    for name, value in (("TILE_QUERIES", 7), ("PIECE_POSTINGS", 20), ("PAIRS", 3), ("OUT_ROWS", 10), ("BLOCK_TERMS", 400)):
+        monkeypatch.setattr(bm25, name, value)
+    monkeypatch.setattr(bm25, "ONE_BY_ONE", one_by_one)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(200)], k=rng.choice((1, 5, 40, 90)))) for _ in range(90)]
+    texts += texts[:25] + ["w0"] * 12
+    docs = spark.createDataFrame([row(i * 7 % 1009, t) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    asked = docs.select(F.col("doc_id").alias("query_id"), "text").filter("doc_id % 3 = 0")
+    got = sorted(tuple(r) for r in bm25.search(bm25.build_index(docs), asked, k=5).collect())
+    known = {i * 7 % 1009: t.split() for i, t in enumerate(texts)}
+    n, mean = len(known), sum(map(len, known.values())) / len(known)
+    df = {w: sum(w in set(t) for t in known.values()) for w in words}
+    idf = {w: np.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    want = []
+    for q in sorted(i for i in known if i % 3 == 0):
+        scored = []
+        for i, t in known.items():
+            if both := set(known[q]) & set(t):
+                s = sum(idf[w] * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in both)
+                scored.append((-round(s, 6), i))
+        want += [(q, rank + 1, i) for rank, (_, i) in enumerate(sorted(scored)[:5])]
+    assert [g[:3] for g in got] == want
+
+
+def test_search_holds_little(spark):
+    """A large index comes in small rows, and scoring a shard holds no more than a few work arrays."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map("w{}".format, rng.integers(0, 30_000, 400))) for _ in range(5_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    shards = list(bm25._shard_rows(iter([batch])))
+    assert sum(s.column("docs")[0].as_py() for s in shards) == 5_000
+    assert max(len(s.column("places")[0].as_py()) for s in shards) <= 4 << 20
+    sets = [terms for terms, _ in bm25._documents(pa.array(texts[:600]))]
+    terms, starts = np.unique(np.concatenate(sets)), np.cumsum([0, *map(len, sets)])
+    entries = np.searchsorted(terms, np.concatenate(sets)).astype(np.int32)
+    owners = np.repeat(np.arange(600), np.diff(starts))
+    asked = bm25.Asked(np.arange(600), starts, entries, owners, terms, np.ones(len(terms)), np.arange(500), np.zeros(600))
+    sent = type("Sent", (), {"value": asked})
+    tracemalloc.start()
+    for shard in shards:
+        for out in bm25._shard_top(sent, 400.0, 10)(iter([shard])):
+            assert out.num_rows <= 6_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_hashes_tell_words_apart():
     data = np.frombuffer(b" ab ba  Ab\tabc\x0bab ", np.uint8)
     starts, ends, hashes = hashing.word_hashes(data, lower=True)
