@@ -3,15 +3,18 @@
 Abbreviations are word types that come with a period far more often than chance (a log-likelihood ratio,
 damped by their length and by every occurrence without the period); sentence starters are types that
 follow the other periods far more often than chance.  All given texts are read once, in Spark, for counts of
-distinct tokens; what a token says is worked out once per distinct token, and only types over the
-thresholds reach the driver.  A period after an abbreviation ends no sentence
+distinct tokens; what a token says is worked out once per distinct token, and all types over the
+thresholds, only these, reach the driver.  A period after an abbreviation ends no sentence
 unless a starter in upper case follows.  Applying the model is an expression: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from posttrain_spark.functions.text import let, sentences
@@ -21,8 +24,6 @@ from posttrain_spark.session import durable
 # Published thresholds of the method: abbreviations, sentence starters, and how sure a period is to follow
 # an abbreviation.
 ABBREVIATION, STARTER, SURE = 0.3, 30.0, 0.99
-# Types of each kind that a model holds, the best ones; published lists for one language are far shorter.
-MOST_TYPES = 5_000
 
 # The characters of WHITESPACE as ranges: a quarter of the comparisons for each character of a text.
 SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -54,6 +55,13 @@ def _bare(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"\.$", "")
 
 
+def _among(word: Column, words: Sequence[str]) -> Column:
+    """``word.isin(*words)``, the words sent to the JVM as one string: a call for each takes minutes where there are many."""
+    jvm = SparkContext._active_spark_context._jvm
+    kind = jvm.java.lang.Class.forName("java.util.ArrayList")
+    return Column(word._jc.isInCollection(jvm.com.fasterxml.jackson.databind.ObjectMapper().readValue(json.dumps(words), kind)))
+
+
 def _surprise(k: Column, n: Column, p: Column, q: Column) -> Column:
     """Twice the log ratio of seeing ``k`` of ``n`` at rate ``q`` and at rate ``p``; rates are between 0 and 1."""
 
@@ -121,8 +129,8 @@ class SentenceModel:
                 last = _bare(F.regexp_replace(token, r"^[(\[{\"'“‘«]+", ""))
                 after = F.regexp_extract(F.get(pieces, i + 1), r"^\s+[(\[{\"'“‘«]*(\S+)", 1)
                 first = F.regexp_replace(F.lower(after), r"[^\p{L}\p{M}\p{N}]+$", "")
-                starts = after.rlike(r"^\p{Lu}") & first.isin(*self.starters) if self.starters else F.lit(False)
-                short = last.isin(*self.abbreviations) & ~F.coalesce(starts, F.lit(False))
+                starts = after.rlike(r"^\p{Lu}") & _among(first, self.starters) if self.starters else F.lit(False)
+                short = _among(last, self.abbreviations) & ~F.coalesce(starts, F.lit(False))
                 return F.when(short, F.regexp_replace(piece, r"\.$", HELD)).otherwise(piece)
 
             return F.array_join(F.transform(pieces, one), "")
@@ -159,7 +167,7 @@ def _followers(pairs: DataFrame, short: list[str]) -> DataFrame:
     t = pairs.select(_clean(F.col("before")).alias("before"), F.lower(_clean(F.col("token"))).alias("t"), "n")
     ends = F.coalesce(F.col("before").rlike(DOTTED), F.lit(False))
     if short:
-        ends = ends & ~F.coalesce(_bare(F.col("before")).isin(*short), F.lit(False))
+        ends = ends & ~F.coalesce(_among(_bare(F.col("before")), short), F.lit(False))
     word = F.regexp_replace("t", r"[^\p{L}\p{M}\p{N}]+$", "")
     found = t.select(word.alias("word"), "n", F.when(ends, F.col("n")).otherwise(F.lit(0)).alias("after"))
     return found.filter(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(
@@ -187,8 +195,7 @@ def fit_sentences(docs: DataFrame, text: str = "text") -> SentenceModel:
     """A model of all given texts, read once; NULL and empty texts teach nothing."""
 
     def best(scored: DataFrame, least: float) -> list[str]:
-        top = scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "word").limit(MOST_TYPES)
-        return sorted(r["word"] for r in top.select("word").collect())
+        return sorted(r["word"] for r in scored.filter(F.col("score") >= least).select("word").collect())
 
     pairs = durable(token_pairs(docs, text), "token-pairs")
     tokens = pairs.groupBy("token").agg(F.sum("n").alias("n"))

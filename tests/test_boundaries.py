@@ -130,3 +130,18 @@ def test_count_is_the_number_of_sentences(spark, docs):
     odd = docs.union(spark.createDataFrame([("Dr.\nWho. St.\n",), ("He is a dr.\r\n\"Dr. The",), (" . Dr.. We. ",)], "text string"))
     rows = odd.select(F.size(model.sentences(F.col("text"))).alias("a"), model.count(F.col("text")).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_model_holds_all_types_over_the_thresholds(spark):
+    """However many abbreviations and starters the texts have, all are learned and applied."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters[:10] for b in letters for c in letters][:5_100]
+    shorts = spark.createDataFrame([(f"{w}. of {w}. of " * 5,) for w in words], "text string")
+    model = B.fit_sentences(shorts)
+    assert set(model.abbreviations) == set(words)
+    starts = spark.createDataFrame([(f"x{w} of the river the river. " * 10,) for w in words], "text string")
+    model = B.SentenceModel(tuple(words), B.fit_sentences(starts).starters)
+    assert set(model.starters) == {f"x{w}" for w in words}
+    texts = [(f"We met {w}. Brown and {w}. X{w} left.",) for w in words]
+    counts = spark.createDataFrame(texts, "text string").select(model.count(F.col("text")).alias("n")).groupBy("n").count().collect()
+    assert [(r["n"], r["count"]) for r in counts] == [(2, len(words))]
