@@ -535,6 +535,39 @@ def test_search_threshold_and_tiles(spark, monkeypatch, one_by_one):
     assert [g[:3] for g in got] == want
 
 
+def test_search_puts_alike_together(spark, monkeypatch):
+    """Shards hold similar documents whatever their order, thresholds grow in rounds, and results stay exact."""
+    rng = np.random.default_rng(5)
+    p = 1 / np.arange(1, 401)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in rng.choice(400, 30, p=p / p.sum())) for i in range(2_400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    shards = [(s.column("probe")[0].as_py(), np.frombuffer(s.column("doc_ids")[0].as_py(), np.int64)) for s in bm25._shard_rows(iter([batch]))]
+    assert sorted(i for _, ids in shards for i in ids.tolist()) == list(range(len(texts)))
+    assert sum(np.bincount(ids % 2).max() for probe, ids in shards if not probe) > 0.8 * sum(len(ids) for probe, ids in shards if not probe)
+    assert sum(len(ids) for probe, ids in shards if probe) == len(texts) // bm25.PROBE
+    monkeypatch.setattr(bm25, "FIRST_DOCS", 20)
+    monkeypatch.setattr(bm25, "PROBE", 2)
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 800)
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    index = bm25.build_index(docs)
+    assert len(bm25._rounds(index.filter("probe"))) > 1
+    got = sorted(tuple(r) for r in bm25.search(index, docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), k=5).collect())
+    known = [t.split() for t in texts]
+    words = sorted({w for t in known for w in t})
+    tf = np.zeros((len(known), len(words)))
+    for i, t in enumerate(known):
+        np.add.at(tf[i], np.searchsorted(words, t), 1)
+    df = (tf > 0).sum(axis=0)
+    impact = np.log(1 + (len(known) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)
+    want = []
+    for q in range(0, len(known), 50):
+        score = impact @ (tf[q] > 0)
+        best = sorted((-round(x, 6), i) for i, x in enumerate(score) if x > 0)[:5]
+        want += [(q, rank + 1, i, -x) for rank, (x, i) in enumerate(best)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+
+
 def test_search_holds_little(spark):
     """A large index comes in small rows, and scoring a shard holds no more than a few work arrays."""
     rng = np.random.default_rng(3)
