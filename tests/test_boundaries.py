@@ -139,7 +139,7 @@ def test_model_holds_all_types_over_the_thresholds(spark):
     shorts = spark.createDataFrame([(f"{w}. of {w}. of " * 5,) for w in words], "text string")
     model = B.fit_sentences(shorts)
     assert set(model.abbreviations) == set(words)
-    starts = spark.createDataFrame([(f"x{w} of the river the river. " * 10,) for w in words], "text string")
+    starts = spark.createDataFrame([(f"x{w} of the river the river. " * 20,) for w in words], "text string")
     model = B.SentenceModel(tuple(words), B.fit_sentences(starts).starters)
     assert set(model.starters) == {f"x{w}" for w in words}
     texts = [(f"We met {w}. Brown and {w}. X{w} left.",) for w in words]
